@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, token_counts
+from tidemark.llm import decontamination, packing, quality, token_counts, url_filters, warc
 
 QUERIES = {
+    "op1_positional_decontamination": decontamination.op1_positional_decontamination,
+    "op2_warc_normaliser": warc.op2_warc_normaliser,
+    "op3_quality_ftrl": quality.op3_quality_ftrl,
     "op5_token_counts": token_counts.op5_token_counts,
     "op8_power_of_two_packing": packing.op8_power_of_two_packing,
+    "op10_association_url_filter": url_filters.op10_association_url_filter,
+}
+ORACLES = {
+    "op1_positional_decontamination": decontamination.OP1_SQL,
+    "op2_warc_normaliser": warc.OP2_SQL,
 }
-ORACLES: dict = {}
