@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, packing, quality, token_counts, url_filters, warc
+from tidemark.llm import decontamination, embedding_dedup, packing, pii, quality, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_positional_decontamination": decontamination.op1_positional_decontamination,
     "op2_warc_normaliser": warc.op2_warc_normaliser,
     "op3_quality_ftrl": quality.op3_quality_ftrl,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_hyperplane_near_dedup": embedding_dedup.op6_hyperplane_near_dedup,
+    "op7_semi_markov_pii": pii.op7_semi_markov_pii,
     "op8_power_of_two_packing": packing.op8_power_of_two_packing,
     "op10_association_url_filter": url_filters.op10_association_url_filter,
 }
