@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, embedding_dedup, packing, pii, quality, token_counts, url_filters, warc
+from tidemark.llm import decontamination, embedding_dedup, ngram_join, packing, pii, quality, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_positional_decontamination": decontamination.op1_positional_decontamination,
     "op2_warc_normaliser": warc.op2_warc_normaliser,
     "op3_quality_ftrl": quality.op3_quality_ftrl,
+    "op4_multi_order_jaccard": ngram_join.op4_multi_order_jaccard,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_hyperplane_near_dedup": embedding_dedup.op6_hyperplane_near_dedup,
     "op7_semi_markov_pii": pii.op7_semi_markov_pii,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op1_positional_decontamination": decontamination.OP1_SQL,
     "op2_warc_normaliser": warc.OP2_SQL,
+    "op4_multi_order_jaccard": ngram_join.OP4_SQL,
 }
