@@ -1,15 +1,77 @@
-"""Corpus preparation: filter, de-duplicate, decontaminate and pack ``documents``."""
+"""Corpus preparation: filter, de-duplicate, decontaminate and pack ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
+Parquet and read again as the next one's ``docs``. Null and repeated rows, empty
+tables and further columns are treated as the stages' operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, line_dedup, ngram_join, packing, quality
+from tidemark.llm.common import save, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, scores 0.7 or more.
+    Without any labels nothing is rejected."""
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not weights.any():
+        return docs
+    return quality.score(docs, weights).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; a document of which nothing
+    but white space is left, and something was dropped, goes."""
+    out = line_dedup.drop_repeated_lines(docs)
+    dropped = F.col("n_exact") + F.col("n_near") > 0
+    out = out.where(~dropped | F.coalesce(F.length(F.trim(F.translate("text", "\n\r\t", "   "))) > 0, F.lit(False)))
+    kept = {"n_chars": F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns(kept).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that n-gram similarity joins, the one with the smallest doc_id.
+    Rows with a null doc_id stay; of rows with equal doc_id one stays."""
+    found = save(ngram_join.jaccard_components(docs.select("doc_id", "text")), "components")
+    keep = found.where("component_id = doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside any window of a benchmark item."""
+    found = decontamination.find_items(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = save(found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces of power-of-two lengths, one sequence each."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed),
+]
+#: Stages 1 and 5 have no SQL; tests/llm/test_pipeline.py holds the stages against
+#: plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = save(docs, f"stage-{k}")
     return docs
