@@ -33,7 +33,8 @@ def test_stages_and_run(spark, tmp_path):
             got = sorted(((r.doc_id, r.text) for r in after.collect()), key=repr)
             assert all(r.n_chars == len(r.text or "") for r in after.collect())
         if k == 0:
-            assert got == sorted((r for r in before if r[0] is None or not 60 <= r[0] < 100), key=repr)
+            # A text without words is scored by the bias alone, which is low here.
+            assert got == sorted((r for r in before if r[0] is None or not (60 <= r[0] < 100 or r[0] in (113, 114))), key=repr)
         elif k == 1:
             want = [(d, t) for d, t, _, e, n in test_line_dedup.brute(before, 2, MIN_CHARS) if not e + n or t.strip()]
             assert got == sorted(want, key=repr) and (111, "") not in got and len(got) < len(before)
