@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, save, table
+from tidemark.llm.common import merge_blocks, save, table
 
 #: Lines within so many edits of each other are near copies.
 THRESHOLD = 2
@@ -112,14 +112,8 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     leads = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").join(sizes, "lead").select("key", "lead", "lead_size")
     first = posted.join(leads, "key").where((F.col("lead") < F.col("node")) & (F.abs(F.col("size") - F.col("lead_size")) <= threshold))
     links = verified(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    comp = components(links)
-    named = save(posted.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "line-postings")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = named.join(save(mixed, "mixed-keys"), "key")
-    right = left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    across = left.join(right, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & (F.abs(F.col("size") - F.col("size_b")) <= threshold))
-    across = across.select(F.col("node").alias("a"), "b").distinct().join(links, ["a", "b"], "left_anti")
-    comp = components(links.unionAll(verified(across)))
+    near = lambda x, y: F.abs(x - y) <= threshold
+    comp = merge_blocks(posted.select("key", "node", "size"), links, verified, near)
     return comp.join(known.select("node", "digest"), "node").select("digest", "component")
 
 
