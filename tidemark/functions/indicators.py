@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import by_time, running
 from tidemark.functions.scalar import calendar, cyclical, intraday, ratio
 
-W = Window.partitionBy("symbol").orderBy("ts")
-RUNNING = W.rowsBetween(Window.unboundedPreceding, 0)
 MIN_PERIODS = 10
 
 
 def frame(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def rolling(agg, x: Column, n: int, mp: int | None = None) -> Column:
@@ -28,7 +27,7 @@ def rolling(agg, x: Column, n: int, mp: int | None = None) -> Column:
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(W)
+    return F.lag(x, n).over(by_time())
 
 
 def simple_return() -> Column:
@@ -45,7 +44,7 @@ def sma(n: int, x: str = "close", mp: int | None = None) -> Column:
 
 def wma(x: Column, n: int) -> Column:
     """Linearly weighted mean of n values, the last one weighing n."""
-    total = sum((F.lag(x, n - k).over(W) * k for k in range(1, n)), x * n)
+    total = sum((F.lag(x, n - k).over(by_time()) * k for k in range(1, n)), x * n)
     return total / (n * (n + 1) / 2)
 
 
@@ -129,9 +128,9 @@ def volume_features(bars: DataFrame) -> DataFrame:
     out = bars.withColumns({"volume_sma_20": sma(20, "volume", MIN_PERIODS), "__tp": typical(), "__ret": ratio(step, lag("close")), "__sign": F.signum(step) * F.col("volume"), "__mfv": F.coalesce(ratio(2 * F.col("close") - F.col("low") - F.col("high"), F.col("high") - F.col("low")), F.lit(0.0)) * F.col("volume"), "__mid": mid})
     out = out.withColumn("__eom", ratio(F.col("__mid") - lag("__mid"), F.col("high") - F.col("low")))
     return out.withColumns({
-        "volume_ratio_20": ratio("volume", "volume_sma_20"), "obv": F.sum("__sign").over(RUNNING),
-        "vwap": ratio(F.sum(F.col("__tp") * F.col("volume")).over(RUNNING), F.sum("volume").over(RUNNING)), "adl": F.sum("__mfv").over(RUNNING),
-        "vpt": F.sum(F.col("__ret") * F.col("volume")).over(RUNNING), "eom_14": rolling(F.avg, F.col("__eom"), 14, MIN_PERIODS), "volume_roc_10": change("volume", 10),
+        "volume_ratio_20": ratio("volume", "volume_sma_20"), "obv": F.sum("__sign").over(running()),
+        "vwap": ratio(F.sum(F.col("__tp") * F.col("volume")).over(running()), F.sum("volume").over(running())), "adl": F.sum("__mfv").over(running()),
+        "vpt": F.sum(F.col("__ret") * F.col("volume")).over(running()), "eom_14": rolling(F.avg, F.col("__eom"), 14, MIN_PERIODS), "volume_roc_10": change("volume", 10),
     }).drop("__tp", "__ret", "__sign", "__mfv", "__mid", "__eom")
 
 

@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.indicators import W, lag, rolling, true_range
+from tidemark.functions.frames import by_time
+from tidemark.functions.indicators import lag, rolling, true_range
 from tidemark.functions.scalar import ratio
 
 
@@ -22,20 +23,20 @@ def linear(df: DataFrame, out: str, u: Column, a: float) -> DataFrame:
     """Add ``out``: y(t) = a y(t-1) + u(t) per symbol, over the bars where u isn't
     null, y starting as the first u; null on the others."""
     block = max(2, int(30 / -math.log10(a)))
-    d = df.withColumn("__u", u)
-    d = d.withColumn("__k", F.when(F.col("__u").isNotNull(), F.count("__u").over(W.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    d = d.withColumns({"__b": F.floor(F.col("__k") / block), "__j": F.pmod(F.col("__k"), F.lit(block)).cast("double")})
-    inside = Window.partitionBy("symbol", "__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__z", F.sum(F.col("__u") * F.pow(F.lit(1 / a), F.col("__j"))).over(inside) * F.pow(F.lit(a), F.col("__j")))
-    before = Window.partitionBy("symbol").orderBy("__b").rangeBetween(-1, -1)
-    d = d.withColumn("__p", F.max(F.struct("__k", "__z")).over(before)["__z"])
-    y = F.when(F.col("__k").isNotNull(), F.col("__z") + F.coalesce(F.col("__p"), F.lit(0.0)) * F.pow(F.lit(a), F.col("__j") + 1))
-    return d.withColumn(out, y).drop("__u", "__k", "__b", "__j", "__z", "__p")
+    d = df.withColumn("__linu", u)
+    d = d.withColumn("__link", F.when(F.col("__linu").isNotNull(), F.count("__linu").over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    d = d.withColumns({"__linb": F.floor(F.col("__link") / block), "__linj": F.pmod(F.col("__link"), F.lit(block)).cast("double")})
+    inside = Window.partitionBy("symbol", "__linb").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__linz", F.sum(F.col("__linu") * F.pow(F.lit(1 / a), F.col("__linj"))).over(inside) * F.pow(F.lit(a), F.col("__linj")))
+    before = Window.partitionBy("symbol").orderBy("__linb").rangeBetween(-1, -1)
+    d = d.withColumn("__linp", F.max(F.struct("__link", "__linz")).over(before)["__linz"])
+    y = F.when(F.col("__link").isNotNull(), F.col("__linz") + F.coalesce(F.col("__linp"), F.lit(0.0)) * F.pow(F.lit(a), F.col("__linj") + 1))
+    return d.withColumn(out, y).drop("__linu", "__link", "__linb", "__linj", "__linz", "__linp")
 
 
 def _nth(x: Column) -> Column:
     """Number, from 1, of a value among the values that aren't null so far."""
-    return F.count(x).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    return F.count(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def ema(df: DataFrame, out: str, x: str, n: int, alpha: float | None = None) -> DataFrame:
@@ -57,8 +58,8 @@ def ewm_adjusted(df: DataFrame, out: str, x: str, span: int) -> DataFrame:
 def wilder(df: DataFrame, out: str, x: str, n: int) -> DataFrame:
     """Wilder's smoothing: the mean of the first n bars' values at bar n, then
     y += (x - y) / n. Null before bar n."""
-    at = F.row_number().over(W)
-    seed = F.avg(x).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.row_number().over(by_time())
+    seed = F.avg(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return linear(df, out, F.when(at == n, seed).when(at > n, F.col(x) / n), 1 - 1 / n)
 
 

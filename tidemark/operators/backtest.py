@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: A run of a strategy is a symbol, or a symbol and a configuration.
 SYMBOL = ("symbol",)
@@ -52,7 +53,7 @@ def filtered_positions(labels: DataFrame, min_train: int = 252, dwell_bars: int
             out.append(held - 1)
         return frame.assign(position=out)[[*names, "position"]]
 
-    schema = labels.schema.add("position", "int")
+    schema = StructType([*labels.schema, StructField("position", IntegerType())])
     return labels.groupBy(*keys).applyInPandas(fold, schema)
 
 

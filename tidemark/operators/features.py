@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import recurrences as rec
+from tidemark.functions.frames import by_time
 from tidemark.functions.scalar import null_inf, ratio
 
 CURATED = ("log_ret", "sma_200", "sma_13", "atr_20", "adx_14", "di_plus_14", "di_minus_14", "adx_inflection", "di_spread", "vstop", "vstop_trend", "vstop_interaction", "price_sma200_ratio", "price_vstop_ratio", "price_vstop_gap_atr", "sma200_distance_atr", "volume_ratio", "true_range_pct", "kdj_j")
@@ -37,7 +38,7 @@ def select_features(df: DataFrame, drop=KEYS) -> list[str]:
 
 def backfill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls take the next value of the symbol."""
-    ahead = ind.W.rowsBetween(0, Window.unboundedFollowing)
+    ahead = by_time().rowsBetween(0, Window.unboundedFollowing)
     return df.withColumns({c: F.first(c, ignorenulls=True).over(ahead) for c in columns})
 
 
@@ -47,7 +48,7 @@ def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def zscore_expanding(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / (population deviation + 1e-8) of all earlier bars."""
-    past = ind.W.rowsBetween(Window.unboundedPreceding, -1)
+    past = by_time().rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns({f"z_{c}": (F.col(c) - F.avg(c).over(past)) / (F.stddev_pop(c).over(past) + 1e-8) for c in columns})
 
 

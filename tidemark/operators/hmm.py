@@ -210,8 +210,9 @@ def fit_saliency(x, k, seed=42, iterations=50, tol=TOL, weight=1.0):
     return start, trans, means, variances, gamma, path, rho
 
 
-def fit_slice(rows, n_states, seed=42, engine="hmm", pca=None, robust=None):
-    """Fit one slice and score its last row. Returns (rows of ``MODELS`` after the
+def fit_slice(rows, n_states, seed=42, engine="hmm", pca=None, robust=None, decode="last_bar"):
+    """Fit one slice and score its last row: by ``last_bar`` from the start
+    probabilities and its own emission alone, by ``filtered`` given all rows. Returns (rows of ``MODELS`` after the
     keys, saliency per feature or None)."""
     import numpy as np
 
@@ -230,13 +231,15 @@ def fit_slice(rows, n_states, seed=42, engine="hmm", pca=None, robust=None):
     log_p = np.log(start + 1e-300) + _log_emission(z[-1:], means, variances)[0]
     p = np.exp(log_p - log_p.max())
     p /= p.sum()
+    if decode == "filtered":
+        p = gamma[-1]
     share = np.bincount(gamma.argmax(1), minlength=n_states) / len(z)
     by = x[:, 0] @ gamma / (gamma.sum(0) + 1e-12) if pca else means[:, sort]
     out = [(n_states, s, float(start[s]), float(by[s]), [float(v) for v in means[s]], float(p[s]), float(path[-1]), len(path), len(z), z.shape[1], float(share[s]), True) for s in range(n_states)]
     return out, rho
 
 
-def fit_models(slices: DataFrame, configs: DataFrame) -> DataFrame:
+def fit_models(slices: DataFrame, configs: DataFrame, decode: str = "last_bar") -> DataFrame:
     """Fit every slice under every row of ``configs(config_id, engine, n_states, seed,
     pca, robust)``. A row per state (``MODELS``); a fit that fails gives one row with
     ok = false. Slices are dealt out singly, so that a long symbol's refits spread."""
@@ -250,7 +253,7 @@ def fit_models(slices: DataFrame, configs: DataFrame) -> DataFrame:
             for r in frame.itertuples():
                 key = (r.symbol, r.refit, r.config_id, r.seed)
                 try:
-                    found, _ = fit_slice(r.x, r.n_states, r.seed, r.engine, r.pca or None, r.robust or None)
+                    found, _ = fit_slice(r.x, r.n_states, r.seed, r.engine, r.pca or None, r.robust or None, decode)
                     out += [(*key, *f) for f in found]
                 except (ValueError, FloatingPointError, ArithmeticError, IndexError):
                     out.append((*key, r.n_states, None, None, None, None, None, None, 0, 0, 0, None, False))
@@ -352,15 +355,15 @@ def midstream_collapse(labels: DataFrame, min_train: int = MIN_TRAIN, floor: flo
     return rows.withColumn("collapsed", (n >= after) & (F.least(*share) < floor))
 
 
-def walk_forward_labels(rets: DataFrame, features: DataFrame, columns: list[str], configs: DataFrame, every: int = REFIT_EVERY, min_train: int = MIN_TRAIN, recover: bool = True, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+def walk_forward_labels(rets: DataFrame, features: DataFrame, columns: list[str], configs: DataFrame, every: int = REFIT_EVERY, min_train: int = MIN_TRAIN, recover: bool = True, reverse: bool = False, decode: str = "last_bar") -> tuple[DataFrame, DataFrame]:
     """(labels, models) of one configuration. Collapsed fits are made again with two
     states. ``reverse`` trains on what follows each refit, so it looks ahead; its
     labels say so in the column lookahead."""
     slices = training_slices(features, columns, refit_schedule(rets, every, min_train), reverse)
-    models = fit_models(slices, configs).persist()
+    models = fit_models(slices, configs, decode).persist()
     if recover:
         bad = precheck_collapse(models).where("collapsed").select("symbol", "refit").distinct()
-        again = fit_models(slices.join(bad, ["symbol", "refit"]), configs.withColumn("n_states", F.lit(2)))
+        again = fit_models(slices.join(bad, ["symbol", "refit"]), configs.withColumn("n_states", F.lit(2)), decode)
         models = models.join(bad, ["symbol", "refit"], "left_anti").unionByName(again).persist()
     mapped = label_map(models)
     scored = remap_to_previous(bucket_posteriors(mapped), match_states(mapped))

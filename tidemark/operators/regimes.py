@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.indicators import W, simple_return
+from tidemark.functions.frames import by_time, whole
+from tidemark.functions.indicators import simple_return
 
 NAMES = ("bear", "sideways", "bull")
-WHOLE = Window.partitionBy("symbol")
 
 
 def returns(bars: DataFrame) -> DataFrame:
     """Simple returns; a symbol's first bar has none."""
-    rows = bars.withColumn("ret", simple_return()).withColumn("ret_index", (F.row_number().over(W) - 2).cast("int"))
+    rows = bars.withColumn("ret", simple_return()).withColumn("ret_index", (F.row_number().over(by_time()) - 2).cast("int"))
     return rows.where("ret_index >= 0").select("symbol", "ts", "bar_index", "ret_index", "close", "ret")
 
 
@@ -25,7 +25,7 @@ def classify_threshold(rets: DataFrame, window: int = 20, threshold: float = 0.0
     """Bull or bear where the sum of the last ``window`` simple returns is above or
     below the threshold, strictly; sideways before and between. The sum is rounded to
     10 digits, so that another order of adding decides alike."""
-    last = W.rowsBetween(-(window - 1), 0)
+    last = by_time().rowsBetween(-(window - 1), 0)
     total = F.round(F.sum("ret").over(last), 10)
     full = F.count("ret").over(last) >= window
     return rets.withColumn("regime", F.when(full & (total > threshold), 2).when(full & (total < -threshold), 0).otherwise(1))
@@ -34,7 +34,7 @@ def classify_threshold(rets: DataFrame, window: int = 20, threshold: float = 0.0
 def transition_matrix(labels: DataFrame) -> DataFrame:
     """(symbol, from_regime, to_regime, n, p), all nine cells: 1e-10 is added to each
     share of a row, which is then scaled to 1, so an unseen row is uniform."""
-    pairs = labels.select("symbol", F.col("regime").alias("f"), F.lead("regime").over(W).alias("t")).where("t is not null")
+    pairs = labels.select("symbol", F.col("regime").alias("f"), F.lead("regime").over(by_time()).alias("t")).where("t is not null")
     cells = [F.count_if((F.col("f") == i) & (F.col("t") == j)).alias(f"c{i}{j}") for i in range(3) for j in range(3)]
     wide = labels.select("symbol").distinct().join(pairs.groupBy("symbol").agg(*cells), "symbol", "left")
     rows = []
@@ -105,7 +105,7 @@ def markov_stats(labels: DataFrame) -> DataFrame:
 
 def transitions(labels: DataFrame) -> DataFrame:
     """A row per change of regime, at the bar where the new one begins."""
-    rows = labels.withColumn("from_regime", F.lag("regime").over(W))
+    rows = labels.withColumn("from_regime", F.lag("regime").over(by_time()))
     return rows.where("regime <> from_regime").select("symbol", "ts", F.date_format("ts", "yyyy-MM-dd").alias("date"), "ret_index", "from_regime", F.col("regime").alias("to_regime"))
 
 
@@ -118,10 +118,10 @@ def latest_transitions(events: DataFrame, k: int) -> DataFrame:
 def spells(labels: DataFrame) -> DataFrame:
     """Runs of a regime: (symbol, spell, regime, start_index, end_index, duration,
     censored); the last run of a symbol is censored."""
-    changed = F.coalesce((F.col("regime") != F.lag("regime").over(W)).cast("int"), F.lit(0))
-    rows = labels.withColumn("new", changed).withColumn("spell", F.sum("new").over(W.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    changed = F.coalesce((F.col("regime") != F.lag("regime").over(by_time())).cast("int"), F.lit(0))
+    rows = labels.withColumn("new", changed).withColumn("spell", F.sum("new").over(by_time().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     runs = rows.groupBy("symbol", "spell").agg(F.first("regime").alias("regime"), F.min("ret_index").alias("start_index"), F.max("ret_index").alias("end_index"), F.count("*").alias("duration"))
-    return runs.withColumn("censored", F.col("spell") == F.max("spell").over(WHOLE))
+    return runs.withColumn("censored", F.col("spell") == F.max("spell").over(whole()))
 
 
 def spell_covariates(labels: DataFrame, runs: DataFrame) -> DataFrame:

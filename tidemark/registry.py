@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans.checks import ORACLES
+from tidemark.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import by_time
+
 OHLCV = ("open", "high", "low", "close", "volume")
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
 
 
 def date_column(columns: list[str]) -> str | None:
@@ -40,7 +41,7 @@ def clean_bars(bars: DataFrame) -> DataFrame:
     smallest, as rows have no order), and number the bars."""
     rows = bars.where("ts is not null and close is not null and not isnan(close)")
     one = rows.groupBy("symbol", "ts").agg(F.min(F.struct(*OHLCV)).alias("bar")).select("symbol", "ts", "bar.*")
-    return one.withColumn("bar_index", (F.row_number().over(BY_TIME) - 1).cast("int"))
+    return one.withColumn("bar_index", (F.row_number().over(by_time()) - 1).cast("int"))
 
 
 def validate_bars(bars: DataFrame, min_rows: int = 2) -> DataFrame:
@@ -56,7 +57,7 @@ def ticks_to_bars(ticks: DataFrame, symbol: Column, ts: Column, price: Column, s
     t = ticks.select(symbol.alias("symbol"), ts.alias("at"), F.date_trunc(every, ts).alias("ts"), price.alias("p"), size.alias("v"))
     order = F.struct("at", "p")
     bars = t.groupBy("symbol", "ts").agg(F.min_by("p", order).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", order).alias("close"), F.sum("v").cast("double").alias("volume"))
-    return bars.withColumn("bar_index", (F.row_number().over(BY_TIME) - 1).cast("int"))
+    return bars.withColumn("bar_index", (F.row_number().over(by_time()) - 1).cast("int"))
 
 
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +81,13 @@ def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts")).agg(
         F.sum(cents).alias("v"), F.max(unit).alias("hi"), F.min(unit).alias("lo"), F.sum(F.col("l_quantity").cast("double")).alias("volume")
     )
-    whole = Window.partitionBy("symbol")
-    x = F.round(0.02 * (F.col("v") - F.avg("v").over(whole)) / F.stddev_samp("v").over(whole), 8)
-    level = F.sum(F.coalesce(F.col("x"), F.lit(0.0)).cast("decimal(18,8)")).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    group = Window.partitionBy("symbol")
+    x = F.round(0.02 * (F.col("v") - F.avg("v").over(group)) / F.stddev_samp("v").over(group), 8)
+    level = F.sum(F.coalesce(F.col("x"), F.lit(0.0)).cast("decimal(18,8)")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     days = days.withColumn("x", x).withColumn("close", F.round(100 * F.exp(level.cast("double")), 6))
-    days = days.withColumn("open", F.coalesce(F.lag("close").over(BY_TIME), F.lit(100.0))).withColumn("g", 0.01 * (F.col("hi") - F.col("lo")) / (F.col("hi") + F.col("lo")))
+    days = days.withColumn("open", F.coalesce(F.lag("close").over(by_time()), F.lit(100.0))).withColumn("g", 0.01 * (F.col("hi") - F.col("lo")) / (F.col("hi") + F.col("lo")))
     return days.select(
-        "symbol", "ts", (F.row_number().over(BY_TIME) - 1).cast("int").alias("bar_index"), "open",
+        "symbol", "ts", (F.row_number().over(by_time()) - 1).cast("int").alias("bar_index"), "open",
         F.round(F.greatest("open", "close") * (1 + F.col("g")), 6).alias("high"), F.round(F.least("open", "close") * (1 - F.col("g")), 6).alias("low"), "close", "volume",
     )
 
