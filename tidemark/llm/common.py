@@ -83,42 +83,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return result.select("node", F.col("root").alias("component"))
 
 
-def merge_blocks(posted: DataFrame, links: DataFrame, verified, fits, rounds: int = 8) -> DataFrame:
+#: A pivot round pairs the members of one block in so many with about so many pivots.
+PIVOT_BLOCKS, PIVOTS = 8, 8
+
+
+def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes: DataFrame, fits, rounds: int = 2) -> DataFrame:
     """Components of all links between nodes that share a block, from ``links(a, b)``
-    that are known already. ``posted(key, node, size)`` lists the blocks' members,
-    ``verified`` keeps the linking rows of a frame of pairs (a, b), and ``fits`` says
-    of two size columns whether such nodes can link at all.
+    that are known already. ``posted(key, node)`` lists the blocks' members and
+    ``verified`` keeps the linking rows of a frame of pairs (a, b). ``fits`` is a
+    condition, on ``attributes(node, ...)`` and the same columns of the other node
+    with o_ before their names, that holds for every pair that links.
 
     Only pairs across components matter. While their number is far above that of the
-    blocks' members, each round pairs a block's members with one pivot of another
-    component, a different one each time; groups of near copies grow together so.
-    What then is still apart is paired in full, so no link is missed.
+    blocks' members, a round pairs the members of some blocks with a few pivots of
+    other components, so that groups of near copies grow together. What then is
+    still apart is paired in full, in all blocks, so no link is missed.
     """
-    names = posted.columns
-    tested = links
+    facts = [c for c in attributes.columns if c != "node"]
     comp = components(links)
     for k in range(rounds + 1):
-        named = posted.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = posted.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        mixed = by.where("n * n > s").select("key", "n", "s")
-        left = save(named.join(mixed, "key").withColumn("h", F.xxhash64("node", F.lit(k))).select(*names, "component", "h", (F.col("n") - F.col("s") / F.col("n")).alias("across")), "mixed-blocks")
+        mixed = by.where("n * n > s").select("key", F.col("n").alias("block_size"), (F.col("n") - F.col("s") / F.col("n")).alias("across"))
+        left = save(named.join(mixed, "key"), "mixed-blocks")
         members, across = left.agg(F.count("*"), F.sum("across")).first()
         if not members:
             break
-        posted = left.select(*names)
+        posted = left
         last = k == rounds or across / 2 <= 4 * members
-        other = left.select("key", F.col("node").alias("o"), F.col("size").alias("o_size"), F.col("component").alias("o_component"), F.col("h").alias("o_h"))
-        if last:
-            pairs = left.join(other, "key").where("node < o")
-        else:
-            pivot = left.groupBy("key").agg(F.min("h").alias("o_h"))
-            pairs = left.join(other.join(pivot, ["key", "o_h"]), "key")
-        pairs = pairs.where((F.col("component") != F.col("o_component")) & fits(F.col("size"), F.col("o_size")))
+        if not last:
+            left = left.where(F.pmod(F.xxhash64("key", F.lit(k)), F.lit(PIVOT_BLOCKS)) == 0)
+        left = left.join(attributes, "node").select("key", "node", "component", "block_size", *facts)
+        other = left.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), "block_size", *[F.col(c).alias("o_" + c) for c in facts])
+        if not last:
+            other = other.where(F.pmod(F.xxhash64("o", F.lit(k)), F.lit(1 << 20)) * F.col("block_size") < PIVOTS << 20)
+        apart = (F.col("component") != F.col("o_component")) & fits
+        pairs = left.drop("block_size").join(other.drop("block_size"), "key").where(apart & (F.col("node") < F.col("o")) if last else apart)
         pairs = pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = save(links.unionAll(verified(pairs)), "links")
         comp = components(links)
         if last:
             break
-        tested = tested.unionAll(pairs)
     return comp
