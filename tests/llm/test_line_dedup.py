@@ -41,13 +41,37 @@ def test_edit_distance_and_keys(spark, threshold):
             a = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(10, 40)))
             pairs.append((a, edited(rnd, a, rnd.randint(0, 5), alphabet)))
     pairs = [(min(p, key=len), max(p, key=len)) for p in pairs]
-    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", within_edits(F.col("a"), F.col("b"), threshold).alias("near"), F.arrays_overlap(segment_keys(F.col("a"), threshold), segment_keys(F.col("b"), threshold)).alias("meet"))
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", within_edits(F.col("a"), F.col("b"), threshold).alias("near"), F.arrays_overlap(segment_keys(F.col("a"), F.char_length("a"), threshold), segment_keys(F.col("b"), F.char_length("b"), threshold)).alias("meet"))
     for r in frame.collect():
         want = distance(r.a, r.b) <= threshold
         assert r.near == want, (r.a, r.b)
         assert r.meet or not want, (r.a, r.b)
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_bands_and_cuts(spark, threshold):
+    rnd = random.Random(10 + threshold)
+    pairs = []
+    for alphabet in ("abcdefgh", "abcé🙂. "):
+        for size in [*range(2 * threshold + 2, 40), 63, 64, 65, 95, 97, 127, 129]:
+            for _ in range(3):
+                a = "".join(rnd.choice(alphabet) for _ in range(size))
+                pairs.append((a, edited(rnd, a, rnd.randint(1, threshold), alphabet)))
+    pairs = [(k, min(p, key=len), max(p, key=len)) for k, p in enumerate(pairs) if min(map(len, p)) > 2 * threshold]
+    frame = spark.createDataFrame(pairs, "k long, x string, y string")
+    keys = lambda name: line_dedup._banded(frame.select(F.col(name).alias("line")), threshold).toDF(name, "key")
+    met = {(r.x, r.y) for r in keys("x").join(keys("y"), "key").distinct().collect()}
+    assert met >= {p[1:] for p in pairs}
+    cut = line_dedup._cut(frame.select(F.col("k").alias("a"), F.col("k").alias("b"), "x", "y")).collect()
+    assert sum(len(r.x) for r in cut) < sum(len(p[1]) for p in pairs)  # how much goes depends on where the edits lie
+    for r in cut:
+        assert distance(r.x, r.y) == distance(*pairs_of(pairs, r.a)), (r.x, r.y)
+
+
+def pairs_of(pairs, k):
+    return next(p[1:] for p in pairs if p[0] == k)
+
+
 def brute(rows, threshold, least):
     places = {}
     for doc, text in rows:

@@ -16,6 +16,9 @@ BROADCAST_KEYS = 1_000_000
 #: Letters that are counted in lines of mixed blocks: an edit moves two counts by one
 #: at most, so lines whose counts differ by more need no verification.
 TALLIED = ("a", "e", "i", "no", "ts", "rd", "hl", "uc")
+#: Before two lines are compared, equal halves of theirs are cut off so many times,
+#: while a half has at least so many characters.
+CUTS, LEAST_CUT = 4, 8
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -25,7 +28,7 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return size * i + longer, size + F.when(extra >= parts - i, 1).otherwise(0)
 
 
-def segment_keys(line: Column, threshold: int = THRESHOLD) -> Column:
+def segment_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
     """Keys under which a line meets every line at most ``threshold`` edits away.
 
     Of threshold + 1 segments of a line at least one stands unchanged in such a
@@ -33,7 +36,7 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> Column:
     not above its own, the substrings at the places where such a segment can be
     (left and right neighbours leave no other); a key holds length and number.
     """
-    length, parts, keys = F.char_length(line), threshold + 1, []
+    parts, keys = threshold + 1, []
     for short in range(threshold + 1):
         target = length - short
         for i in range(parts):
@@ -43,6 +46,60 @@ def segment_keys(line: Column, threshold: int = THRESHOLD) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def band_keys(line: Column, size: Column, low: Column, threshold: int = THRESHOLD) -> Column:
+    """Keys under which a line of ``size`` characters meets every line at most
+    ``threshold`` edits away that has keys for ``low`` too; fewer and wider than
+    ``segment_keys``.
+
+    threshold + 1 segments of low / (threshold + 1) characters are laid from both ends:
+    the front half of them from the start, the others from the end. Of either the
+    front ones or the back ones, more are there than edits fall into them, so an
+    unchanged one has been moved by at most as many places as segments lie between it
+    and its end of the line, i. The i + 1 windows of i characters less that lie within
+    a segment then hold one in each line with the same content.
+    """
+    parts, keys = threshold + 1, []
+    width = F.floor(low / parts).cast("int")
+    front = (parts + 1) // 2
+    for k in range(parts):
+        i = k if k < front else parts - 1 - k
+        start = width * k if k < front else size - width * (i + 1)
+        keys += [F.xxhash64(low, F.lit(k), F.substring(line, start + shift + 1, F.greatest(width - i, F.lit(0)))) for shift in range(i + 1)]
+    return F.array(*keys)
+
+
+def band(size: Column, threshold: int = THRESHOLD) -> Column:
+    """The least length of the band of lengths that ``size`` is in. There are four
+    bands between powers of two, each at least threshold + 1 wide."""
+    step = F.greatest(F.length(F.bin(size)) - 3, F.lit(threshold.bit_length()))
+    return size - F.pmod(size, F.call_function("shiftleft", F.lit(1), step))
+
+
+def _banded(lines: DataFrame, threshold: int) -> DataFrame:
+    """(line, key): the ``band_keys`` of each line for its own length's band, and for
+    the band below if lines shorter by ``threshold`` are in that one."""
+    sized = lines.select("line", F.char_length("line").alias("size"))
+    sized = sized.select("line", "size", band(F.col("size"), threshold).alias("low"), band(F.col("size") - threshold, threshold).alias("lower"))
+    keys = band_keys(F.col("line"), F.col("size"), F.col("low"), threshold)
+    below = F.when(F.col("lower") < F.col("low"), band_keys(F.col("line"), F.col("size"), F.col("lower"), threshold)).otherwise(F.array().cast("array<bigint>"))
+    return sized.select("line", keys.alias("keys"), below.alias("below")).select("line", F.explode(F.concat("keys", "below")).alias("key"))
+
+
+def _cut(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b, x, y)`` without beginnings or ends that x and y share, as far as
+    halving finds them; the edits between x and y stay the same. x is not longer."""
+    for _ in range(CUTS):
+        pairs = pairs.withColumns({"m": F.char_length("x"), "n": F.char_length("y")}).withColumn("h", F.floor(F.col("m") / 2).cast("int"))
+        m, n, h = F.col("m"), F.col("n"), F.col("h")
+        part = lambda c, start, size: F.substring(c, start, size)
+        head = part("x", F.lit(1), h) == part("y", F.lit(1), h)
+        tail = part("x", m - h + 1, h) == part("y", n - h + 1, h)
+        pairs = pairs.withColumn("side", F.when(h < LEAST_CUT, 0).when(head, 1).when(tail, 2).otherwise(0))
+        rest = lambda c, size: F.when(F.col("side") == 1, part(c, h + 1, size - h)).when(F.col("side") == 2, part(c, F.lit(1), size - h)).otherwise(F.col(c))
+        pairs = pairs.select("a", "b", rest("x", m).alias("x"), rest("y", n).alias("y"))
+    return pairs
+
+
 def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether the edit distance of ``a`` and ``b`` is at most ``threshold``, by a
     banded bit-parallel recurrence (after Myers and Hyyro). ``a`` must not be longer.
@@ -90,7 +147,7 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(digest, component) of the distinct lines of ``lines(line)`` that have a near copy."""
     small = lambda df: df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keyed = lines.select("line", F.explode(segment_keys(F.col("line"), threshold)).alias("key"))
+    keyed = _banded(lines, threshold)
     ends = keyed.select("key", F.xxhash64("line").alias("id")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     shared = save(ends.where("lo <> hi").select("key"), "shared-keys")
     if small(shared):
@@ -101,8 +158,9 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     found = found.select("line", F.unhex(F.md5("line")).alias("digest")).groupBy("digest").agg(F.first("line").alias("line"))
     known = save(found.withColumns({"node": F.monotonically_increasing_id(), "size": F.char_length("line")}), "lines")
 
-    posted = known.select("node", "size", F.explode(segment_keys(F.col("line"), threshold)).alias("key"))
-    posted = save(posted.join(F.broadcast(shared) if small(shared) else shared, "key"), "line-postings")
+    posted = save(known.select("node", "size", F.explode(segment_keys(F.col("line"), F.col("size"), threshold)).alias("key")), "line-keys")
+    met = save(posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "met-keys")
+    posted = save(posted.join(F.broadcast(met) if small(met) else met, "key"), "line-postings")
     sizes = known.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -110,6 +168,7 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
         both = pairs.join(text("a"), "a").join(text("b"), "b")
         swap = F.char_length("ta") > F.char_length("tb")
         both = both.select("a", "b", F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("x"), F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("y"))
+        both = save(_cut(both), "cut-pairs")  # a filter over the cuts would repeat their expressions
         return save(both.where(within_edits(F.col("x"), F.col("y"), threshold)).select("a", "b"), "line-links")
 
     leads = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").join(sizes, "lead").select("key", "lead", "lead_size")
@@ -131,10 +190,10 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     equal or joined by pairs within ``threshold`` edits. Of a class the first line
     stays, by doc_id and place, over all documents. Shorter lines always stay.
 
-    Pairs of near copies are found under the keys of ``segment_keys``: each line
-    with the least line under a key, then, under keys whose lines are still in
-    different components, those across. Copies are one line throughout, so their
-    groups are never paired.
+    Lines that no other meets under ``band_keys`` have no near copies. For the rest,
+    pairs are found under the keys of ``segment_keys``: each line with the least line
+    under a key, then, under keys whose lines are still in different components,
+    those across. Copies are one line throughout, so their groups are never paired.
 
     A null text stays null and has 0 lines; an empty one has 1 line and stays; rows
     with a null doc_id stay as they are; rows with equal doc_id and text are one
