@@ -95,38 +95,43 @@ def records(s, d):
     return out.select("source", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
-HMM_FEATURES = ["log_ret", "true_range_pct", "volume_ratio"]
+#: The engines' features, log_ret first; engines not named here take the generic ones.
+FEATURE_SETS = {"messina": (feat.curated, feat.CURATED)}
 
 
-def hmm_inputs(s, d):
-    p = panel(s, d).withColumns({"log_ret": ind.log_return(), "true_range_pct": ind.ratio(ind.true_range(), "close"), "volume_ratio": ind.ratio("volume", ind.sma(20, "volume", 10))})
-    r = rg.returns(panel(s, d))
-    return r, p.select("symbol", (F.col("bar_index") - 1).cast("int").alias("ret_index"), *HMM_FEATURES).where("ret_index >= 0")
+def hmm_inputs(s, d, engine="hmm"):
+    make, names = FEATURE_SETS.get(engine, (feat.generic, feat.GENERIC))
+    f = make(panel(s, d)).select("symbol", (F.col("bar_index") - 1).cast("int").alias("ret_index"), *names)
+    return rets(s, d), f.where("ret_index >= 0"), list(names)
 
 
-def hmm_labels(s, d, engine="hmm", every=None):
-    r, f = hmm_inputs(s, d)
-    config, own = hmm.engine_config(s, engine)
-    return hmm.walk_forward_labels(r, f, HMM_FEATURES, config, every or own, MIN_TRAIN)
+def hmm_labels(s, d, engine="hmm"):
+    r, f, columns = hmm_inputs(s, d, engine)
+    config, every = hmm.engine_config(s, engine)
+    return hmm.walk_forward_labels(r, f, columns, config, every, MIN_TRAIN)
 
 
 def hmm_query(engine):
     def query(s, d):
-        out, _ = hmm_labels(s, d, engine, 200)
+        out, _ = hmm_labels(s, d, engine)
         return out.select("symbol", "ts", "ret_index", "regime", "p_bear", "p_sideways", "p_bull", "lookahead")
 
     return query
 
 
+HMM_FEATURES = ["log_ret", "true_range_pct", "volume_ratio"]
+FEATURE_SETS["three"] = (feat.curated, HMM_FEATURES)
+
+
 def bic(s, d):
-    r, f = hmm_inputs(s, d)
+    r, f, _ = hmm_inputs(s, d, "three")
     last = r.groupBy("symbol").agg(F.max("ret_index").alias("refit")).where(F.col("refit") >= MIN_TRAIN)
     configs = s.createDataFrame([(k, "hmm", k, seed, None, None) for k in (2, 3, 4) for seed in (42, 43)], "config_id int, engine string, n_states int, seed int, pca double, robust string")
     return hmm.select_states_bic(hmm.fit_models(hmm.training_slices(f, HMM_FEATURES, last), configs))
 
 
 def saliency(s, d):
-    r, f = hmm_inputs(s, d)
+    r, f, _ = hmm_inputs(s, d, "three")
     last = r.groupBy("symbol").agg(F.max("ret_index").alias("refit")).where(F.col("refit") >= MIN_TRAIN)
     configs = s.createDataFrame([(1, 3, seed) for seed in (42, 43, 44)], "config_id int, n_states int, seed int")
     return hmm.fit_saliencies(hmm.training_slices(f, HMM_FEATURES, last), configs, HMM_FEATURES)
