@@ -24,9 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; a document of which nothing
+    """Documents without lines that repeat earlier ones, exact copies of any length
+    and near copies of longer lines; a document of which nothing
     but white space is left, and something was dropped, goes."""
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_lines(docs, exact_chars=1)
     dropped = F.col("n_exact") + F.col("n_near") > 0
     out = out.where(~dropped | F.coalesce(F.length(F.trim(F.translate("text", "\n\r\t", "   "))) > 0, F.lit(False)))
     kept = {"n_chars": F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}

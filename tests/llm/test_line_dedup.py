@@ -135,3 +135,18 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "one line that is long enough to count\n" * 3)], "doc_id long, text string")
     plan = drop_repeated_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_exact_copies_of_short_lines(spark):
+    long = "one line that is long enough to count, number "
+    rows = [(1, f"Menu\n\n  \n{long}1\nMenu"), (2, f"Menu\nMenU\n\n  \nx\n{long}12"), (3, f"x\nMenu \nMenu\n{long}1"), (None, "Menu"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in drop_repeated_lines(frame, exact_chars=1).collect()}
+    assert got == {1: (f"Menu\n\n  \n{long}1", 5, 1, 0), 2: ("MenU\n\n  \nx", 6, 1, 1), 3: ("Menu ", 4, 3, 0), None: ("Menu", 1, 0, 0), 4: (None, 0, 0, 0)}
+
+
+def test_pipeline_drops_short_copies(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(1, "All rights reserved.\nfirst"), (2, "second\nAll rights reserved."), (3, "first")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.repeated_lines(spark, frame, "").collect()} == {(1, "All rights reserved.\nfirst"), (2, "second")}

@@ -9,7 +9,8 @@ from tidemark.llm.common import merge_blocks, save, table
 
 #: Lines within so many edits of each other are near copies.
 THRESHOLD = 2
-#: Shorter lines (headings, list marks, blank lines) are always kept.
+#: Shorter lines (headings, list marks, blank lines) have no near copies; their exact
+#: copies are kept too, unless ``exact_chars`` is given.
 MIN_CHARS = 24
 #: Keys or lines up to so many are matched by a broadcast, beyond by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -139,9 +140,9 @@ def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     return F.when((apart >= 0) & (apart <= threshold), F.aggregate(steps, start, step)["d"] <= threshold).otherwise(F.lit(False))
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+def _occurrences(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.char_length("line") >= min_chars)
+    return lines.where((F.char_length("line") >= min_chars) | ((F.char_length("line") >= exact_chars) & F.col("line").rlike(r"\S")))
 
 
 def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
@@ -181,14 +182,16 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     return comp.join(known.select("node", "digest"), "node").select("digest", "component")
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with ``text`` reduced to lines that don't repeat an earlier one, and
     n_lines, n_exact and n_near: lines it had, and lines dropped as exact and as near
     copies. One row per row of ``docs``; its other columns stay.
 
     Lines (between newlines) of at least ``min_chars`` characters are one class if
     equal or joined by pairs within ``threshold`` edits. Of a class the first line
-    stays, by doc_id and place, over all documents. Shorter lines always stay.
+    stays, by doc_id and place, over all documents. Of shorter lines, those that are
+    not blank and have at least ``exact_chars`` characters are one class if equal; all
+    others, by default every shorter line, always stay.
 
     Lines that no other meets under ``band_keys`` have no near copies. For the rest,
     pairs are found under the keys of ``segment_keys``: each line with the least line
@@ -203,10 +206,10 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
         raise ValueError("min_chars must exceed 2 * threshold + 1")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     docs = docs.select(*keep)
-    lines = _occurrences(docs.select("doc_id", "text"), min_chars)
+    lines = _occurrences(docs.select("doc_id", "text"), min_chars, min_chars if exact_chars is None else exact_chars)
     placed = lines.select(F.unhex(F.md5("line")).alias("digest"), F.struct("doc_id", "version", "no").alias("at"))
     first = save(placed.groupBy("digest").agg(F.min("at").alias("at"), F.count("*").alias("n")), "first-lines")
-    near = save(_near_lines(lines.select("line"), threshold), "near-lines")
+    near = save(_near_lines(lines.where(F.char_length("line") >= min_chars).select("line"), threshold), "near-lines")
     of_class = near.join(first, "digest").groupBy("component").agg(F.min("at").alias("keep"))
     target = near.join(of_class, "component").select("digest", "keep")
     plain = first.where("n > 1").join(near.select("digest"), "digest", "left_anti").select("digest", F.col("at").alias("keep"))
