@@ -61,3 +61,30 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in uf.judge(pages, labelled, min_support=0.02, min_confidence=0.99).collect():
         assert r.verdict == ("block" if bad(urls[r.page_id]) else "allow") and r.mined == bad(urls[r.page_id])
+
+
+def test_long_urls_are_mined_whole(spark):
+    """More than 24 tokens, those that tell in the last places in order; 30 keys that
+    always stand together must not be paired among each other."""
+    rnd = random.Random(2)
+    keys = "&".join(f"k{chr(97 + k // 26)}{chr(97 + k % 26)}=1" for k in range(30))
+    urls = [f"http{rnd.choice(['', 's'])}://a.net/{rnd.choice('xy')}/{rnd.choice(['', 'end/'])}?{keys}{rnd.choice(['', '&zz=1'])}" for _ in range(120)]
+    urls += [f"http://b.net/{rnd.choice('xy')}" for _ in range(60)]
+    bad = lambda u: u.startswith("https") and "zz" in u or "end/" in u and rnd.random() < 0.9 or rnd.random() < 0.2
+    labelled = spark.createDataFrame([(u, bad(u)) for u in urls], "url string, block boolean").select(uf.url_tokens(F.col("url")).alias("tokens"), "block").cache()
+    held = [(frozenset(r.tokens), r.block) for r in labelled.collect()]
+    assert max(len(t) for t, _ in held) > 30
+    many = {f"query:k{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)}
+    few = lambda tokens: len(many & set(tokens)) <= 1
+    every, sure = sorted(set().union(*(t for t, _ in held))), {}
+    one = [t for t in every if t not in many] + ["query:kaa"]
+    for size in range(1, len(one) + 1):
+        for some in combinations(one, size):
+            own = [b for s, b in held if s >= set(some)]
+            if sum(own) >= 0.05 * len(held) and sum(own) >= 0.5 * len(own):
+                sure[frozenset(some)] = sum(own) / len(own)
+    want = {k: round(v, 9) for k, v in sure.items() if not any(o < k and sure[o] >= v for o in sure)}
+    want = {frozenset(m if t == "query:kaa" else t for t in k): v for k, v in want.items() for m in many}
+    got = [(frozenset(r.tokens), round(r.confidence, 9)) for r in uf.mine(labelled, 0.05, 0.5).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
+    assert any("query:zz" in k for k in want) and all(map(few, want))

@@ -9,7 +9,7 @@ from tidemark.llm.common import save, table
 
 #: (verdict, host/path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.6, 24
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: Up to so many mined rules are broadcast; beyond, the join shuffles them.
 BROADCAST_RULES = 10_000
 BLOCK = "label:block"
@@ -55,23 +55,39 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rows (rule_id, tokens, confidence, support): token combinations of
     ``labelled(tokens, block)`` after which ``block`` is likely, by FP-growth.
     A rule is dropped if a shorter one with part of its tokens is as sure.
-    A transaction has its first ``MAX_TOKENS`` tokens in sorted order.
+
+    Transactions are whole token sets but for tokens that fewer than ``min_support``
+    of the rows hold and are to be blocked: no rule can have these. Tokens that
+    stand in the same rows are mined as one: of a rule with two of them, the one
+    without either is as sure; a rule with one is given for each of them.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    rows = labelled.where("block is not null and size(tokens) > 0")
-    items = save(rows.select(F.when(F.col("block"), F.concat(F.slice("tokens", 1, MAX_TOKENS), F.array(F.lit(BLOCK)))).otherwise(F.slice("tokens", 1, MAX_TOKENS)).alias("items")), "transactions")
-    if items.isEmpty():
+    held = save(labelled.where("block is not null and size(tokens) > 0").select(F.monotonically_increasing_id().alias("row"), "tokens", "block"), "labelled")
+    least = min_support * held.count()
+    if not least:
         return empty
+    spread = held.select("row", "block", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    counts = spread.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"), *where).where(F.col("n_block") >= least)
+    alike = save(counts.groupBy("n", "h0", "h1").agg(F.min("token").alias("token"), F.collect_list("token").alias("members")).select("token", "members"), "alike-tokens")
+    named = spread.join(F.broadcast(alike.select("token", F.col("token").alias("known"))), "token", "left")
+    sets = named.groupBy("row", "block").agg(F.collect_list("known").alias("known"))
+    items = save(sets.select(F.when(F.col("block"), F.concat("known", F.array(F.lit(BLOCK)))).otherwise(F.col("known")).alias("items")), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     rules = save(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     wider = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.explode("tokens").alias("t")).alias("w")
     longer = rules.select(F.col("tokens").alias("whole"), "confidence", F.explode("tokens").alias("t")).alias("l")
     beaten = wider.join(longer, "t").where("size(part) < size(whole) and sure >= confidence").groupBy("whole", "part").count().where("count = size(part)").select(F.col("whole").alias("tokens")).distinct()
-    return save(rules.join(beaten, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens")).select("rule_id", "tokens", "confidence", "support"), "rules")
+    sure = rules.join(beaten, "tokens", "left_anti").withColumn("rule", F.monotonically_increasing_id())
+    sure = save(sure, "sure-rules")
+    parts = sure.select("rule", "confidence", "support", F.explode("tokens").alias("token")).join(F.broadcast(alike), "token").groupBy("rule", "confidence", "support").agg(F.collect_list("members").alias("parts"))
+    choices = F.aggregate("parts", F.array(F.array().cast("array<string>")), lambda acc, p: F.flatten(F.transform(acc, lambda a: F.transform(p, lambda t: F.concat(a, F.array(t))))))
+    out = parts.select(F.explode(choices).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+    return save(out.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "rules")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
