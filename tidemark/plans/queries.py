@@ -119,22 +119,24 @@ def hmm_query(engine):
     return query
 
 
-HMM_FEATURES = ["log_ret", "true_range_pct", "volume_ratio"]
-FEATURE_SETS["three"] = (feat.curated, HMM_FEATURES)
+def last_refit(r: DataFrame) -> DataFrame:
+    return r.groupBy("symbol").agg(F.max("ret_index").alias("refit")).where(F.col("refit") >= MIN_TRAIN)
+
+
+#: 2 to min(6, max(2, n // 10)) states are tried; with MIN_TRAIN bars or more that is 6.
+BIC_STATES, BIC_RESTARTS, AUDIT_RUNS = range(2, min(6, max(2, MIN_TRAIN // 10)) + 1), 3, 5
 
 
 def bic(s, d):
-    r, f, _ = hmm_inputs(s, d, "three")
-    last = r.groupBy("symbol").agg(F.max("ret_index").alias("refit")).where(F.col("refit") >= MIN_TRAIN)
-    configs = s.createDataFrame([(k, "hmm", k, seed, None, None) for k in (2, 3, 4) for seed in (42, 43)], "config_id int, engine string, n_states int, seed int, pca double, robust string")
-    return hmm.select_states_bic(hmm.fit_models(hmm.training_slices(f, HMM_FEATURES, last), configs))
+    r, f, columns = hmm_inputs(s, d)
+    configs = s.createDataFrame([(k, "hmm", k, 42 + 1000 * n + k, None, None) for k in BIC_STATES for n in range(BIC_RESTARTS)], "config_id int, engine string, n_states int, seed int, pca double, robust string")
+    return hmm.select_states_bic(hmm.fit_models(hmm.training_slices(f, columns, last_refit(r)), configs))
 
 
 def saliency(s, d):
-    r, f, _ = hmm_inputs(s, d, "three")
-    last = r.groupBy("symbol").agg(F.max("ret_index").alias("refit")).where(F.col("refit") >= MIN_TRAIN)
-    configs = s.createDataFrame([(1, 3, seed) for seed in (42, 43, 44)], "config_id int, n_states int, seed int")
-    return hmm.fit_saliencies(hmm.training_slices(f, HMM_FEATURES, last), configs, HMM_FEATURES)
+    r, f, columns = hmm_inputs(s, d, "fshmm")
+    configs = s.createDataFrame([(1, 3, 42 + n) for n in range(AUDIT_RUNS)], "config_id int, n_states int, seed int")
+    return hmm.fit_saliencies(hmm.training_slices(f, columns, last_refit(r)), configs, columns)
 
 
 def agreement(s, d):
