@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup
+from tidemark.llm import common, line_dedup
 from tidemark.llm.line_dedup import drop_repeated_lines, segment_keys, within_edits
 
 
@@ -68,6 +68,23 @@ def test_bands_and_cuts(spark, threshold):
         assert distance(r.x, r.y) == distance(*pairs_of(pairs, r.a)), (r.x, r.y)
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_edit_keys_under_any_reference(spark, threshold):
+    rnd = random.Random(20 + threshold)
+    rows = []
+    for k in range(300):
+        alphabet = "ab" if k % 2 else "abcé🙂. "
+        ref = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 24)))
+        a = edited(rnd, ref, rnd.randint(0, 6), alphabet)
+        rows.append((k, ref, a, edited(rnd, a, rnd.randint(0, threshold), alphabet)))
+    frame = spark.createDataFrame(rows, "ref long, ref_line string, a string, b string")
+    keys = lambda name: line_dedup.edit_keys(frame.select("ref", F.lit(0).alias("node"), F.col(name).alias("line"), "ref_line"), threshold)
+    of = lambda name: keys(name).join(frame.select(F.col("ref").alias("k")).crossJoin(spark.range(-1, 40).toDF("y")).select(F.xxhash64("k", F.col("y").cast("int")).alias("key"), "k"), "key")
+    a, b = of("a").select("key", "k", F.col("tag").alias("s")), of("b").select("key", "k", F.col("tag").alias("t"))
+    met = {r.k for r in a.join(b, ["key", "k"]).where((F.col("s.e") + F.col("t.e") <= threshold) & F.arrays_overlap("s.rear", "t.rear")).select("k").distinct().collect()}
+    assert met >= {k for k, _, a, b in rows if distance(a, b) <= threshold}
+
+
 def pairs_of(pairs, k):
     return next(p[1:] for p in pairs if p[0] == k)
 
@@ -76,18 +93,19 @@ def brute(rows, threshold, least):
     places = {}
     for doc, text in rows:
         for no, line in enumerate(text.split("\n") if text is not None else []):
-            if doc is not None and len(line) >= least:
+            if doc is not None and (len(line) >= least or line.strip()):
                 places.setdefault(line, set()).add((doc, no))
     lines = list(places)
     comp = {x: x for x in lines}
+    long = [x for x in lines if len(x) >= least]
 
     def root(x):
         while comp[x] != x:
             x = comp[x]
         return x
 
-    for i, x in enumerate(lines):
-        for y in lines[:i]:
+    for i, x in enumerate(long):
+        for y in long[:i]:
             if abs(len(x) - len(y)) <= threshold and distance(x, y) <= threshold:
                 comp[root(x)] = root(y)
     keep = {}
@@ -110,9 +128,11 @@ def brute(rows, threshold, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
-def test_against_all_pairs(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "small", "splits"), [(1_000_000, 16, 3), (0, 2, 2)])
+def test_against_all_pairs(spark, monkeypatch, broadcast, small, splits):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(common, "SMALL_BLOCK", small)
+    monkeypatch.setattr(common, "SPLITS", splits)
     rnd = random.Random(9)
     alphabet = "abcdefgh éß"
     bases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(8, 60))) for _ in range(40)]
@@ -131,10 +151,17 @@ def test_against_all_pairs(spark, monkeypatch, broadcast):
     assert drop_repeated_lines(frame.where("false"), 2, 16).count() == 0
 
 
-def test_plan_is_native(spark):
-    docs = spark.createDataFrame([(1, "one line that is long enough to count\n" * 3)], "doc_id long, text string")
-    plan = drop_repeated_lines(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_plan_is_native(spark, monkeypatch):
+    saved = []
+    real = common.save
+    for module in (common, line_dedup):
+        monkeypatch.setattr(module, "save", lambda df, *rest: (saved.append(df._jdf.queryExecution().toString()), real(df, *rest))[1])
+    monkeypatch.setattr(common, "SMALL_BLOCK", 1)
+    docs = spark.createDataFrame([(k, f"one line that is long enough to count {k}\n" * 3) for k in (1234, 5678, 9012)], "doc_id long, text string")
+    plans = [*saved, drop_repeated_lines(docs)._jdf.queryExecution().toString(), *saved]
+    assert len(plans) > 10 and any("ref_line" in p for p in plans)
+    for plan in plans:
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_exact_copies_of_short_lines(spark):

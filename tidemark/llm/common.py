@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -15,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the
-    one set on the context. Only where neither is set (tests) a local one is made."""
+    one set on the context. Only a session of one machine gets a folder of its own
+    where neither is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -51,9 +56,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     result = None
-    for _ in range(max_rounds):
+    for left in range(max_rounds, -1, -1):
         if edges.isEmpty():
             break
+        if not left:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = save(
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")),
@@ -83,45 +90,58 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return result.select("node", F.col("root").alias("component"))
 
 
-#: A pivot round pairs the members of one block in so many with about so many pivots.
-PIVOT_BLOCKS, PIVOTS = 8, 8
+#: Blocks up to this size are paired as they are, larger ones are first split.
+SMALL_BLOCK = 16
+#: Larger blocks are split so many times; what is then still large is paired as it is.
+SPLITS = 3
 
 
-def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes: DataFrame, fits, rounds: int = 2) -> DataFrame:
+def references(large: DataFrame) -> DataFrame:
+    """(key, node, ref): a node that the members of a block are all compared with, from
+    ``large(key, node)``. Of the least members of the blocks that a block's members
+    are in, it is the least, so that blocks of much the same members have the same."""
+    least = large.groupBy("key").agg(F.min("node").alias("lead"))
+    of_node = large.join(least, "key").groupBy("node").agg(F.min("lead").alias("lead"))
+    of_key = large.join(of_node, "node").groupBy("key").agg(F.min("lead").alias("ref"))
+    return large.select("key", "node").join(of_key, "key")
+
+
+def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes, facts: tuple[str, ...], fits, split, meets) -> DataFrame:
     """Components of all links between nodes that share a block, from ``links(a, b)``
     that are known already. ``posted(key, node)`` lists the blocks' members and
-    ``verified`` keeps the linking rows of a frame of pairs (a, b). ``fits`` is a
-    condition, on ``attributes(node, ...)`` and the same columns of the other node
-    with o_ before their names, that holds for every pair that links.
-
-    Only pairs across components matter. While their number is far above that of the
-    blocks' members, a round pairs the members of some blocks with a few pivots of
-    other components, so that groups of near copies grow together. What then is
-    still apart is paired in full, in all blocks, so no link is missed.
+    ``verified`` keeps the linking rows of a frame of pairs (a, b). ``attributes`` gives
+    for a frame of nodes (node, *facts); ``fits`` is a condition on these columns, and on
+    those of the other node with o_ before their names, that holds for every pair that
+    links.
+
+    Only pairs across components matter, so blocks of one component drop out. Small
+    blocks are paired. ``split(posted)`` gives for the large ones finer blocks
+    (key, node, tag) and links that it found: two nodes of one large block that link,
+    and that these links don't join, share a finer block in which
+    ``meets(tag, other's tag)`` holds. These are treated the same way again, so that a
+    group of near copies is not paired as a whole, and no link is missed.
     """
-    facts = [c for c in attributes.columns if c != "node"]
-    comp = components(links)
-    for k in range(rounds + 1):
-        named = posted.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
-        mixed = by.where("n * n > s").select("key", F.col("n").alias("block_size"), (F.col("n") - F.col("s") / F.col("n")).alias("across"))
+    comp, found = components(links), []
+    for level in range(SPLITS + 1):
+        tag = ["tag"] if level else []
+        named = posted.select("key", "node", *tag).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("parts"))
+        mixed = by.where("parts > 1").select("key", (F.col("size") > (SMALL_BLOCK if level < SPLITS else 1 << 62)).alias("large"))
         left = save(named.join(mixed, "key"), "mixed-blocks")
-        members, across = left.agg(F.count("*"), F.sum("across")).first()
-        if not members:
+        left = save(left.join(attributes(left.select("node").distinct()), "node").select("key", "node", "component", "large", *tag, *facts), "mixed-blocks")
+        small = left.where("not large")
+        other = small.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), *[F.col(c).alias("o_" + c) for c in [*tag, *facts]])
+        apart = (F.col("node") < F.col("o")) & (F.col("component") != F.col("o_component")) & fits
+        if level:
+            apart = apart & meets(F.col("tag"), F.col("o_tag"))
+        pairs = save(small.drop("large").join(other, "key").where(apart).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "apart")
+        if not pairs.isEmpty():
+            found.append(verified(pairs))
+        if left.where("large").isEmpty():
             break
-        posted = left
-        last = k == rounds or across / 2 <= 4 * members
-        if not last:
-            left = left.where(F.pmod(F.xxhash64("key", F.lit(k)), F.lit(PIVOT_BLOCKS)) == 0)
-        left = left.join(attributes, "node").select("key", "node", "component", "block_size", *facts)
-        other = left.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), "block_size", *[F.col(c).alias("o_" + c) for c in facts])
-        if not last:
-            other = other.where(F.pmod(F.xxhash64("o", F.lit(k)), F.lit(1 << 20)) * F.col("block_size") < PIVOTS << 20)
-        apart = (F.col("component") != F.col("o_component")) & fits
-        pairs = left.drop("block_size").join(other.drop("block_size"), "key").where(apart & (F.col("node") < F.col("o")) if last else apart)
-        pairs = pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        links = save(links.unionAll(verified(pairs)), "links")
-        comp = components(links)
-        if last:
-            break
-    return comp
+        posted, more = split(left.where("large").select("key", "node"))
+        if more is not None:
+            found.append(more)
+    if not found:
+        return comp
+    return components(functools.reduce(DataFrame.unionAll, found, links))

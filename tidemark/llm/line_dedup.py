@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import merge_blocks, save, table
+from tidemark.llm.common import merge_blocks, references, save, table
 
 #: Lines within so many edits of each other are near copies.
 THRESHOLD = 2
-#: Shorter lines (headings, list marks, blank lines) have no near copies; their exact
-#: copies are kept too, unless ``exact_chars`` is given.
+#: Shorter lines (headings, list marks) have no near copies.
 MIN_CHARS = 24
+#: Lines from this length on have exact copies, unless they are blank.
+EXACT_CHARS = 1
 #: Keys or lines up to so many are matched by a broadcast, beyond by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Letters that are counted in lines of mixed blocks: an edit moves two counts by one
-#: at most, so lines whose counts differ by more need no verification.
+#: Letters that are counted before lines are compared: an edit moves two counts by one
+#: at most, so lines whose counts differ by more are not near.
 TALLIED = ("a", "e", "i", "no", "ts", "rd", "hl", "uc")
-#: Before two lines are compared, equal halves of theirs are cut off so many times,
-#: while a half has at least so many characters.
-CUTS, LEAST_CUT = 4, 8
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -86,21 +84,71 @@ def _banded(lines: DataFrame, threshold: int) -> DataFrame:
     return sized.select("line", keys.alias("keys"), below.alias("below")).select("line", F.explode(F.concat("keys", "below")).alias("key"))
 
 
+def common_run(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """How many characters ``a`` from x on and ``b`` from y on have in common, by halving."""
+    rest = F.least(F.char_length(a) - x, F.char_length(b) - y)
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    same = lambda n, k: (n + power(k) <= rest) & (F.substring(a, x + n + 1, power(k)) == F.substring(b, y + n + 1, power(k)))
+    steps = F.sequence(F.length(F.bin(F.greatest(rest, F.lit(0)))) - 1, F.lit(0), F.lit(-1))
+    return F.aggregate(steps, F.lit(0), lambda n, k: n + F.when(same(n, k), power(k)).otherwise(F.lit(0)))
+
+
 def _cut(pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b, x, y)`` without beginnings or ends that x and y share, as far as
-    halving finds them; the edits between x and y stay the same. x is not longer."""
-    for _ in range(CUTS):
-        pairs = pairs.withColumns({"m": F.char_length("x"), "n": F.char_length("y")}).withColumn("h", F.floor(F.col("m") / 2).cast("int"))
-        m, n, h = F.col("m"), F.col("n"), F.col("h")
-        part = lambda c, start, size: F.substring(c, start, size)
-        head = part("x", F.lit(1), h) == part("y", F.lit(1), h)
-        tail = part("x", m - h + 1, h) == part("y", n - h + 1, h)
-        pairs = pairs.withColumn("side", F.when(h < LEAST_CUT, 0).when(head, 1).when(tail, 2).otherwise(0))
-        rest = lambda c, size: F.when(F.col("side") == 1, part(c, h + 1, size - h)).when(F.col("side") == 2, part(c, F.lit(1), size - h)).otherwise(F.col(c))
-        pairs = pairs.select("a", "b", rest("x", m).alias("x"), rest("y", n).alias("y"))
+    """``pairs(a, b, x, y)`` without the beginning and the end that x and y share; the
+    edits between x and y stay the same."""
+    for _ in range(2):  # the end is the beginning of the reversed lines
+        pairs = pairs.withColumn("n", common_run(F.col("x"), F.lit(0), F.col("y"), F.lit(0)))
+        pairs = pairs.select("a", "b", *[F.reverse(F.substring(c, F.col("n") + 1, F.char_length(c))).alias(c) for c in ("x", "y")])
     return pairs
 
 
+def edit_places(line: Column, other: Column, threshold: int) -> list:
+    """Steps of (name, column) that make ``places_0`` to ``places_<threshold>``: the
+    places (x in the line, y in the other line) that are reached with so many edits at
+    most, each as late as can be. Where both lines end, y is one above the length."""
+    m, n = F.char_length(line), F.char_length(other)
+
+    def reached(x: Column, y: Column) -> Column:
+        run = common_run(line, x, other, y)
+        return F.transform(F.array(run), lambda r: F.struct((x + r).alias("x"), (y + r + F.when((x + r == m) & (y + r == n), 1).otherwise(0)).alias("y")))[0]
+
+    steps = [("places_0", F.array(reached(F.lit(0), F.lit(0))))]
+    for k in range(1, threshold + 1):
+        open_ = F.filter(F.col(f"places_{k - 1}"), lambda p: p["y"] <= n)
+        next_ = lambda p: F.array(F.struct((p["x"] + 1).alias("x"), (p["y"] + 1).alias("y")), F.struct((p["x"] + 1).alias("x"), p["y"].alias("y")), F.struct(p["x"].alias("x"), (p["y"] + 1).alias("y")))
+        inside = F.filter(F.flatten(F.transform(open_, next_)), lambda p: (p["x"] <= m) & (p["y"] <= n))
+        steps.append((f"places_{k}", F.array_distinct(F.transform(F.array_distinct(inside), lambda p: reached(p["x"], p["y"])))))
+    return steps
+
+
+def edit_keys(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``lines(node, ref, line, ref_line)`` to finer blocks (key, node, tag).
+
+    Two lines within ``threshold`` edits are both compared with a third one, the
+    reference, from their beginning. Where the first of them departs from it while the
+    other one follows it on, one of the edits between them must stand; after that edit
+    the first goes on along the other. So, edit by edit, they come to a place of the
+    reference that both reach with ``threshold`` edits together. The same holds from
+    the end. A key is the reference and such a place; a tag holds the edits to get
+    there and the places reached from the end.
+    """
+    for side in ("front", "rear"):
+        if side == "rear":
+            lines = lines.withColumns({"line": F.reverse("line"), "ref_line": F.reverse("ref_line")})
+        for name, column in edit_places(F.col("line"), F.col("ref_line"), threshold):
+            lines = lines.withColumn(name, column)
+        known, found = F.array().cast("array<int>"), []
+        for k in range(threshold + 1):
+            ys = F.array_distinct(F.transform(F.col(f"places_{k}"), lambda p: p["y"]))
+            edits = F.lit(k).alias("e")
+            found.append(F.transform(F.array_except(ys, known), lambda y: F.struct(y.alias("y"), edits)))  # noqa: B023
+            known = F.concat(known, ys)
+        lines = lines.withColumn(side, F.concat(*found)).drop(*[f"places_{k}" for k in range(threshold + 1)])
+    rear = F.transform("rear", lambda p: p["y"])
+    keyed = lines.select("node", "ref", rear.alias("rear"), F.explode("front").alias("p"))
+    return keyed.select(F.xxhash64("ref", "p.y").alias("key"), "node", F.struct("p.e", "rear").alias("tag"))
+
+
 def within_edits(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether the edit distance of ``a`` and ``b`` is at most ``threshold``, by a
     banded bit-parallel recurrence (after Myers and Hyyro). ``a`` must not be longer.
@@ -164,25 +212,35 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     posted = save(posted.join(F.broadcast(met) if small(met) else met, "key"), "line-postings")
     sizes = known.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
 
+    tally = lambda line: F.array(*[F.char_length(line) - F.char_length(F.translate(line, letters, "")) for letters in TALLIED])
+    moved = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+
     def verified(pairs: DataFrame) -> DataFrame:
         text = lambda name: known.select(F.col("node").alias(name), F.col("line").alias("t" + name))
         both = pairs.join(text("a"), "a").join(text("b"), "b")
         swap = F.char_length("ta") > F.char_length("tb")
         both = both.select("a", "b", F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("x"), F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("y"))
         both = save(_cut(both), "cut-pairs")  # a filter over the cuts would repeat their expressions
+        both = save(both.where(moved(tally("x"), tally("y")) <= 2 * threshold), "near-pairs")
         return save(both.where(within_edits(F.col("x"), F.col("y"), threshold)).select("a", "b"), "line-links")
 
     leads = posted.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").join(sizes, "lead").select("key", "lead", "lead_size")
     first = posted.join(leads, "key").where((F.col("lead") < F.col("node")) & (F.abs(F.col("size") - F.col("lead_size")) <= threshold))
     links = verified(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    tally = [(F.char_length("line") - F.char_length(F.translate("line", letters, ""))).alias(f"n_{letters}") for letters in TALLIED]
-    moved = sum((F.abs(F.col(f"n_{x}") - F.col(f"o_n_{x}")) for x in TALLIED), F.lit(0))
-    fits = (F.abs(F.col("size") - F.col("o_size")) <= threshold) & (moved <= 2 * threshold)
-    comp = merge_blocks(posted, links, verified, known.select("node", "size", *tally), fits)
+    fits = (F.abs(F.col("size") - F.col("o_size")) <= threshold) & (moved("tally", "o_tally") <= 2 * threshold)
+    attributes = lambda nodes: known.join(nodes, "node", "left_semi").select("node", "size", tally("line").alias("tally"))
+
+    def split(large: DataFrame):
+        refs = save(references(large).select("node", "ref").distinct(), "references")
+        both = refs.join(known.select("node", "line"), "node").join(known.select(F.col("node").alias("ref"), F.col("line").alias("ref_line")), "ref")
+        return save(edit_keys(both, threshold), "edit-keys"), None
+
+    meets = lambda tag, o: (tag["e"] + o["e"] <= threshold) & F.arrays_overlap(tag["rear"], o["rear"])
+    comp = merge_blocks(posted, links, verified, attributes, ("size", "tally"), fits, split, meets)
     return comp.join(known.select("node", "digest"), "node").select("digest", "component")
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = EXACT_CHARS) -> DataFrame:
     """``docs`` with ``text`` reduced to lines that don't repeat an earlier one, and
     n_lines, n_exact and n_near: lines it had, and lines dropped as exact and as near
     copies. One row per row of ``docs``; its other columns stay.
@@ -191,12 +249,13 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     equal or joined by pairs within ``threshold`` edits. Of a class the first line
     stays, by doc_id and place, over all documents. Of shorter lines, those that are
     not blank and have at least ``exact_chars`` characters are one class if equal; all
-    others, by default every shorter line, always stay.
+    others (with None every shorter line) always stay.
 
     Lines that no other meets under ``band_keys`` have no near copies. For the rest,
     pairs are found under the keys of ``segment_keys``: each line with the least line
     under a key, then, under keys whose lines are still in different components,
-    those across. Copies are one line throughout, so their groups are never paired.
+    those across; many lines under one key are first split by ``edit_keys``. Copies
+    are one line throughout, so their groups are never paired.
 
     A null text stays null and has 0 lines; an empty one has 1 line and stays; rows
     with a null doc_id stay as they are; rows with equal doc_id and text are one
@@ -240,8 +299,8 @@ WITH RECURSIVE o AS (
 u AS (
   SELECT line, min(struct_pack(d := doc_id, n := no)) AS at, length(line) AS len,
          translate(line, 'àáâäçèéêëíîïñóôöùúûüßÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)||chr(31)||'QWYXZJKVPFG{}~^`<>') AS k
-  FROM o WHERE length(line) >= 24 GROUP BY line),
-pairs AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON b.len BETWEEN a.len - 2 AND a.len + 2 AND a.line <> b.line WHERE levenshtein(a.k, b.k) <= 2),
+  FROM o WHERE length(line) >= 24 OR regexp_matches(line, '\\S') GROUP BY line),
+pairs AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON a.len >= 24 AND b.len >= 24 AND b.len BETWEEN a.len - 2 AND a.len + 2 AND a.line <> b.line WHERE levenshtein(a.k, b.k) <= 2),
 reach AS (SELECT line AS a, line AS b FROM u WHERE line IN (SELECT a FROM pairs) UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
 keepers AS (SELECT a AS line, min(u.at) AS keep FROM reach JOIN u ON u.line = reach.b GROUP BY a),
 j AS (
