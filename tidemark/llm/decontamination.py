@@ -10,8 +10,6 @@ from tidemark.llm.common import save, table
 WINDOW = 10
 #: A shard of the index ends at so many documents or words.
 SHARD_DOCS, SHARD_WORDS = 8192, 2_000_000
-#: Up to so many distinct test terms only these are indexed; beyond, all terms are.
-VOCABULARY_BOUND = 200_000
 
 
 def _separators() -> bytes:
@@ -40,18 +38,17 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "item_id string, terms array<string>")
 
 
-def build_index(docs: DataFrame, vocabulary: list[str] | None, gap: int) -> DataFrame:
-    """Positional postings, in shards of whole documents.
+def build_index(docs: DataFrame, gap: int) -> DataFrame:
+    """Positional postings of all terms, in shards of whole documents.
 
     A row (shard, term, n, positions) holds a term's places in the shard, as
     int32 differences; a document begins ``gap`` places after its predecessor's
     end, so that no phrase reaches over. A row with a null term holds the shard's
-    doc_ids and n_words. ``vocabulary`` restricts the terms that are kept.
+    doc_ids and n_words.
     """
     import numpy as np
 
     trans = _separators()
-    shared = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(vocabulary)})
 
     def index(batches):
         import pyarrow as pa
@@ -59,50 +56,41 @@ def build_index(docs: DataFrame, vocabulary: list[str] | None, gap: int) -> Data
 
         schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("positions", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64()))])
         task, seq = TaskContext.get().partitionId(), 0
-        fixed = shared.value if shared else None
-        terms = list(fixed) if fixed else []
 
         def flush(number, chunks, doc_ids, sizes):
-            names = terms if fixed is not None else list(number)
-            at = [(task << 24) + seq]
-            rows = [(at[0], None, None, None, doc_ids, sizes)]
-            ids = np.concatenate([c[0] for c in chunks]) if chunks else np.empty(0, np.int32)
-            if ids.size:
-                places = np.concatenate([c[1] for c in chunks])
-                if len(names) < 65536:
-                    ids = ids.astype(np.uint16)
-                order = np.argsort(ids, kind="stable")
-                ids, places = ids[order], places[order]
-                cuts = np.flatnonzero(np.diff(ids)) + 1
-                for s, e in zip([0, *cuts], [*cuts, ids.size], strict=True):
-                    run = places[s:e]
-                    rows.append((at[0], names[int(ids[s])].decode(), int(e - s), np.diff(run, prepend=np.int32(0)).astype(np.int32).tobytes(), None, None))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-        number, chunks, doc_ids, sizes, base, total = {}, [], [], [], 0, 0
+            shard = (task << 24) + seq
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "doc_ids": doc_ids, "n_words": sizes}], schema=schema)
+            words = np.concatenate(chunks) if chunks else np.empty(0, np.int32)
+            if not words.size:
+                return
+            starts = np.repeat(np.cumsum([0, *(n + gap for n in sizes[:-1])]) - np.cumsum([0, *sizes[:-1]]), sizes)
+            order = np.argsort(words.astype(np.uint16) if len(number) < 65536 else words, kind="stable")
+            places = (order + starts[order]).astype(np.int32)
+            ends = np.cumsum(np.bincount(words, minlength=len(number)))
+            firsts = np.concatenate([[0], ends[:-1]])
+            steps = np.diff(places, prepend=np.int32(0))
+            steps[firsts] = places[firsts]
+            offsets = pa.py_buffer((4 * np.append(firsts, ends[-1])).astype(np.int32).tobytes())
+            positions = pa.Array.from_buffers(pa.binary(), len(number), [None, offsets, pa.py_buffer(steps.astype(np.int32).tobytes())])
+            nothing = pa.nulls(len(number), pa.list_(pa.int64()))
+            columns = [pa.array(np.full(len(number), shard)), pa.array(list(number), pa.binary()).cast(pa.string()), pa.array(ends - firsts), positions, nothing, nothing]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        number, chunks, doc_ids, sizes, total = {}, [], [], [], 0
         for batch in batches:
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (cell.as_py() or b"").translate(trans).split()
-                if fixed is not None:
-                    get = fixed.get
-                    ids = np.array([get(w, -1) for w in words], np.int32)
-                    at = np.flatnonzero(ids >= 0).astype(np.int32)
-                    ids = ids[at]
-                else:
-                    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int32)
-                    at = np.arange(len(words), dtype=np.int32)
-                if ids.size:
-                    chunks.append((ids, at + np.int32(base)))
+                if words:
+                    chunks.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
                 doc_ids.append(doc_id)
                 sizes.append(len(words))
-                base += len(words) + gap
                 total += len(words)
                 if total >= SHARD_WORDS or len(sizes) >= SHARD_DOCS:
-                    yield flush(number, chunks, doc_ids, sizes)
-                    number, chunks, doc_ids, sizes, base, total = {}, [], [], [], 0, 0
+                    yield from flush(number, chunks, doc_ids, sizes)
+                    number, chunks, doc_ids, sizes, total = {}, [], [], [], 0
                     seq += 1
         if sizes:
-            yield flush(number, chunks, doc_ids, sizes)
+            yield from flush(number, chunks, doc_ids, sizes)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(index, "shard long, term string, n long, positions binary, doc_ids array<long>, n_words array<long>")
 
@@ -115,9 +103,10 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
     (items of which a window occurs so that, measured from its rarest term, each
     term is at most ``slop`` places from where the phrase has it; with 0 the same).
 
-    The index of the documents is stored in the shared folder. A window goes to
-    the shards that hold its rarest term, by a join on that term; there the
-    offset-adjusted lists of its terms are intersected from the rarest on.
+    The index of all terms of the documents is stored in the shared folder; what the
+    windows' terms have in it is read from there. A window goes to the shards that hold
+    its rarest term, by a join on that term; there the offset-adjusted lists of its
+    terms are intersected from the rarest on.
 
     Null texts have no words; a null doc_id stays null; an item with a null
     item_id marks words but isn't listed; repeated items count once; repeated
@@ -129,8 +118,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
     gap = window + slop + 1
     runs = save(item_windows(items, window), "windows").withColumn("wid", F.monotonically_increasing_id())
     vocabulary = runs.select(F.explode("terms").alias("term")).distinct()
-    few = [r.term for r in vocabulary.limit(VOCABULARY_BOUND + 1).collect()]
-    index = save(build_index(docs, sorted(few) if len(few) <= VOCABULARY_BOUND else None, gap), "postings")
+    stored = save(build_index(docs, gap), "postings")
+    index = save(stored.where("term is not null").join(vocabulary, "term", "left_semi").select(*stored.columns).unionAll(stored.where("term is null")), "asked-postings")
 
     counts = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("freq"))
     ranked = (
