@@ -88,3 +88,18 @@ def test_long_urls_are_mined_whole(spark):
     got = [(frozenset(r.tokens), round(r.confidence, 9)) for r in uf.mine(labelled, 0.05, 0.5).collect()]
     assert len(got) == len(dict(got)) and dict(got) == want
     assert any("query:zz" in k for k in want) and all(map(few, want))
+
+
+def test_least_rows_and_hot_token_sets(spark, monkeypatch):
+    url = lambda k, part: f"http://h{k % 3}.net/{part}/{k}"
+    labelled = spark.createDataFrame([(url(k, "bad"), True) for k in range(25)] + [(url(k, "rare"), True) for k in range(5)] + [(url(k, "good"), False) for k in range(60)], "url string, block boolean")
+    pages = spark.createDataFrame([(k, url(0, "bad")) for k in range(40)] + [(100 + k, url(k, p)) for k in range(6) for p in ("bad", "rare", "good")] + [(200, None), (201, None), (None, url(1, "bad"))], "page_id long, url string")
+
+    def verdicts(share, rows):
+        monkeypatch.setattr(uf, "HOT_SHARE", share)
+        return sorted(((r.page_id, r.path, r.verdict) for r in uf.judge(pages, labelled, min_support=0.01, min_confidence=0.9, min_rows=rows).collect()), key=repr)
+
+    few, hot, strict = verdicts(1, 1), verdicts(1000, 1), verdicts(3, 20)
+    assert few == hot and len(few) == pages.count()
+    blocked = lambda found: {p.split("/")[1] for _, p, v in found if v == "block"}
+    assert blocked(few) == {"bad", "rare"} and blocked(strict) == {"bad"}

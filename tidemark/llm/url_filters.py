@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from tidemark.llm.common import save, table
 #: (verdict, host/path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: A rule of the registered query rests on so many labelled rows at least.
+MIN_ROWS = 20
+#: Token sets in more than one of so many pages are judged by a broadcast table, which
+#: so has fewer rows than that; the others are dealt out by token set.
+HOT_SHARE = 1000
 #: Up to so many mined rules are broadcast; beyond, the join shuffles them.
 BROADCAST_RULES = 10_000
 BLOCK = "label:block"
@@ -51,13 +58,14 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, every).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> DataFrame:
     """Rows (rule_id, tokens, confidence, support): token combinations of
     ``labelled(tokens, block)`` after which ``block`` is likely, by FP-growth.
     A rule is dropped if a shorter one with part of its tokens is as sure.
 
-    Transactions are whole token sets but for tokens that fewer than ``min_support``
-    of the rows hold and are to be blocked: no rule can have these. Tokens that
+    Of all rows ``min_support``, and ``min_rows`` at least, must hold a rule's tokens
+    and be blocked. Transactions are whole token sets but for tokens that fewer rows
+    hold and are to be blocked: no rule can have these. Tokens that
     stand in the same rows are mined as one: of a rule with two of them, the one
     without either is as sure; a rule with one is given for each of them.
     """
@@ -66,9 +74,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     held = save(labelled.where("block is not null and size(tokens) > 0").select(F.monotonically_increasing_id().alias("row"), "tokens", "block"), "labelled")
-    least = min_support * held.count()
-    if not least:
+    n = held.count()
+    least = math.ceil(max(min_support * n, min_rows))
+    if least > n:
         return empty
+    min_support = (least - 0.5) / n  # FP-growth rounds the product with n up
     spread = held.select("row", "block", F.explode("tokens").alias("token"))
     where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     counts = spread.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"), *where).where(F.col("n_block") >= least)
@@ -104,7 +114,7 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens").agg(F.max_by(F.struct("rule_tokens", "confidence"), F.struct("confidence", "rule_tokens")).alias("best")).select("tokens", "best.*")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> DataFrame:
     """One row per row of ``pages(page_id, url)``: page_id, host, path, rule,
     verdict, mined (whether a mined rule gave the verdict).
 
@@ -118,10 +128,15 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens"))
-    mined = mine(labelled.select(url_tokens(F.col("url").cast("string")).alias("tokens"), "block"), min_support, min_confidence)
-    verdicts = match(rows.groupBy("tokens").agg(F.count("*").alias("n")).select("tokens"), mined).select("tokens", F.lit(True).alias("mined"))
+    mined = mine(labelled.select(url_tokens(F.col("url").cast("string")).alias("tokens"), "block"), min_support, min_confidence, min_rows)
+    sets = save(rows.groupBy("tokens").agg(F.count("*").alias("n")), "token-sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    verdicts = save(match(sets.select("tokens"), mined).select("tokens", F.lit(True).alias("mined")), "verdicts")
+    hot = sets.where(F.col("n") * HOT_SHARE > total).join(verdicts, "tokens", "left").select("tokens", F.coalesce("mined", F.lit(False)).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "tokens", "left")
+    rest = marked.where("hot is null").join(verdicts, "tokens", "left")
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    found = rows.join(verdicts, "tokens", "left").withColumns({"rule": rule, "fixed": verdict})
+    found = marked.where("hot is not null").withColumn("mined", F.col("hot")).unionByName(rest).withColumns({"rule": rule, "fixed": verdict})
     return found.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), (F.col("fixed").isNull() & F.coalesce("mined", F.lit(False))).alias("mined"))
 
 
@@ -130,4 +145,4 @@ def op10_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", (F.col("quality") == 0).alias("block"))
-    return judge(pages, labelled)
+    return judge(pages, labelled, min_rows=MIN_ROWS)
