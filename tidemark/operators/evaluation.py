@@ -55,6 +55,23 @@ def sweep_threshold(rets: DataFrame, grid: DataFrame, min_train: int = 252) -> D
     return found.join(F.broadcast(grid), "config_id").drop("n_equity")
 
 
+def evaluate(engines: dict[str, DataFrame], min_train: int = 252, filters: dict[str, tuple[int, float]] | None = None) -> DataFrame:
+    """Symbols x engines in one table: current regime, counts of regimes and the
+    metrics of each engine's ``labels(symbol, ts, ret_index, ret, regime)``, its
+    positions under the engine's filter of ``filters`` (bars to dwell, least lead of the
+    posterior). The engines' rows are put under each other and measured in one pass."""
+    rows, keys = None, ("symbol", "engine")
+    for name, labels in engines.items():
+        dwell, lead = (filters or {}).get(name, (0, 0.0))
+        columns = ["symbol", "ts", "ret_index", "ret", "regime", *(["posterior"] if "posterior" in labels.columns else [])]
+        one = backtest.filtered_positions(labels.select(*columns), min_train, dwell, lead)
+        one = one.select("symbol", F.lit(name).alias("engine"), "ts", "ret_index", "ret", "regime", "position")
+        rows = one if rows is None else rows.unionByName(one)
+    counts = [F.count_if(F.col("regime") == k).alias(f"n_{n}") for k, n in enumerate(("bear", "sideways", "bull"))]
+    now = rows.groupBy(*keys).agg(F.max_by("regime", "ret_index").alias("regime"), *counts)
+    return now.join(backtest.metrics(backtest.equity(rows, min_train, keys), keys), list(keys))
+
+
 def filter_valid(results: DataFrame) -> DataFrame:
     error = F.col("error").isNull() if "error" in results.columns else F.lit(True)
     return results.where(error & F.col("sharpe").isNotNull())
@@ -110,8 +127,10 @@ def _long(rows: DataFrame, parameters: list[str]) -> DataFrame:
 
 def rank_configs(results: DataFrame, metric: str = "sharpe") -> DataFrame:
     """Mean, upper median, and share above 0.1 of a metric per configuration."""
-    d = results.where(F.col(metric).isNotNull()).groupBy("config_id").agg(F.avg(metric).alias("mean"), F.sort_array(F.collect_list(metric)).alias("xs"), F.avg((F.col(metric) > 0.1).cast("double")).alias("positive_share"), F.count("*").alias("n"))
-    return d.select("config_id", "mean", F.get("xs", F.floor(F.size("xs") / 2).cast("int")).alias("median"), "positive_share", "n")
+    of = Window.partitionBy("config_id")
+    d = results.where(F.col(metric).isNotNull()).select("config_id", F.col(metric).alias("x"))
+    d = d.withColumns({"rank": F.row_number().over(of.orderBy("x")) - 1, "size": F.count("*").over(of)})
+    return d.groupBy("config_id").agg(F.avg("x").alias("mean"), F.max(F.when(F.col("rank") == F.floor(F.col("size") / 2), F.col("x"))).alias("median"), F.avg((F.col("x") > 0.1).cast("double")).alias("positive_share"), F.count("*").alias("n"))
 
 
 def parameter_impact(results: DataFrame, parameters: list[str], metric: str = "sharpe") -> DataFrame:
@@ -157,16 +176,24 @@ def saliency_summary(saliency: DataFrame, threshold: float = 0.5) -> DataFrame:
     return saliency.groupBy("symbol").agg(F.avg("rho").alias("mean"), F.median("rho").alias("median"), F.max("rho").alias("most"), F.count_if(F.col("rho") >= threshold).alias("selected"))
 
 
-#: Substring of a feature's name -> category; the first that fits counts.
-CATEGORIES = (("volume", "volume"), ("obv", "volume"), ("vwap", "volume"), ("adl", "volume"), ("vpt", "volume"), ("ret", "returns"), ("sma", "trend"), ("ema", "trend"), ("adx", "trend"), ("di_", "trend"), ("atr", "volatility"), ("bb_", "volatility"), ("range", "volatility"), ("vol", "volatility"), ("rsi", "momentum"), ("roc", "momentum"), ("stoch", "momentum"), ("day", "calendar"), ("month", "calendar"), ("quarter", "calendar"))
+#: A feature's category is the first of which its name, in lower case,
+#: has one of the parts.
+CATEGORIES = (
+    ("Returns", ("log_ret", "simple_ret")),
+    ("Moving Averages", ("ma_", "sma_", "ema_", "tma_", "wma_", "hma_")),
+    ("Volatility", ("atr", "volatility", "bb_", "kc_", "keltner_", "donchian_", "chaikin_vol", "hv_")),
+    ("Momentum", ("rsi", "roc", "macd", "stoch", "williams", "cci", "mfi", "mtm_", "proc")),
+    ("Volume", ("volume_", "obv", "vwap", "adl", "vpt", "eom_")),
+    ("Trend", ("adx", "aroon", "di_", "dpo")),
+    ("Price Patterns", ("price_position", "hl_ratio")),
+    ("Time-based", ("day_of", "month", "quarter", "hour", "minute", "session", "is_", "_sin", "_cos")),
+)
 
 
 def feature_category(feature: str = "feature"):
-    out = None
-    for part, name in CATEGORIES:
-        test = F.contains(F.col(feature), F.lit(part))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("other")
+    name = F.lower(feature)
+    found = [F.when(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(name, p)), category) for category, parts in CATEGORIES]
+    return F.coalesce(*found, F.lit("Other"))
 
 
 def saliency_audit(saliency: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from tidemark.functions import recurrences as rec
 from tidemark.functions.frames import by_time
 from tidemark.functions.scalar import null_inf, ratio
 
-CURATED = ("log_ret", "sma_200", "sma_13", "atr_20", "adx_14", "di_plus_14", "di_minus_14", "adx_inflection", "di_spread", "vstop", "vstop_trend", "vstop_interaction", "price_sma200_ratio", "price_vstop_ratio", "price_vstop_gap_atr", "sma200_distance_atr", "volume_ratio", "true_range_pct", "kdj_j")
+#: Fixed values, in the order in which engines take them.
+CURATED = ("log_ret", "sma_200", "sma_13", "atr_20", "adx_14", "adx_inflection", "di_plus_14", "di_minus_14", "di_spread", "vstop", "vstop_trend", "vstop_interaction", "price_sma200_ratio", "price_vstop_ratio", "price_vstop_gap_atr", "sma200_distance_atr", "volume_ratio", "true_range_pct", "kdj_j")
 #: What the engines with generic features are fitted on: the 49 columns of ``generic``
 #: that the survey's default configuration yields. mfi_14 is not one of them.
 GENERIC = ("log_ret", "simple_ret", "sma_20", "ema_20", "sma_ratio_50_200", "atr_14", "bb_upper", "bb_middle", "bb_lower", "bb_width", "bb_position", "rsi_14", "roc_10", "stoch_k_14", "stoch_d_3", "volume_sma_20", "volume_ratio_20", "obv", "vwap", "adx_14", "di_plus_14", "di_minus_14", "price_position_5", "price_position_10", "price_position_20", "hl_ratio_5", "hl_ratio_10", "hl_ratio_20", "williams_r_14", "cci_20", "adl", "vpt", "day_of_week", "day_of_month", "month", "quarter", "is_month_end", "is_month_start", "is_quarter_end", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos", "hour", "minute", "session", "hour_sin", "hour_cos", "is_weekend")

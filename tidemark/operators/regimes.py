@@ -115,18 +115,21 @@ def latest_transitions(events: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
+def _numbered(labels: DataFrame) -> DataFrame:
+    """Labels with ``spell``, the number from 0 of a bar's run of its regime."""
+    changed = F.coalesce((F.col("regime") != F.lag("regime").over(by_time())).cast("int"), F.lit(0))
+    return labels.withColumn("new", changed).withColumn("spell", F.sum("new").over(by_time().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+
+
 def spells(labels: DataFrame) -> DataFrame:
     """Runs of a regime: (symbol, spell, regime, start_index, end_index, duration,
     censored); the last run of a symbol is censored."""
-    changed = F.coalesce((F.col("regime") != F.lag("regime").over(by_time())).cast("int"), F.lit(0))
-    rows = labels.withColumn("new", changed).withColumn("spell", F.sum("new").over(by_time().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    runs = rows.groupBy("symbol", "spell").agg(F.first("regime").alias("regime"), F.min("ret_index").alias("start_index"), F.max("ret_index").alias("end_index"), F.count("*").alias("duration"))
+    runs = _numbered(labels).groupBy("symbol", "spell").agg(F.first("regime").alias("regime"), F.min("ret_index").alias("start_index"), F.max("ret_index").alias("end_index"), F.count("*").alias("duration"))
     return runs.withColumn("censored", F.col("spell") == F.max("spell").over(whole()))
 
 
-def spell_covariates(labels: DataFrame, runs: DataFrame) -> DataFrame:
+def spell_covariates(labels: DataFrame) -> DataFrame:
     """(symbol, spell, regime, duration, event, volatility, total_log_return): the
-    population deviation and the sum of log returns inside the spell."""
-    inside = labels.join(runs, (labels["symbol"] == runs["symbol"]) & labels["ret_index"].between(runs["start_index"], runs["end_index"])).select(runs["symbol"], runs["spell"], F.log1p(labels["ret"]).alias("lr"), runs["regime"], "duration", "censored")
-    out = inside.groupBy("symbol", "spell", "regime", "duration", "censored").agg(F.stddev_pop("lr").alias("volatility"), F.sum("lr").alias("total_log_return"))
-    return out.select("symbol", "spell", "regime", "duration", (~F.col("censored")).alias("event"), "volatility", "total_log_return")
+    population deviation and the sum of log returns inside each run of a regime."""
+    runs = _numbered(labels).groupBy("symbol", "spell").agg(F.first("regime").alias("regime"), F.count("*").alias("duration"), F.stddev_pop(F.log1p("ret")).alias("volatility"), F.sum(F.log1p("ret")).alias("total_log_return"))
+    return runs.select("symbol", "spell", "regime", "duration", (F.col("spell") < F.max("spell").over(whole())).alias("event"), "volatility", "total_log_return")

@@ -66,6 +66,27 @@ def expected_total(shape="weibull_shape", scale="weibull_scale"):
     return F.col(scale) * gamma(1 + 1 / F.col(shape))
 
 
+def concordance(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, concordance) of ``scored(keys, duration, r)``: of the pairs of unequal
+    durations, the share in which the shorter one has the larger r, ties as halves.
+
+    Durations are ranked from 0. Two unequal ranks have a highest bit in which they
+    differ; above it they are the same. So per bit, among the spells that share the
+    bits above, those with a 0 are shorter than those with a 1, and a running count in
+    order of r says of how many r is less or equal. No pair is formed.
+    """
+    ranked = scored.select(*keys, "r", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("duration")) - 1).alias("rank"))
+    ranked = ranked.withColumn("top", F.max("rank").over(Window.partitionBy(*keys)))
+    bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)))
+    power = F.call_function("shiftleft", F.lit(1), F.col("bit"))
+    bits = bits.select(*keys, "r", "bit", F.floor(F.col("rank") / (power * 2)).alias("above"), F.pmod(F.floor(F.col("rank") / power), F.lit(2)).alias("longer"))
+    group = Window.partitionBy(*keys, "bit", "above")
+    shorter = lambda w: F.coalesce(F.sum(1 - F.col("longer")).over(w), F.lit(0))
+    by_r = group.orderBy("r")
+    counted = bits.withColumns({"all": shorter(group), "upto": shorter(by_r.rangeBetween(Window.unboundedPreceding, 0)), "tied": shorter(by_r.rangeBetween(0, 0))}).where("longer = 1")
+    return counted.groupBy(*keys).agg(F.try_divide(F.sum(F.col("all") - F.col("upto") + F.col("tied") / 2), F.sum("all")).alias("concordance"))
+
+
 def cox_fit(covariates: DataFrame, rounds: int = 20) -> DataFrame:
     """(symbol, regime, n, beta_volatility, beta_return, concordance): proportional
     hazards on completed spells of each symbol's regime, ties as Breslow.
@@ -98,9 +119,33 @@ def cox_fit(covariates: DataFrame, rounds: int = 20) -> DataFrame:
         if not found.num_rows or max(v or 0.0 for v in found.column("moved").to_pylist()) < 1e-9:
             break
     scored = rows.join(beta, keys).withColumn("r", F.col("bx") * F.col("x") + F.col("by") * F.col("y"))
-    a, b = scored.alias("a"), scored.alias("b")
-    pair = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.regime") == F.col("b.regime")) & (F.col("a.duration") < F.col("b.duration")))
-    good = F.when(F.col("a.r") > F.col("b.r"), 1.0).when(F.col("a.r") == F.col("b.r"), 0.5).otherwise(0.0)
-    conc = pair.groupBy(F.col("a.symbol").alias("symbol"), F.col("a.regime").alias("regime")).agg(F.avg(good).alias("concordance"))
+    conc = concordance(scored, keys)
     sizes = rows.groupBy(*keys).agg(F.max("n").alias("n"))
     return beta.join(sizes, keys).join(conc, keys, "left").select(*keys, "n", F.col("bx").alias("beta_volatility"), F.col("by").alias("beta_return"), "concordance")
+
+
+def cox_forecast(covariates: DataFrame, fits: DataFrame) -> DataFrame:
+    """Per symbol, for the spell it is in: (symbol, regime, days_in_regime,
+    baseline_hazard_at_t, cox_expected_remaining_days), from ``cox_fit``'s rows.
+
+    The baseline hazard at a duration is the number of spells that end there over the
+    summed risks of those that last as long or longer, at mean covariates (Breslow).
+    The remaining life is the integral of S over S at the first duration not below the
+    age, by trapezoids on the durations; beyond the last one there is none."""
+    keys = ["symbol", "regime"]
+    done = covariates.where("event").join(fits.select(*keys, "beta_volatility", "beta_return"), keys)
+    group = Window.partitionBy(*keys)
+    facts = {f"{k}_{c}": f(c).over(group) for c in ("volatility", "total_log_return") for k, f in (("m", F.avg), ("s", F.stddev_pop))}
+    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), f"s_{c}"), F.lit(0.0))
+    risk = lambda: F.exp(F.col("beta_volatility") * z("volatility") + F.col("beta_return") * z("total_log_return"))
+    at = done.withColumns(facts).withColumn("e", risk()).groupBy(*keys, "duration").agg(F.sum("e").alias("e"), F.count("*").alias("d"), *[F.first(c).alias(c) for c in facts], F.first("beta_volatility").alias("beta_volatility"), F.first("beta_return").alias("beta_return"))
+    later = Window.partitionBy(*keys).orderBy("duration")
+    at = at.withColumn("h", F.col("d") / F.sum("e").over(later.rowsBetween(0, Window.unboundedFollowing)))
+    at = at.withColumn("cumulated", F.sum("h").over(later.rowsBetween(Window.unboundedPreceding, 0)))
+    now = covariates.where("not event").select(*keys, F.col("duration").alias("days_in_regime"), "volatility", "total_log_return")
+    ahead = now.join(at, keys).where("duration >= days_in_regime").withColumn("survival", F.exp(-F.col("cumulated") * risk()))
+    ahead = ahead.withColumns({"t2": F.lead("duration").over(later), "s2": F.lead("survival").over(later)})
+    area = F.sum((F.col("survival") + F.col("s2")) / 2 * (F.col("t2") - F.col("duration")))
+    found = ahead.groupBy(*keys).agg(F.min_by("h", "duration").alias("baseline_hazard_at_t"), (F.coalesce(area, F.lit(0.0)) / F.min_by("survival", "duration")).alias("cox_expected_remaining_days"))
+    out = now.join(fits.select(*keys), keys).join(found, keys, "left")
+    return out.select(*keys, "days_in_regime", "baseline_hazard_at_t", F.coalesce("cox_expected_remaining_days", F.lit(0.0)).alias("cox_expected_remaining_days"))

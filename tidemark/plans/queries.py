@@ -89,9 +89,13 @@ def bars_problems(s, d):
     return src.validate_bars(p, 2460)
 
 
-def records(s, d):
+def assembled(s, d):
     lab = labels(s, d)
-    out = diag.assemble(rg.markov_stats(lab), bt.metrics(held(s, d)), rg.forecast(nexts(s, d)), "threshold")
+    return diag.assemble(rg.markov_stats(lab), bt.metrics(held(s, d)), rg.forecast(nexts(s, d)), "threshold")
+
+
+def records(s, d):
+    out = assembled(s, d)
     return out.select("source", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
@@ -202,7 +206,7 @@ QUERIES = {
     "transitions": q(lambda s, d: rg.transitions(labels(s, d))),
     "latest_transitions": q(lambda s, d: rg.latest_transitions(rg.transitions(labels(s, d)), 5)),
     "spells": q(lambda s, d: rg.spells(labels(s, d))),
-    "spell_covariates": q(lambda s, d: rg.spell_covariates(labels(s, d), rg.spells(labels(s, d))), 8),
+    "spell_covariates": q(lambda s, d: rg.spell_covariates(labels(s, d)), 8),
     "moving_averages": q(lambda s, d: only(ind.moving_averages(panel(s, d))), 6, NUDGE),
     "channels": q(lambda s, d: only(ind.channels(panel(s, d))), 5, NUDGE),
     "price_levels": q(lambda s, d: only(ind.price_levels(panel(s, d)))),
@@ -228,7 +232,7 @@ QUERIES = {
     "backtest": q(lambda s, d: bt.metrics(held(s, d)), 6),
     "weibull_fit": q(lambda s, d: sv.weibull_fit(rg.spells(labels(s, d))), 5),
     "duration_forecast": q(lambda s, d: sv.duration_forecast(rg.spells(labels(s, d))), 4),
-    "cox_fit": q(lambda s, d: sv.cox_fit(rg.spell_covariates(labels(s, d), rg.spells(labels(s, d)))), 4),
+    "cox_fit": q(lambda s, d: sv.cox_fit(rg.spell_covariates(labels(s, d))), 4),
     "verdict": q(verdicts, 5),
     "collapse_flag": q(lambda s, d: diag.collapse_flag(rg.current(labels(s, d)), 3, 0.25).select("symbol", "degenerate", "caveat")),
     "low_data_flag": q(lambda s, d: diag.low_data_flag(rg.current(labels(s, d)), 49, 3).select("symbol", "n_bars", "low_data")),

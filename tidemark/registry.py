@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans.checks import ORACLES
-from tidemark.plans.queries import QUERIES
+from tidemark.plans import checks, queries, stages
+
+QUERIES = queries.QUERIES | stages.QUERIES
+ORACLES = checks.ORACLES | stages.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
