@@ -27,7 +27,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without lines that repeat earlier ones, exact copies of any length
     and near copies of longer lines; a document of which nothing
     but white space is left, and something was dropped, goes."""
-    out = line_dedup.drop_repeated_lines(docs, exact_chars=1)
+    out = line_dedup.drop_repeated_lines(docs)
     dropped = F.col("n_exact") + F.col("n_near") > 0
     out = out.where(~dropped | F.coalesce(F.length(F.trim(F.translate("text", "\n\r\t", "   "))) > 0, F.lit(False)))
     kept = {"n_chars": F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
@@ -36,11 +36,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram similarity joins, the one with the smallest doc_id.
-    Rows with a null doc_id stay; of rows with equal doc_id one stays."""
+    Rows with a null doc_id stay; of rows with equal doc_id the one with the smallest
+    text (then by the other columns' hash) stays."""
     found = save(ngram_join.jaccard_components(docs.select("doc_id", "text")), "components")
-    keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    keep = save(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept-ids")
+    named = docs.join(keep, "doc_id").select(*docs.columns, "__rows")
+    again = named.where("__rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row"))
+    once = named.where("__rows = 1").select(*docs.columns)
+    return once.unionByName(again.select("row.*")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
