@@ -72,13 +72,16 @@ def equity(rows: DataFrame, min_train: int = 252, keys=SYMBOL) -> DataFrame:
     return d.withColumn("equity", F.when(F.col("ret_index") >= min_train, value))
 
 
+def _bars_a_year(gap: str):
+    m, day = F.median(gap), 86400
+    return F.when(m <= 3600, 8760).when(m <= day, 252).when(m <= 7 * day, 52).when(m <= 31 * day, 12).otherwise(4)
+
+
 def ann_factor(rows: DataFrame, keys=SYMBOL) -> DataFrame:
     """Bars a year, by the median gap between bars: 8760 up to an hour, 252 up to a
     day, 52 to a week, 12 to a month, else 4."""
     gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_w(keys))) / 1e6
-    m = F.median("gap")
-    day = 86400
-    return rows.withColumn("gap", gap).groupBy(*keys).agg(F.when(m <= 3600, 8760).when(m <= day, 252).when(m <= 7 * day, 52).when(m <= 31 * day, 12).otherwise(4).alias("ann_factor"))
+    return rows.withColumn("gap", gap).groupBy(*keys).agg(_bars_a_year("gap").alias("ann_factor"))
 
 
 def drawdown(rows: DataFrame, keys=SYMBOL) -> DataFrame:
@@ -112,17 +115,31 @@ def metrics(rows: DataFrame, keys=SYMBOL, rate: float = 0.02) -> DataFrame:
     """(keys, n_equity, total_return, sharpe, max_drawdown, n_trades, win_rate,
     profit_factor). Sharpe counts the first change as 0; it is 0 if nothing varies. All
     but the keys are null with fewer than two bars of equity; profit_factor is null
-    without losers."""
-    keys = list(keys)
-    held = rows.where("equity is not null")
-    step = F.coalesce(F.try_divide("equity", F.lag("equity").over(_w(keys))) - 1, F.lit(0.0))
-    sums = held.withColumn("step", step).groupBy(*keys).agg(F.count("*").alias("n_equity"), F.max_by("equity", "ret_index").alias("e1"), F.min_by("equity", "ret_index").alias("e0"), F.avg("step").alias("mean"), F.stddev_samp("step").alias("sd"))
-    made = trades(rows, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("profit") > 0).cast("double")).alias("win_rate"), F.sum(F.when(F.col("profit") > 0, F.col("profit"))).alias("won"), F.sum(F.when(F.col("profit") < 0, -F.col("profit"))).alias("lost"))
-    d = rows.select(*keys).distinct().join(sums, keys, "left").join(ann_factor(held, keys), keys, "left").join(drawdown(rows, keys), keys, "left").join(made, keys, "left")
+    without losers. All comes from one pass of windows and one grouping."""
+    keys, w = list(keys), _w(keys)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    before, earlier = F.lag("position").over(w), F.lag("equity").over(w)
+    d = rows.select(*keys, "ret_index", "ts", "equity", "position")
+    d = d.withColumns(
+        {
+            "step": F.when(F.col("equity").isNotNull(), F.coalesce(F.try_divide("equity", earlier) - 1, F.lit(0.0))),
+            "gap": F.when(F.col("equity").isNotNull() & earlier.isNotNull(), (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6),
+            "dd": F.try_divide(F.col("equity") - F.max("equity").over(run), F.max("equity").over(run)),
+            "entry": F.coalesce((F.col("position") != 0) & (before == 0), F.lit(False)),
+            "open": (F.col("position") != 0) | F.coalesce(before != 0, F.lit(False)),
+        }
+    )
+    d = d.withColumn("under", F.col("dd") < 0)
+    ended = F.col("open") & (F.max("entry").over(run)) & ~(F.coalesce(F.lead("open").over(w), F.lit(False)) & ~F.coalesce(F.lead("entry").over(w), F.lit(False)))
+    start = F.last(F.when(F.col("entry"), F.col("equity")), ignorenulls=True).over(run)
+    d = d.withColumns({"profit": F.when(ended, F.try_divide("equity", start) - 1), "closed": ended})
+    first_last = [F.max_by("equity", F.when(F.col("equity").isNotNull(), F.col("ret_index"))).alias("e1"), F.min_by("equity", F.when(F.col("equity").isNotNull(), F.col("ret_index"))).alias("e0")]
+    made = [F.count_if("closed").alias("n"), F.avg(F.when(F.col("closed"), (F.col("profit") > 0).cast("double"))).alias("win_rate"), F.sum(F.when(F.col("profit") > 0, F.col("profit"))).alias("won"), F.sum(F.when(F.col("profit") < 0, -F.col("profit"))).alias("lost")]
+    d = d.groupBy(*keys).agg(F.count("equity").alias("n_equity"), *first_last, F.avg("step").alias("mean"), F.stddev_samp("step").alias("sd"), _bars_a_year("gap").alias("ann_factor"), F.coalesce(F.min(F.when(F.col("under"), F.col("dd"))), F.lit(0.0)).alias("max_drawdown"), *made)
     enough = F.col("n_equity") >= 2
     sharpe = F.when(F.col("sd") == 0, 0.0).otherwise(F.sqrt("ann_factor") * (F.col("mean") - F.lit(rate) / F.col("ann_factor")) / F.col("sd"))
     return d.select(
-        *keys, F.coalesce("n_equity", F.lit(0)).alias("n_equity"), F.when(enough, F.try_divide("e1", "e0") - 1).alias("total_return"), F.when(enough, sharpe).alias("sharpe"),
-        F.when(enough, F.col("max_drawdown")).alias("max_drawdown"), F.when(enough, F.coalesce("n", F.lit(0))).alias("n_trades"), F.when(enough, F.col("win_rate")).alias("win_rate"),
+        *keys, "n_equity", F.when(enough, F.try_divide("e1", "e0") - 1).alias("total_return"), F.when(enough, sharpe).alias("sharpe"),
+        F.when(enough, F.col("max_drawdown")).alias("max_drawdown"), F.when(enough, F.col("n")).alias("n_trades"), F.when(enough, F.col("win_rate")).alias("win_rate"),
         F.when(enough & F.col("lost").isNotNull(), F.try_divide(F.coalesce("won", F.lit(0.0)), F.col("lost"))).alias("profit_factor"),
     )

@@ -34,18 +34,24 @@ def classify_threshold(rets: DataFrame, window: int = 20, threshold: float = 0.0
 def transition_matrix(labels: DataFrame) -> DataFrame:
     """(symbol, from_regime, to_regime, n, p), all nine cells: 1e-10 is added to each
     share of a row, which is then scaled to 1, so an unseen row is uniform."""
-    pairs = labels.select("symbol", F.col("regime").alias("f"), F.lead("regime").over(by_time()).alias("t")).where("t is not null")
-    cells = [F.count_if((F.col("f") == i) & (F.col("t") == j)).alias(f"c{i}{j}") for i in range(3) for j in range(3)]
-    wide = labels.select("symbol").distinct().join(pairs.groupBy("symbol").agg(*cells), "symbol", "left")
-    rows = []
-    for i in range(3):
-        n = [F.coalesce(F.col(f"c{i}{j}"), F.lit(0)) for j in range(3)]
-        total = n[0] + n[1] + n[2]
-        share = [F.coalesce(F.try_divide(x, total), F.lit(0.0)) + 1e-10 for x in n]
-        rows += [F.struct(F.lit(i).alias("from_regime"), F.lit(j).alias("to_regime"), n[j].cast("long").alias("n"), (share[j] / (share[0] + share[1] + share[2])).alias("p")) for j in range(3)]
+    wide = _cells(labels)
+    rows = [F.struct(F.lit(i).alias("from_regime"), F.lit(j).alias("to_regime"), F.col(f"c{i}{j}").cast("long").alias("n"), _probability(i, j).alias("p")) for i in range(3) for j in range(3)]
     return wide.select("symbol", F.inline(F.array(*rows)))
 
 
+def _cells(labels: DataFrame, *more: Column) -> DataFrame:
+    """Counts c00 ... c22 of moves per symbol, and ``more`` aggregates, in one grouping."""
+    moves = labels.withColumn("__to", F.lead("regime").over(by_time()))
+    cells = [F.count_if((F.col("regime") == i) & (F.col("__to") == j)).alias(f"c{i}{j}") for i in range(3) for j in range(3)]
+    return moves.groupBy("symbol").agg(*cells, *more)
+
+
+def _probability(i: int, j: int) -> Column:
+    n = [F.col(f"c{i}{k}") for k in range(3)]
+    share = [F.coalesce(F.try_divide(x, n[0] + n[1] + n[2]), F.lit(0.0)) + 1e-10 for x in n]
+    return share[j] / (share[0] + share[1] + share[2])
+
+
 def matrix_row(transitions: DataFrame) -> DataFrame:
     """One row per symbol with p00 ... p22."""
     return transitions.groupBy("symbol").agg(*[F.max(F.when((F.col("from_regime") == i) & (F.col("to_regime") == j), F.col("p"))).alias(f"p{i}{j}") for i in range(3) for j in range(3)])
@@ -54,23 +60,35 @@ def matrix_row(transitions: DataFrame) -> DataFrame:
 def stationary(matrix: DataFrame) -> DataFrame:
     """(symbol, pi_bear, pi_sideways, pi_bull), by the Markov chain tree theorem; the
     smoothed chain is irreducible."""
+    return matrix.select("symbol", *_stationary())
+
+
+def _stationary() -> list[Column]:
     p = lambda i, j: F.col(f"p{i}{j}")
     weight = []
     for r in range(3):
         a, b = (k for k in range(3) if k != r)
         weight.append(p(a, r) * p(b, r) + p(a, b) * p(b, r) + p(b, a) * p(a, r))
     total = weight[0] + weight[1] + weight[2]
-    return matrix.select("symbol", *[(w / total).alias(f"pi_{n}") for w, n in zip(weight, NAMES, strict=True)])
+    return [(w / total).alias(f"pi_{n}") for w, n in zip(weight, NAMES, strict=True)]
 
 
 def persistence(matrix: DataFrame) -> DataFrame:
-    return matrix.select("symbol", *[F.col(f"p{i}{i}").alias(f"stay_{n}") for i, n in enumerate(NAMES)])
+    return matrix.select("symbol", *_persistence())
+
+
+def _persistence() -> list[Column]:
+    return [F.col(f"p{i}{i}").alias(f"stay_{n}") for i, n in enumerate(NAMES)]
 
 
 def current(labels: DataFrame) -> DataFrame:
     """(symbol, regime, first_date, last_date, n_bear, n_sideways, n_bull)."""
+    return labels.groupBy("symbol").agg(*_current())
+
+
+def _current() -> list[Column]:
     counts = [F.count_if(F.col("regime") == i).alias(f"n_{n}") for i, n in enumerate(NAMES)]
-    return labels.groupBy("symbol").agg(F.max_by("regime", "ret_index").alias("regime"), F.min("ts").alias("first_date"), F.max("ts").alias("last_date"), *counts)
+    return [F.max_by("regime", "ret_index").alias("regime"), F.min("ts").alias("first_date"), F.max("ts").alias("last_date"), *counts]
 
 
 def next_probabilities(matrix: DataFrame, now: DataFrame) -> DataFrame:
@@ -99,8 +117,11 @@ def forecast(nexts: DataFrame, steps=(1, 5, 20)) -> DataFrame:
 
 def markov_stats(labels: DataFrame) -> DataFrame:
     """Counts, dates, current regime, signal, stationary shares and persistence."""
-    matrix, now = matrix_row(transition_matrix(labels)), current(labels)
-    return now.join(signal(next_probabilities(matrix, now)), "symbol").join(stationary(matrix), "symbol").join(persistence(matrix), "symbol")
+    wide = _cells(labels, *_current())
+    wide = wide.withColumns({f"p{i}{j}": _probability(i, j) for i in range(3) for j in range(3)})
+    lead = sum((F.when(F.col("regime") == i, F.col(f"p{i}2") - F.col(f"p{i}0")).otherwise(0.0) for i in range(3)), F.lit(0.0))
+    now = ["symbol", "regime", "first_date", "last_date", *[f"n_{n}" for n in NAMES]]
+    return wide.select(*now, lead.alias("signal"), *_stationary(), *_persistence())
 
 
 def transitions(labels: DataFrame) -> DataFrame:
