@@ -1,9 +1,12 @@
 """The classifier on planted tables, and its accuracy on rows it hasn't learned from."""
 
+import math
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality
 
@@ -32,6 +35,56 @@ def test_learns_and_holds_out(spark, monkeypatch, shard):
     assert np.allclose(quality.fit(docs.select("doc_id", "text"), turned), weights)
 
 
+def plain_ftrl(rows, epochs, shards):
+    """FTRL-proximal on one feature at a time (McMahan et al. 2013); between epochs the
+    shards' sums are averaged over the shards that touched a feature."""
+    z, n = {}, {}
+
+    def weight(zi, ni):
+        if abs(zi) <= quality.L1:
+            return 0.0
+        return -(zi - math.copysign(quality.L1, zi)) / ((quality.BETA + math.sqrt(ni)) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        ends = []
+        for shard in shards:
+            zs, ns, touched = dict(z), dict(n), set()
+            for doc in sorted(shard, key=lambda d: zlib.crc32(str(d).encode())):
+                y, features = rows[doc]
+                p = 1 / (1 + math.exp(-sum(weight(zs.get(i, 0.0), ns.get(i, 0.0)) * v for i, v in features)))
+                for i, v in features:
+                    g, old, w = (p - y) * v, ns.get(i, 0.0), weight(zs.get(i, 0.0), ns.get(i, 0.0))
+                    zs[i] = zs.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / quality.ALPHA * w
+                    ns[i] = old + g * g
+                    touched.add(i)
+            ends.append((zs, ns, touched))
+        for i in set().union(*(t for _, _, t in ends)):
+            seen = [(a[i], b[i]) for a, b, t in ends if i in t]
+            z[i], n[i] = sum(a for a, _ in seen) / len(seen), sum(b for _, b in seen) / len(seen)
+    return {i: weight(z[i], n[i]) for i in z}
+
+
+@pytest.mark.parametrize("shard", [1024, 20])
+def test_weights_and_scores_of_plain_ftrl(spark, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD_DOCS", shard)
+    rnd = random.Random(8)
+    texts = {i: " ".join(rnd.choice(["good", "fine", "Bad", "BAD!!", "line", "9"]) for _ in range(rnd.randint(0, 12))) for i in range(60)}
+    ys = {i: rnd.randint(0, 1) for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(ys.items()), "doc_id long, quality int")
+    weights = quality.fit(docs, labels)
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    hasher, bias = quality.Hasher(), 1 << quality.BITS
+    rows = {i: (ys[i], [*zip(*(a.tolist() for a in hasher.features(texts[i])), strict=True), (bias, 1.0)]) for i in texts}
+    n_shards = -(-len(learned) // shard)
+    number = {r.doc_id: r.s for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).alias("s")).collect()}
+    want = plain_ftrl(rows, quality.EPOCHS, [[i for i in learned if number[i] == s] for s in range(n_shards)])
+    got = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
+    assert got.keys() == {i for i, w in want.items() if w} and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in got)
+    for r in quality.score(docs, weights).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(-sum(want.get(i, 0.0) * v for i, v in rows[r.doc_id][1]))), rel_tol=1e-9)
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

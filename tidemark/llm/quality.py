@@ -71,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_docs: int =
     quality)`` on ``docs(doc_id, text)``; held-out and unlabelled rows play no part.
 
     A round learns each shard on from the common state and averages what the
-    shards that touched a feature made of it. What reaches the driver is the state
+    shards that touched a feature made of it. So with one shard it is FTRL on one
+    stream, with more it is an average of such runs between rounds. What reaches the driver is the state
     of at most 2**bits features. Null labels and ids are passed over; of several
     labels or texts of an id the smallest counts; without labels all weights are 0.
     """
