@@ -5,34 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import save, table
 
-SHARD_DOCS, SHARD_BYTES = 16_384, 32 << 20
+#: A shard of documents ends at so many documents or bytes.
+SHARD_DOCS, SHARD_BYTES = 16_384, 8 << 20
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, buckets: int | None = None) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens), one per row of ``docs(doc_id, text)``.
-
-    1. Each task turns its documents, in shards of bounded size, into pre-token
-       frequencies: per shard and hash bucket the distinct pre-tokens with the
-       documents that hold them and how often.
-    2. Dealt by bucket, a pre-token's pieces are counted once and joined to its
-       frequencies; what comes out are sums per shard and document. A pre-token in
-       more than one of 16 documents of its shard is dealt by shard as well, so
-       none fills a bucket.
-    3. Dealt by shard, the sums of a document are added.
-    No token ids are made. A null or empty text has 0 bytes and 0 tokens; a null
-    doc_id stays null; repeated rows are counted once each; no rows give no rows.
-    """
+def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Pre-token frequencies of ``docs(doc_id, text)``, a row per shard of documents:
+    its distinct pre-tokens, and for its documents in turn how many of these they hold
+    (int32), which (uint32) and how often (uint16, a pre-token again if more)."""
     import numpy as np
 
-    spark = docs.sparkSession
-    n_buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = "bucket int, shard long, tokens binary, df binary, docs binary, freq binary, doc_ids array<long>, n_bytes array<long>"
-
     def shards(batches):
-        import zlib
-
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -40,37 +25,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
 
         pieces = byte_pieces(tokenizer_path)
         task, seq = TaskContext.get().partitionId(), 0
-        fields = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary()), ("docs", pa.binary()), ("freq", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-
-        def flush(shard, number, tids, freqs, lens, doc_ids, sizes):
-            rows = [(int(zlib.crc32(shard.to_bytes(8, "little")) % n_buckets), shard, None, None, None, None, doc_ids, sizes)]
-            if tids:
-                tid, freq = np.array(tids, np.int32), np.array(freqs, np.int64)
-                doc = np.repeat(np.arange(len(lens), dtype=np.uint16), lens)
-                while (big := np.flatnonzero(freq > 65535)).size:  # a cell holds 16 bits
-                    tid, doc, freq = np.append(tid, tid[big]), np.append(doc, doc[big]), np.append(freq, freq[big] - 65535)
-                    freq[big] = 65535
-                words = [w.encode() for w in number]
-                df = np.bincount(tid, minlength=len(words)).astype(np.uint32)
-                hot = df > max(64, len(doc_ids) // 16)
-                salt = shard.to_bytes(8, "little")
-                bucket = np.fromiter((zlib.crc32(w + salt if h else w) % n_buckets for w, h in zip(words, hot, strict=True)), np.int64, len(words))
-                by_bucket = np.argsort(bucket, kind="stable")
-                rank = np.empty(len(words), np.int64)
-                rank[by_bucket] = np.arange(len(words))
-                order = np.argsort(rank[tid], kind="stable")
-                doc, freq = doc[order], freq[order].astype(np.uint16)
-                ends = np.concatenate([[0], np.cumsum(df[by_bucket], dtype=np.int64)])
-                cuts = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
-                for b in range(n_buckets):
-                    lo, hi = cuts[b], cuts[b + 1]
-                    if lo < hi:
-                        s, e = ends[lo], ends[hi]
-                        mine = by_bucket[lo:hi]
-                        rows.append((b, shard, b"\xff".join([words[i] for i in mine]), df[mine].tobytes(), doc[s:e].tobytes(), freq[s:e].tobytes(), None, None))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
-
-        number, tids, freqs, lens, doc_ids, sizes, held = {}, [], [], [], [], [], 0
+        names = ["shard", "tokens", "held", "which", "often", "doc_ids", "n_bytes"]
+        longs = pa.list_(pa.int64())
+
+        def flush(number, tids, freqs, lens, doc_ids, sizes):
+            tid, freq, held = np.array(tids, np.uint32), np.array(freqs, np.int64), np.array(lens, np.int32)
+            if freq.size and freq.max() > 65535:
+                times = -(-freq // 65535)
+                last = freq - (times - 1) * 65535
+                held = np.add.reduceat(np.append(times, 0), np.concatenate([[0], np.cumsum(held)[:-1]])) * (held > 0)
+                tid, freq = np.repeat(tid, times), np.full(int(times.sum()), 65535, np.int64)
+                freq[np.cumsum(times) - 1] = last
+            row = [(task << 24) + seq, list(number), held.astype(np.int32).tobytes(), tid.tobytes(), freq.astype(np.uint16).tobytes(), doc_ids, sizes]
+            types = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), longs, longs]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+
+        number, tids, freqs, lens, doc_ids, sizes, total = {}, [], [], [], [], [], 0
         for batch in batches:
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = cell.as_py() or ""
@@ -80,13 +50,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
                 lens.append(len(found))
                 doc_ids.append(doc_id)
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
-                held += sizes[-1]
-                if held >= SHARD_BYTES or len(lens) >= SHARD_DOCS:
-                    yield flush((task << 24) + seq, number, tids, freqs, lens, doc_ids, sizes)
-                    number, tids, freqs, lens, doc_ids, sizes, held = {}, [], [], [], [], [], 0
+                total += sizes[-1]
+                if total >= SHARD_BYTES or len(lens) >= SHARD_DOCS:
+                    yield flush(number, tids, freqs, lens, doc_ids, sizes)
+                    number, tids, freqs, lens, doc_ids, sizes, total = {}, [], [], [], [], [], 0
                     seq += 1
         if lens:
-            yield flush((task << 24) + seq, number, tids, freqs, lens, doc_ids, sizes)
+            yield flush(number, tids, freqs, lens, doc_ids, sizes)
+
+    schema = "shard long, tokens array<string>, held binary, which binary, often binary, doc_ids array<long>, n_bytes array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shards, schema)
+
+
+def piece_counts(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(token, n): the pieces of each of the distinct pre-tokens ``tokens(token)``."""
 
     def counted(batches):
         import pyarrow as pa
@@ -94,39 +71,49 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, buckets: int | None = Non
         from tidemark.llm.tokenizing import byte_pieces
 
         pieces = byte_pieces(tokenizer_path)
-        names = ["shard", "docs", "sums", "doc_ids", "n_bytes"]
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["doc_ids"] is not None:
-                    out.append((row["shard"], None, None, row["doc_ids"], row["n_bytes"]))
-                    continue
-                n = np.array([pieces.count(w.decode()) for w in row["tokens"].split(b"\xff")], np.int64)
-                each = np.repeat(n, np.frombuffer(row["df"], np.uint32)) * np.frombuffer(row["freq"], np.uint16)
-                doc = np.frombuffer(row["docs"], np.uint16)
-                sums = np.bincount(doc, weights=each)  # exact below 2**53
-                some = np.flatnonzero(sums)
-                out.append((row["shard"], some.astype(np.uint16).tobytes(), sums[some].astype(np.int64).tobytes(), None, None))
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
-    def added(table):
+            n = [pieces.count(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["token", "n"])
+
+    return tokens.select("token").mapInArrow(counted, "token string, n long")
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens), one per row of ``docs(doc_id, text)``.
+
+    1. ``frequencies`` of the documents, in shards of bounded size, are stored.
+    2. The distinct pre-tokens of all shards are one table, and the pieces of each are
+       counted once.
+    3. Counts are joined to the shards' pre-tokens. A shard has a pre-token once, so the
+       commonest one has no more rows than there are shards.
+    4. A shard's counts go back to its frequencies, whose products are summed per
+       document.
+    No token ids are made. A null or empty text has 0 bytes and 0 tokens; a null
+    doc_id stays null; repeated rows are counted once each; no rows give no rows.
+    """
+    import numpy as np
+
+    stored = save(frequencies(docs, tokenizer_path), "frequencies")
+    tokens = stored.select("shard", F.posexplode("tokens").alias("at", "token"))
+    counts = save(piece_counts(tokens.select("token").distinct(), tokenizer_path), "piece-counts")
+    of_shard = tokens.join(counts, "token").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("counts"))
+    of_shard = of_shard.select("shard", F.col("counts.n").alias("counts"))
+
+    def added(batches):
         import pyarrow as pa
 
-        ids, sizes, total = [], [], None
-        rows = table.to_pylist()
-        for row in rows:
-            if row["doc_ids"] is not None:
-                ids, sizes = row["doc_ids"], row["n_bytes"]
-        total = np.zeros(len(ids), np.int64)
-        for row in rows:
-            if row["docs"] is not None:
-                total[np.frombuffer(row["docs"], np.uint16)] += np.frombuffer(row["sums"], np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(total)})
-
-    freq = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shards, cells)
-    sums = freq.repartition("bucket").mapInArrow(counted, "shard long, docs binary, sums binary, doc_ids array<long>, n_bytes array<long>")
-    return sums.groupBy("shard").applyInArrow(added, "doc_id long, n_bytes long, n_tokens long")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
+                n = cell("counts").values.to_numpy() if cell("counts").is_valid else np.empty(0, np.int64)
+                held = np.frombuffer(cell("held").as_py(), np.int32)
+                each = n[np.frombuffer(cell("which").as_py(), np.uint32)] * np.frombuffer(cell("often").as_py(), np.uint16)
+                ends = np.cumsum(np.append(0, each))[np.append(0, np.cumsum(held))]
+                columns = [cell("doc_ids").values, cell("n_bytes").values, pa.array(np.diff(ends).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
+
+    rows = stored.drop("tokens").join(of_shard, "shard", "left")
+    return rows.mapInArrow(added, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
