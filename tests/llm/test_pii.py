@@ -62,6 +62,8 @@ def test_crf_equals_enumeration():
                 total += math.exp(value)
                 best = max(best, (value, [(k, a, b) for (a, b), k in zip(segments, kinds, strict=True) if k is not None]), key=lambda x: x[0])
     assert crf.decode(scores) == best[1]
+    assert [row + [None] * (len(scores[i]) - len(row)) for i, row in enumerate(crf.rows(text, tokens, {4}))] == scores
+    assert crf.decode(crf.rows(text, tokens, {4})) == best[1]
     log_total, expected = crf.expectations(scores, lattice)
     assert math.isclose(log_total, math.log(total), rel_tol=1e-9)
     for at in (0, 5, 30, len(crf.w) - 1):
@@ -87,3 +89,36 @@ def test_find_spans(spark):
     assert [(k, b) for k, *_, b in got[102][0]] == [("phone", False)] and rows[62][1][slice(*got[102][0][0][1:3])] == "(743) 555-3824"
     assert pii.find_spans(docs.where("false"), weights).count() == 0
     assert not any(pii.fit(docs.where("false")))
+
+
+def test_spellings_of_training_regions():
+    made = pii.training_regions("so call +1 (743) 555-3824 or pay 4111111111111111 soon, ref 123 456 7890")
+    assert [(k, t[a:b]) for t, gold in made for k, a, b in gold] == [
+        (3, "+1 (743) 555-3824"), (3, "(743) 555-3824"), (3, "743-555-3824"), (3, "743.555.3824"), (3, "743 555 3824"),
+        (2, "4111111111111111"), (2, "4111.1111.1111.1111"), (2, "4111 1111-1111 1111"),
+    ]
+    assert sum(not gold for _, gold in made) == 1
+
+
+def test_long_runs_and_long_names(spark):
+    name = "n" * 5000
+    rows = [(1, "12 " * 4000), (2, f"to {name}@{'h' * 300}.org or @ b@ c"), (3, "+1 (743) 555-3824")] + [(10 + k, f"ring +1 ({300 + k}) 555-{2000 + k} now") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs, pii.fit(docs)).collect()}
+    assert len(got) == len(rows) and [(s.kind, s.start, s.end) for s in got[2]] == [("email", 3, 3 + 5000 + 1 + 304)]
+
+
+def test_query_columns(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.op7_semi_markov_pii(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        told = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        assert set(told) <= set(map(":".join, spans)) and spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), int(x[1])))

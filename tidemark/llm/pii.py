@@ -8,12 +8,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import save, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The CRF is fitted on regions of at most so many documents (those of the smallest
-#: hash of their id), a few regions of each; a segment has at most so many tokens.
-FIT_DOCS, FIT_REGIONS_EACH, FIT_REGIONS, EPOCHS, MAX_SEGMENT = 4096, 4, 400, 6, 24
+#: hash of their id), of each its first few of at most so many characters: in all so
+#: many with spans, and as many without. A segment has at most so many tokens.
+FIT_DOCS, FIT_REGIONS_EACH, FIT_CHARS, FIT_REGIONS, EPOCHS, MAX_SEGMENT = 4096, 4, 80, 400, 6, 24
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -22,7 +23,7 @@ RUN = re.compile(r"[0-9+][\x20().+0-9-]{6,}")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-REGION = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().+-]{0,3}[0-9]){6,}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}")
+REGION = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().+-]{0,3}[0-9]){6,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 
 
@@ -111,27 +112,48 @@ class SemiCRF:
         w, size = self.w, N_FEATURES
         return [[None if f is None else [sum(w[k * size + x] for x in f) for k in range(len(KINDS))] for f in row] for row in lattice]
 
+    def rows(self, text: str, tokens: list[tuple[int, int]], barred=frozenset()):
+        """The rows of ``scores`` one by one: what is held is a row, not the lattice."""
+        w, size, n = self.w, N_FEATURES, len(tokens)
+        for i in range(n):
+            row = []
+            for j in range(i + 1, min(n, i + self.max_segment) + 1):
+                if j - 1 in barred:  # and so any longer segment
+                    break
+                f = span_features(text, tokens[i][0], tokens[j - 1][1])
+                row.append([sum(w[k * size + x] for x in f) for k in range(len(KINDS))])
+            yield row
+
     def decode(self, scores) -> list[tuple[int, int, int]]:
         """The best segmentation's entities, as (kind, first token, end token)."""
-        n, glue = len(scores), self.w[-1]
-        best = [[0.0, -math.inf]] + [[-math.inf, -math.inf] for _ in range(n)]
-        back: list[list] = [[None, None] for _ in range(n + 1)]
-        for i in range(n):
-            outside = max(best[i])
-            if outside > best[i + 1][0]:
-                best[i + 1][0], back[i + 1][0] = outside, (i, int(best[i][1] > best[i][0]), None)
-            before = max(best[i][0], best[i][1] + glue)
-            state = int(best[i][1] + glue > best[i][0])
-            for d, kinds in enumerate(scores[i]):
+        return [found[:3] for found in self.decode_scored(scores)]
+
+    def decode_scored(self, scores) -> list[tuple[int, int, int, float]]:
+        """``decode`` with each entity's score, from an iterable of rows. A step needs the
+        row of one token and the best scores up to ``max_segment`` tokens ahead."""
+        glue, ahead = self.w[-1], [[0.0, -math.inf]]
+        back: list[list] = [[None, None]]
+        n = 0
+        for i, row in enumerate(scores):
+            n = i + 1
+            while len(ahead) < len(row) + 2:
+                ahead.append([-math.inf, -math.inf])
+                back.append([None, None])
+            here = ahead.pop(0)
+            state = int(here[1] > here[0])
+            if here[state] > ahead[0][0]:
+                ahead[0][0], back[i + 1][0] = here[state], (i, state, None, 0.0)
+            before, state = max(here[0], here[1] + glue), int(here[1] + glue > here[0])
+            for d, kinds in enumerate(row):
                 if kinds is not None:
                     k = max(range(len(KINDS)), key=kinds.__getitem__)
-                    if before + kinds[k] > best[i + d + 1][1]:
-                        best[i + d + 1][1], back[i + d + 1][1] = before + kinds[k], (i, state, k)
-        at, state, out = n, int(best[n][1] > best[n][0]), []
+                    if before + kinds[k] > ahead[d][1]:
+                        ahead[d][1], back[i + d + 1][1] = before + kinds[k], (i, state, k, kinds[k])
+        at, state, out = n, int(ahead[0][1] > ahead[0][0]), []
         while at:
-            prev, before, kind = back[at][state]
+            prev, before, kind, value = back[at][state]
             if kind is not None:
-                out.append((kind, prev, at))
+                out.append((kind, prev, at, value))
             at, state = prev, before
         return out[::-1]
 
@@ -190,22 +212,36 @@ def regions_of(text: str):
     return [m.span() for m in REGION.finditer(text)]
 
 
+#: Other ways to write a phone or card: what a base span's separators become.
+SPELLINGS = {3: (("-", "-"), (".", "."), (" ", " ")), 2: ((".", "."), ("-", " "))}
+
+
 def training_regions(text: str, most: int = FIT_REGIONS_EACH):
-    """Regions with a little of their surroundings and the base spans in them. Each
-    phone is given again without its prefix, so that its other features count."""
+    """Regions with a little of their surroundings and the base spans in them. A span
+    that stands alone is given again as people also write it: a phone without its
+    prefix, and with one sign between its groups of digits; a card with dots, or with
+    signs of two kinds. So other features than the base patterns' count as well."""
     base, out = base_spans(text), []
     for s, e in regions_of(text)[:most]:
-        if e - s > 80:
+        if e - s > FIT_CHARS:
             continue
         a, b = max(0, s - 6), min(len(text), e + 6)
         gold = [(k, x - a, y - a) for k, x, y in base if x >= a and y <= b]
         part = text[a:b]
         out.append((part, gold))
-        for k, x, y in gold:
-            cut = re.match(r"\+[0-9]{1,3}\x20", part[x:y])
-            if k == 3 and len(gold) == 1 and cut:
-                short = part[:x] + part[x + cut.end() :]
-                out.append((short, [(3, x, y - cut.end())]))
+        if len(gold) != 1:
+            continue
+        ((k, x, y),) = gold
+        span = part[x:y]
+        cut = re.match(r"\+[0-9]{1,3}\x20", span)
+        short = span[cut.end() :] if k == 3 and cut else span
+        spelled = [short] if short != span else []
+        groups = re.findall("[0-9]+", short)
+        if k == 2 and len(groups) == 1:
+            groups = [span[i : i + 4] for i in range(0, len(span), 4)]
+        if k in SPELLINGS and len(groups) > 1:
+            spelled += [groups[0] + "".join((one if i % 2 else other) + g for i, g in enumerate(groups[1:])) for one, other in SPELLINGS[k]]
+        out += [(part[:x] + w + part[y:], [(k, x, x + len(w))]) for w in spelled if w != span]
     return out
 
 
@@ -222,8 +258,8 @@ def fit(docs: DataFrame, sample_docs: int = FIT_DOCS) -> list[float]:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(i, json.dumps(r)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for r in training_regions(t.as_py()) if r[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "region"])
+            rows = [(i, json.dumps(r), bool(r[1])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for r in training_regions(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["doc_id", "region", "held"])
 
     def learn(group):
         import json
@@ -234,7 +270,9 @@ def fit(docs: DataFrame, sample_docs: int = FIT_DOCS) -> list[float]:
         crf = SemiCRF().learn(regions) if regions else SemiCRF()
         return pa.table({"at": pa.array(range(len(crf.w)), pa.int64()), "w": pa.array(crf.w, pa.float64())})
 
-    chosen = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, region string").orderBy(F.xxhash64("doc_id", "region")).limit(FIT_REGIONS)
+    found = save(sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, region string, held boolean"), "regions")
+    some = lambda held: found.where(F.col("held") == held).orderBy(F.xxhash64("doc_id", "region"), "doc_id", "region").limit(FIT_REGIONS)
+    chosen = some(True).unionAll(some(False)) if not found.where("held").isEmpty() else found.where("false")
     rows = chosen.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "at long, w double").collect()
     return [r.w for r in sorted(rows)] or list(SemiCRF().w)
 
@@ -270,8 +308,8 @@ def find_spans(docs: DataFrame, weights: list[float], min_score: float = 1.0) ->
                     barred = {i for i, (s, e) in enumerate(tokens) if any(s < y and e > x for x, y in near)}
                     if len(tokens) - len(barred) < 2:
                         continue
-                    scores = crf.scores(crf.lattice(text, tokens, barred))
-                    spans += [(k, tokens[i][0], tokens[j - 1][1], False) for k, i, j in crf.decode(scores) if scores[i][j - i - 1][k] >= min_score]
+                    found = crf.decode_scored(crf.rows(text, tokens, barred))
+                    spans += [(k, tokens[i][0], tokens[j - 1][1], False) for k, i, j, value in found if value >= min_score]
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
