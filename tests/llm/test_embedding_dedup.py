@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.embedding_dedup import near_duplicates
+from tidemark.llm import embedding_dedup
+from tidemark.llm.embedding_dedup import code_size, near_duplicates
 
 
 def brute(rows, threshold=0.98):
@@ -56,3 +57,18 @@ def test_recall_on_given_vectors(spark):
     got = {r.vec_id: r for r in near_duplicates(frame).collect()}
     assert sum(r.n_links for r in got.values()) >= 0.97 * sum(w[1] for w in want.values())
     assert all(got[k].n_links <= want[k][1] for k in want)
+
+
+def test_code_size_keeps_recall():
+    assert code_size(5000) == (16, 14) and code_size(0) == (16, 14)
+    for n in (10**5, 10**7, 10**9):
+        bits, tables = code_size(n)
+        agree = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert 2**bits >= 4 * n and (1 - agree) ** tables <= 0.003 < (1 - agree) ** (tables - 1)
+
+
+def test_more_bits_find_the_same_links(spark, monkeypatch):
+    frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    few = sum(r.n_links for r in near_duplicates(frame).collect())
+    monkeypatch.setattr(embedding_dedup, "LEAST_BITS", 22)
+    assert sum(r.n_links for r in near_duplicates(frame).collect()) >= 0.97 * few

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, save, table
 
-#: A pair at cosine 0.98 agrees in all bits of a table with probability 0.347, so
-#: 14 tables miss it with probability 0.003; closer pairs are missed more rarely.
-BITS, TABLES, SEED = 16, 14, 20240229
+#: The largest label's vectors get so many bits more than it takes to number them, and
+#: at least so many, so that buckets stay small as labels grow; there are as many tables
+#: as it takes to miss a pair at the threshold with at most this probability.
+SPARE_BITS, LEAST_BITS, MISS, SEED = 2, 16, 0.003, 20240229
 THRESHOLD = 0.98
 #: Vectors of a bucket that meet in one task, as rows of a matrix product.
 TILE = 512
 
 
+def code_size(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bits, tables) for labels of at most ``n`` vectors. Vectors at the threshold's
+    angle agree in a bit with probability 1 - angle / pi; closer ones more often."""
+    bits = min(60, max(LEAST_BITS, (max(n, 1) - 1).bit_length() + SPARE_BITS))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
 def planes(dim: int, bits: int, tables: int):
     import numpy as np
 
     return np.random.RandomState(SEED + dim).standard_normal((dim, bits * tables))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links,
     component_id, kept.
 
     Equal vectors of a label are one class, so copies are never paired. A class
-    has one bucket per table, by the signs of its products with random planes. A
+    has one bucket per table, by the signs of its products with random planes; bits and
+    tables follow from the largest label, see ``code_size``. A
     bucket is cut into tiles of bounded size, each pair of tiles is one matrix
     product in double precision, and only sums of links and a spanning forest
     leave it. A pair counts in the first table in which it meets. All buckets are
@@ -45,6 +57,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bits: int
     rows = rows.withColumn("valid", valid)
     classes = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = save(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    bits, tables = code_size(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, threshold)
 
     def signs(batches):
         import pyarrow as pa
