@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import binary_lengths, pack
 from tidemark.llm import token_counts
+from tidemark.llm.packing import binary_lengths, pack, write_buckets
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.tokenizing import BytePieces, WordEncoder
 
@@ -86,6 +86,20 @@ def test_pack_keeps_every_id_once(spark, docs):
     assert pack(docs.where("false"), WORD).count() == 0
 
 
+def test_every_id_of_every_document_and_buckets(spark, docs, tmp_path):
+    lib = Tokenizer.from_file(WORD)
+    once = docs.dropDuplicates(["doc_id", "text"]).where("doc_id is not null and doc_id <> 3")
+    write_buckets(pack(once, WORD, max_length=64), f"{tmp_path}/buckets")
+    found = spark.read.parquet(f"{tmp_path}/buckets")
+    assert {r.length for r in found.select("length").distinct().collect()} <= {1 << k for k in range(7)}
+    made = {}
+    for r in found.orderBy("doc_id", "start").collect():
+        assert r.start == len(made.setdefault(r.doc_id, b"")) // 4 and len(r.ids) == 4 * r.length
+        made[r.doc_id] += r.ids
+    want = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 2] for r in once.collect()}
+    assert made == {k: b"".join(i.to_bytes(4, "little") for i in v) for k, v in want.items()}
+
+
 def test_pieces_are_counted_once_and_long_repeats_summed(spark, monkeypatch):
     asked = []
     real = token_counts.piece_counts

@@ -28,7 +28,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated
     rows are packed once each; an empty table gives no rows. There is no shuffle:
-    a piece's sequence id is its number in the partition of its document.
+    a piece's sequence id is its number in the partition of its document, which a lost
+    task makes again as it was.
     """
     if max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
