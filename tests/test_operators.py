@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -209,3 +210,73 @@ def test_walk_forward_alone_and_in_a_panel(spark):
     assert all(reg == 1 for t, reg in a if t < 252) and models.where("not ok").count() == 0
     at = {r.refit for r in models.select("refit").collect()}
     assert at == {252, 292, 319} and dict(a)[292] == state[291]
+
+
+def test_concordance_counts_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(s, 1, rnd.randint(1, 9), float(rnd.randint(0, 4))) for s in "AB" for _ in range(40)]
+    got = {r.symbol: r.concordance for r in sv.concordance(spark.createDataFrame(rows, "symbol string, regime int, duration int, r double"), ["symbol", "regime"]).collect()}
+    for s in "AB":
+        pairs = [(a, b) for a in rows for b in rows if a[0] == b[0] == s and a[2] < b[2]]
+        want = sum(1.0 if a[3] > b[3] else 0.5 if a[3] == b[3] else 0.0 for a, b in pairs) / len(pairs)
+        assert math.isclose(got[s], want)
+
+
+def test_cox_forecast_by_hand(spark):
+    done = [(3, 0.1), (5, 0.2), (5, 0.1), (9, 0.4), (12, 0.2)]
+    rows = [("A", k, 2, d, True, v, 0.0) for k, (d, v) in enumerate(done)] + [("A", 9, 2, 4, False, 0.3, 0.0)]
+    cov = spark.createDataFrame(rows, "symbol string, spell int, regime int, duration long, event boolean, volatility double, total_log_return double")
+    fits = spark.createDataFrame([("A", 2, 0.7, 0.0)], "symbol string, regime int, beta_volatility double, beta_return double")
+    (got,) = sv.cox_forecast(cov, fits).collect()
+    v = np.array([x for _, x in done])
+    risk = lambda x: math.exp(0.7 * (x - v.mean()) / v.std())
+    hazard = {t: sum(d == t for d, _ in done) / sum(risk(x) for d, x in done if d >= t) for t in (3, 5, 9, 12)}
+    assert got.days_in_regime == 4 and math.isclose(got.baseline_hazard_at_t, hazard[5])
+    s = {t: math.exp(-sum(h for u, h in hazard.items() if u <= t) * risk(0.3)) for t in (5, 9, 12)}
+    assert math.isclose(got.cox_expected_remaining_days, ((s[5] + s[9]) / 2 * 4 + (s[9] + s[12]) / 2 * 3) / s[5])
+
+
+def test_categories(spark):
+    of = {"log_ret": "Returns", "sma_20": "Moving Averages", "ema_20": "Moving Averages", "atr_14": "Volatility", "bb_width": "Volatility", "donchian_upper": "Volatility", "keltner_upper": "Volatility", "rsi_14": "Momentum", "williams_r_14": "Momentum", "cci_20": "Momentum", "mfi_14": "Momentum", "obv": "Volume", "vwap": "Volume", "adx_14": "Trend", "aroon_up_25": "Trend", "di_plus_14": "Trend", "price_position_5": "Price Patterns", "hl_ratio_5": "Price Patterns", "day_of_week": "Time-based", "hour": "Time-based", "minute": "Time-based", "month_sin": "Time-based", "kdj_j": "Other"}
+    got = spark.createDataFrame([(k,) for k in of], "feature string").select("feature", ev.feature_category().alias("c")).collect()
+    assert {r.feature: r.c for r in got} == of
+
+
+def test_auto_filters():
+    assert hmm.auto_filters("fshmm") == (2, 0.05) and hmm.auto_filters("threshold", hysteresis=0.1) == (3, 0.1) and hmm.auto_filters("hmm", 4, 0.0) == (4, 0.0)
+
+
+def test_fits_together_are_fits_alone():
+    rnd = np.random.RandomState(5)
+    rows = np.concatenate([rnd.standard_normal((150, 4)) + m for m in (-2, 0, 2, 0)]).tolist()
+    for how in ((42, "hmm", None, None, "last_bar"), (42, "fshmm", None, None, "filtered"), (42, "hmm", 0.9, "huber", "last_bar")):
+        both = hmm.fit_refits(rows, [200, 450, 600], False, 3, *how)
+        for refit, (states, rho) in both.items():
+            alone, alone_rho = hmm.fit_slice(rows[:refit], 3, *how)
+            for a, b in zip(states, alone, strict=True):
+                assert a[:2] == b[:2] and np.allclose(a[2:4], b[2:4]) and np.allclose(a[4], b[4]) and np.allclose(a[5:7], b[5:7])
+            assert (rho is None) == (alone_rho is None) and (rho is None or np.allclose(rho, alone_rho))
+    back = hmm.fit_refits(rows, [100, 599, 600], True, 3, 42, "hmm", None, None, "last_bar")
+    assert back[100][0][0][8] == 500 and isinstance(back[600], ValueError)
+
+
+def test_recovery_of_a_collapsed_run():
+    rnd = np.random.RandomState(6)
+    rows = np.concatenate([rnd.standard_normal((400, 2)), 50 + rnd.standard_normal((4, 2)), -rnd.standard_normal((400, 2)) + 9]).tolist()
+    plain = hmm.fit_refits(rows, [300, 800], False, 3, 42, "hmm", None, None, "last_bar")
+    safe = hmm.fit_refits(rows, [300, 800], False, 3, 42, "hmm", None, None, "last_bar", recover=True)
+    assert {s[0] for s, _ in plain.values() for s in s} == {3} and {s[0] for s, _ in safe.values() for s in s} == {2}
+
+
+def test_result_files(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("A", None, 1.5)], "symbol string, note string, sharpe double").coalesce(1)
+    src.write_results_json(rows, f"{tmp_path}/json")
+    (line,) = [x for f in (tmp_path / "json").glob("*.json") for x in f.read_text().splitlines()]
+    assert json.loads(line) == {"symbol": "A", "note": None, "sharpe": 1.5}
+    src.write_saliency(spark.createDataFrame([("f", 0.7), ("g", 0.2)], "feature string, rho double").coalesce(1), f"{tmp_path}/csv")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").orderBy("feature").collect()] == [("f", "0.7", "yes"), ("g", "0.2", "no")]
+    for _ in range(2):
+        src.append_results(rows, f"{tmp_path}/all")
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 2

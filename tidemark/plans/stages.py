@@ -99,6 +99,24 @@ def evaluated(s, d):
     return ev.evaluate(engines, MIN_TRAIN, {"threshold": hmm.auto_filters("threshold"), "threshold_40": (0, 0.0)})
 
 
+def fitted_agreement(s, d):
+    """The threshold engine against a fitted one."""
+    fitted, _ = qs.hmm_labels(s, d, "messina")
+    named = lambda df, name: df.select("symbol", F.lit(name).alias("engine"), "ret_index", "regime")
+    return ev.engine_agreement(named(labels(s, d), "threshold").unionByName(named(fitted, "messina")))
+
+
+def fitted_over_robust(s, d):
+    """The robust engine against the plain one, both fitted."""
+    robust, plain = (qs.hmm_labels(s, d, name)[0] for name in ("robust_hmm", "hmm"))
+    return diag.over_robust_flag(rg.current(robust), rg.current(plain))
+
+
+def fitted_audit(s, d):
+    lab, made = qs.hmm_labels(s, d, "messina")
+    return hmm.recovery_audit(lab, made)
+
+
 def flat_record(s, d):
     f = qs.assembled(s, d)
     cols = ["source", "engine", F.col("dates.start").alias("start"), F.col("dates.end").alias("end"), F.col("current_regime.name").alias("regime"), F.col("current_regime.index").alias("regime_index"), "signal"]
@@ -163,6 +181,9 @@ QUERIES = {
     "features_generic": lambda s, d: each_rounded(feat.generic(panel(s, d)), GENERIC_DIGITS),
     "features_curated": lambda s, d: each_rounded(feat.curated(panel(s, d)).select("symbol", "ts", *feat.CURATED), CURATED_DIGITS),
     "cox_forecast": q(lambda s, d: sv.cox_forecast(rg.spell_covariates(labels(s, d)), sv.cox_fit(rg.spell_covariates(labels(s, d)))), 4),
+    "engine_agreement_fitted": q(fitted_agreement),
+    "over_robust_fitted": q(fitted_over_robust, 6),
+    "recovery_audit_fitted": q(fitted_audit),
     "snapshot_classify": q(lambda s, d: snapshot(s, d), 6),
 }
 
