@@ -20,8 +20,9 @@ KEYS = ("symbol", "ts", "bar_index", "open", "high", "low", "close", "volume")
 
 def curated(bars: DataFrame) -> DataFrame:
     """Keys and the 19 curated features."""
-    d = bars.withColumns({"log_ret": ind.log_return(), "sma_200": ind.sma(200), "sma_13": ind.sma(13), "volume_ratio": ratio("volume", ind.sma(20, "volume")), "true_range_pct": ratio(ind.true_range(), "close")})
-    d = rec.kdj(rec.together(d, rec.atr_steps(20), rec.adx_steps()))
+    # The recurrences sort most, so they come while rows are narrow.
+    d = rec.kdj(rec.together(bars, rec.atr_steps(20), rec.adx_steps()))
+    d = d.withColumns({"log_ret": ind.log_return(), "sma_200": ind.sma(200), "sma_13": ind.sma(13), "volume_ratio": ratio("volume", ind.sma(20, "volume")), "true_range_pct": ratio(ind.true_range(), "close")})
     d = d.withColumns({"price_sma200_ratio": ratio("close", "sma_200"), "sma200_distance_atr": ratio(F.col("close") - F.col("sma_200"), "atr_20")})
     d = rec.trailing_stop(d)
     return d.select(*KEYS, *CURATED)
@@ -30,9 +31,10 @@ def curated(bars: DataFrame) -> DataFrame:
 def generic(bars: DataFrame) -> DataFrame:
     """Keys and the generic features: averages, channels, momentum, volume, patterns
     and calendar, with the recurrences EMA 20, ATR 14, RSI 14 and ADX 14."""
-    d = bars.withColumns({"log_ret": ind.log_return(), "simple_ret": ind.simple_return()})
-    d = ind.time_features(ind.volume_features(ind.momentum(ind.price_levels(ind.channels(ind.moving_averages(d))))))
-    return rec.together(d, rec.ema_steps("ema_20", "close", 20), rec.atr_steps(14), rec.rsi_steps(), rec.adx_steps())
+    # The recurrences sort most, so they come while rows are narrow.
+    d = rec.together(bars, rec.ema_steps("ema_20", "close", 20), rec.atr_steps(14), rec.rsi_steps(), rec.adx_steps())
+    d = d.withColumns({"log_ret": ind.log_return(), "simple_ret": ind.simple_return()})
+    return ind.time_features(ind.volume_features(ind.momentum(ind.price_levels(ind.channels(ind.moving_averages(d))))))
 
 
 def select_features(df: DataFrame, drop=KEYS) -> list[str]:
