@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import token_counts
 from tidemark.llm.packing import binary_lengths, pack, write_buckets
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.tokenizing import BytePieces, WordEncoder
@@ -50,12 +49,11 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, length int").repartition(5)
 
 
-@pytest.mark.parametrize("shard", [16_384, 2])
-def test_count_tokens(spark, docs, monkeypatch, shard):
-    monkeypatch.setattr(token_counts, "SHARD_DOCS", shard)
+@pytest.mark.parametrize("buckets", [None, 1])
+def test_count_tokens(spark, docs, buckets):
     lib = Tokenizer.from_file(BYTE)
     want = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in count_tokens(docs, BYTE).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in count_tokens(docs, BYTE, buckets).collect())
     assert got == want
     assert count_tokens(docs.where("false"), BYTE).count() == 0
 
@@ -100,13 +98,8 @@ def test_every_id_of_every_document_and_buckets(spark, docs, tmp_path):
     assert made == {k: b"".join(i.to_bytes(4, "little") for i in v) for k, v in want.items()}
 
 
-def test_pieces_are_counted_once_and_long_repeats_summed(spark, monkeypatch):
-    asked = []
-    real = token_counts.piece_counts
-    monkeypatch.setattr(token_counts, "piece_counts", lambda tokens, path: asked.append(sorted(r.token for r in tokens.collect())) or real(tokens, path))
+def test_long_repeats_are_summed(spark):
     docs = spark.createDataFrame([(1, "x x " * 70_000), (2, ""), (3, "x y"), (4, None), (5, "y")], "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.n_tokens for r in count_tokens(docs, BYTE).collect()}
     library = Tokenizer.from_file(BYTE)
     assert got == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
-    (tokens,) = asked
-    assert len(tokens) == len(set(tokens))
