@@ -35,7 +35,9 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     lineage, so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    # No marker file: what is read back was written by this same call.
+    write = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
