@@ -131,6 +131,12 @@ def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes, fact
         mixed = by.where("parts > 1").select("key", (F.col("size") > (SMALL_BLOCK if level < SPLITS else 1 << 62)).alias("large"))
         left = save(named.join(mixed, "key"), "mixed-blocks")
         left = save(left.join(attributes(left.select("node").distinct()), "node").select("key", "node", "component", "large", *tag, *facts), "mixed-blocks")
+        if level == SPLITS:  # no further split: each block's members meet its least one first
+            lead = left.groupBy("key").agg(F.min("node").alias("a"))
+            star = verified(left.join(lead, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
+            links = save(functools.reduce(DataFrame.unionAll, [*found, star], links), "links")
+            comp, found = components(links), []
+            left = left.drop("component").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         small = left.where("not large")
         other = small.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), *[F.col(c).alias("o_" + c) for c in [*tag, *facts]])
         apart = (F.col("node") < F.col("o")) & (F.col("component") != F.col("o_component")) & fits
