@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filters, warc
+from tidemark.llm import collocations, decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_positional_decontamination": decontamination.op1_positional_decontamination,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_power_of_two_packing": packing.op8_power_of_two_packing,
     "op9_segment_edit_line_dedup": line_dedup.op9_segment_edit_line_dedup,
     "op10_association_url_filter": url_filters.op10_association_url_filter,
+    "op13_setm_collocations": collocations.op13_setm_collocations,
 }
 ORACLES = {
     "op1_positional_decontamination": decontamination.OP1_SQL,
     "op2_warc_normaliser": warc.OP2_SQL,
     "op4_multi_order_jaccard": ngram_join.OP4_SQL,
     "op9_segment_edit_line_dedup": line_dedup.OP9_SQL,
+    "op13_setm_collocations": collocations.OP13_SQL,
 }
