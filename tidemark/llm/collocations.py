@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import save, table
 
 #: A block takes texts until they have so many bytes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MAX_WORDS, SUPPORT, SHARE, TOP = 3, 10, 50, 2000
 #: What ends a piece; tabs part words as spaces do.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -33,9 +33,25 @@ class Numbers(dict):
         return code
 
 
+def packed(numbers) -> bytes:
+    """Bytes of an int32 array, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(np.asarray(numbers, np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int):
+    import numpy as np
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The stored relation of single words, a row per block: ``place`` and ``code`` (packed
-    int32) of all its words, and the language, word and count of each code."""
+    """The stored relation of single words, a row per block: steps between the ``place`` of
+    all its ``size`` words and their ``code``, packed, and the language, word and count of
+    each code."""
     import numpy as np
 
     def blocks(batches):
@@ -50,9 +66,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
             codes = codes[place]
             langs, words = [n[0] for n in names], pa.array([n[1] for n in names], pa.binary()).cast(pa.string())
             count = np.bincount(codes, minlength=len(names))
-            columns = [pa.array([(task << 32) + seq]), pa.array([place.tobytes()]), pa.array([codes.tobytes()])]
+            columns = [pa.array([(task << 32) + seq]), pa.array([len(place)], pa.int64()), pa.array([packed(np.diff(place, prepend=0))]), pa.array([packed(codes)])]
             lists = [pa.ListArray.from_arrays([0, len(names)], a) for a in (pa.array(langs, pa.string()), words, pa.array(count, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, *lists], names=["block", "place", "code", "lang", "word", "f"])
+            return pa.RecordBatch.from_arrays([*columns, *lists], names=["block", "size", "place", "code", "lang", "word", "f"])
 
         found, names, by_lang, held = [], [], {}, 0
         for batch in batches:
@@ -73,11 +89,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
             yield flush()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("string").cast("binary").alias("text"))
-    return save(texts.mapInArrow(blocks, "block long, place binary, code binary, lang array<string>, word array<string>, f array<long>"), "occurrences")
+    return save(texts.mapInArrow(blocks, "block long, size long, place binary, code binary, lang array<string>, word array<string>, f array<long>"), "occurrences")
 
 
 def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The stored relation one word longer. ``relation(block, place, code)`` keeps what is
+    """The stored relation one word longer. ``relation(block, size, place, code)`` keeps what is
     in ``frequent(block, code, id)``; it is merged with itself where one place follows
     the other. A row per block: place and code as before, and for each code the ids of
     its groups without the last word (``left``) and without the first (``right``)."""
@@ -86,12 +102,13 @@ def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     def merge(key, own, kept):
         import pyarrow as pa
 
-        out = pa.schema([("block", pa.int64()), ("place", pa.binary()), ("code", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
+        out = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("place", pa.binary()), ("code", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
         if not own.num_rows or not kept.num_rows:
             return out.empty_table()
-        place, code = (np.frombuffer(own.column(c)[0].as_py(), np.int32) for c in ("place", "code"))
-        if not code.size:
+        size = own.column("size")[0].as_py()
+        if not size:
             return out.empty_table()
+        place, code = np.cumsum(unpacked(own.column("place")[0].as_py(), size), dtype=np.int32), unpacked(own.column("code")[0].as_py(), size)
         ids = kept.column("id").to_numpy()
         local = np.full(max(int(code.max()), int(kept.column("code").to_numpy().max())) + 1, -1, np.int64)
         local[kept.column("code").to_numpy()] = np.arange(len(ids))
@@ -100,11 +117,11 @@ def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
         place, group = place[stays], group[stays]
         at = np.flatnonzero(place[1:] == place[:-1] + 1)
         pairs, code, count = np.unique(group[at] * len(ids) + group[at + 1], return_inverse=True, return_counts=True)
-        cells = [[key[0].as_py()], [place[at].tobytes()], [code.astype(np.int32).tobytes()], [ids[pairs // len(ids)]], [ids[pairs % len(ids)]], [count]]
+        cells = [[key[0].as_py()], [len(at)], [packed(np.diff(place[at], prepend=0))], [packed(code)], [ids[pairs // len(ids)]], [ids[pairs % len(ids)]], [count]]
         return pa.table([pa.array(c, f.type) for c, f in zip(cells, out, strict=True)], schema=out)
 
-    both = relation.select("block", "place", "code").groupBy("block").cogroup(frequent.withColumnRenamed("block", "of").groupBy("of"))
-    return save(both.applyInArrow(merge, "block long, place binary, code binary, left array<long>, right array<long>, f array<long>"), "occurrences")
+    both = relation.select("block", "size", "place", "code").groupBy("block").cogroup(frequent.withColumnRenamed("block", "of").groupBy("of"))
+    return save(both.applyInArrow(merge, "block long, size long, place binary, code binary, left array<long>, right array<long>, f array<long>"), "occurrences")
 
 
 def groups_of(relation: DataFrame, *names: str) -> DataFrame:

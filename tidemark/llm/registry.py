@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import collocations, conversation_repair, decontamination, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filters, warc
+from tidemark.llm import collocations, conversation_repair, decontamination, embedding_dedup, hidden_markov, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_positional_decontamination": decontamination.op1_positional_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_power_of_two_packing": packing.op8_power_of_two_packing,
     "op9_segment_edit_line_dedup": line_dedup.op9_segment_edit_line_dedup,
     "op10_association_url_filter": url_filters.op10_association_url_filter,
+    "op11_hidden_markov_scores": hidden_markov.op11_hidden_markov_scores,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_setm_collocations": collocations.op13_setm_collocations,
 }
