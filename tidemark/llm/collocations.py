@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, table
+from tidemark.llm.common import packed, save, table, unpacked
 
 #: A block takes texts until they have so many bytes.
 BLOCK_BYTES = 8 << 20
@@ -33,21 +33,6 @@ class Numbers(dict):
         return code
 
 
-def packed(numbers) -> bytes:
-    """Bytes of an int32 array, compressed."""
-    import numpy as np
-    import pyarrow as pa
-
-    return pa.compress(np.asarray(numbers, np.int32).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, size: int):
-    import numpy as np
-    import pyarrow as pa
-
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """The stored relation of single words, a row per block: steps between the ``place`` of
     all its ``size`` words and their ``code``, packed, and the language, word and count of

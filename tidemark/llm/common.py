@@ -41,6 +41,21 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(numbers) -> bytes:
+    """Bytes of an int32 array, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(np.asarray(numbers, np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int):
+    import numpy as np
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)``, the
     component being its smallest node. Nodes without an edge are not returned.
