@@ -65,6 +65,48 @@ def test_recurrences_over_many_blocks(spark, n):
     assert np.allclose(got, want * 2, rtol=1e-12)
 
 
+def gapped(spark, n=300):
+    rnd = np.random.RandomState(4)
+    close = [None if i in (0, 9, 50, 51, 52, 170) else 100 + float(v) for i, v in enumerate(rnd.standard_normal(n).cumsum())]
+    rows = [("A", DAY0 + datetime.timedelta(days=i), i, v, None if v is None else v + 1, None if v is None else v - 1) for i, v in enumerate(close)]
+    return close, spark.createDataFrame(rows, "symbol string, ts timestamp, bar_index int, close double, high double, low double").repartition(3)
+
+
+def plain_ema(values, n, adjusted=False):
+    a, y, num, den, seen, out = 2 / (n + 1), None, 0.0, 0.0, 0, []
+    for v in values:
+        if v is None:
+            out.append(None)
+            continue
+        seen += 1
+        y = v if y is None else y + a * (v - y)
+        num, den = num * (1 - a) + v, den * (1 - a) + 1
+        out.append(num / den if adjusted else y if seen >= n else None)
+    return out
+
+
+def same(got, want):
+    assert [g is None for g in got] == [w is None for w in want]
+    assert np.allclose([g for g in got if g is not None], [w for w in want if w is not None], rtol=1e-10)
+
+
+def test_recurrences_pass_over_gaps(spark):
+    close, df = gapped(spark)
+    df = df.cache()
+    same(column(rec.ewm_adjusted(df, "y", "close", 7), "y"), plain_ema(close, 7, True))
+    same(column(rec.ema(df, "y", "close", 7), "y"), plain_ema(close, 7))
+    minus = lambda a, b: [None if x is None or y is None else x - y for x, y in zip(a, b, strict=True)]
+    line = minus(plain_ema(close, 12), plain_ema(close, 26))
+    made = rec.macd(df)
+    same(column(made, "macd"), line)
+    same(column(made, "macd_signal"), plain_ema(line, 9))
+    kel = rec.keltner(df)
+    same(column(kel, "keltner_middle"), plain_ema(close, 20, True))
+    upper = column(kel, "keltner_upper")
+    assert all(u is None for u, c in zip(upper, close, strict=True) if c is None) and all(u > m for u, m in zip(upper, column(kel, "keltner_middle"), strict=True) if u is not None)
+    same(column(rec.wilder(series(spark, [1, 2, 3, None, None, 5, 4]), "y", "x", 2), "y"), [None, 1.5, 2.25, None, None, 3.625, 3.8125])
+
+
 def test_threshold_is_strict_and_symbols_do_not_leak(spark):
     df = series(spark, [0.03, 0.02, 0.0, 0.001, -0.2], "ret", ("A", "B"))
     assert column(rg.classify_threshold(df, 2, 0.05), "regime") == [1, 1, 1, 1, 0] * 2
@@ -155,6 +197,41 @@ def test_csv_source(spark, tmp_path):
     assert [r.problem for r in src.validate_bars(src.read_bars_csv(spark, str(tmp_path)), 3).collect()] == ["fewer than 3 rows"]
 
 
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    pd = pytest.importorskip("pandas")
+    days = [f"2021-03-{d:02d}" for d in range(1, 21)]
+    full = pd.DataFrame({"Date": days, "Open": range(20), "High": range(1, 21), "Low": range(-1, 19), "Close": [i + 0.5 for i in range(20)], "Volume": range(100, 120)})
+    full.to_csv(tmp_path / "A.csv", index=False)
+    full[["Close", "Volume", "Date", "Low", "High", "Open"]].rename(columns={"Close": " LAST ", "Volume": "vol", "Date": "Timestamp"}).to_csv(tmp_path / "B.csv", index=False)
+    # Not all five: the close is what a name holds, here the adjusted one.
+    pd.DataFrame({"trade date": days, "note": "x", "Adj Close": [2.0 * i for i in range(20)], "Price, raw": 7}).to_csv(tmp_path / "C d.csv", index=False)
+    # No name tells of a close: the first column but the date that holds numbers alone.
+    pd.DataFrame({"when": days, "text": ["1", "b", *["3"] * 18], "value": [3.0 * i for i in range(20)], "other": 1}).to_csv(tmp_path / "D.csv", index=False)
+    (tmp_path / "E.csv").write_text('\ufeff"Close","Date"\n"1.5","2021-03-01 10:00"\n\n2.5,2021-03-02\n')
+    rows = [tuple(r) for r in src.read_bars_csv(spark, str(tmp_path)).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume", "bar_index").collect()]
+    by = lambda s: sorted((r[1:] for r in rows if r[0] == s), key=lambda r: r[-1])
+    want = [(d, float(i), i + 1.0, i - 1.0, i + 0.5, i + 100.0, i) for i, d in enumerate(days)]
+    assert by("A") == want and by("B") == want
+    assert by("C d") == [(d, None, None, None, 2.0 * i, None, i) for i, d in enumerate(days)]
+    assert by("D") == [(d, None, None, None, 3.0 * i, None, i) for i, d in enumerate(days)]
+    assert by("E") == [("2021-03-01", None, None, None, 1.5, None, 0), ("2021-03-02", None, None, None, 2.5, None, 1)]
+    assert {r[0] for r in rows} == {"A", "B", "C d", "D", "E"}
+    (tmp_path / "F.csv").write_text("date,what\n2021-03-01,x\n")
+    with pytest.raises(ValueError, match="F.csv"):
+        src.read_bars_csv(spark, str(tmp_path))
+
+
+def test_csv_round_trip_in_two_orders(spark, tmp_path):
+    bars = src.index_panel(spark, "/root/testdata/sf0.001").drop("bar_index").cache()
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    for k, names in enumerate((["ts", "open", "high", "low", "close", "volume"], ["volume", "close", "low", "ts", "high", "open"])):
+        for symbol in [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").collect()][k::2]:
+            one = bars.where(F.col("symbol") == symbol).withColumn("ts", stamp).select(*[F.col(c).alias("time" if c == "ts" else c) for c in names])
+            (tmp_path / f"{symbol}.csv").write_text("\n".join([",".join(one.columns), *[",".join(map(str, r)) for r in one.collect()]]))
+    back = src.read_bars_csv(spark, str(tmp_path)).drop("bar_index")
+    assert back.count() == bars.count() and back.exceptAll(bars.select(back.columns)).isEmpty()
+
+
 def test_grid_and_resume(spark):
     grid = ev.factorial_grid(spark, {"a": [1, 2], "b": [3, 4]}, {"a": 1, "b": 4})
     assert grid.count() == 4 and grid.where("is_default").count() == 1

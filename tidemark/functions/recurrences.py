@@ -64,8 +64,9 @@ LARGEST, LEAST = 250, -20
 
 def linear_many(df: DataFrame, series: dict[str, tuple[Column, float]]) -> DataFrame:
     """Add a column per series: y(t) = a y(t-1) + u(t), over the bars where u isn't null.
-    A series has no gaps: after its first value all are there. Blocks are cut by bar, so
-    all series share the windows; very unlike ones are worked out apart."""
+    A series here has no gaps, which would count as steps: after its first value all are
+    there (``linear`` takes gaps). Blocks are cut by bar, so all series share the windows;
+    very unlike ones are worked out apart."""
     order = sorted(series, key=lambda k: series[k][1])
     digits = {k: -math.log10(series[k][1]) for k in order}
     if LEAST / -digits[order[-1]] > LARGEST / digits[order[0]]:
@@ -119,21 +120,21 @@ def ema_steps(out: str, x: str, n: int, alpha: float | None = None):
 
 
 def ema(df: DataFrame, out: str, x: str, n: int, alpha: float | None = None) -> DataFrame:
-    """Recursive exponential mean of a column without gaps, from its first value; null
-    before n values."""
-    return together(df, ema_steps(out, x, n, alpha))
+    """Recursive exponential mean over a column's values, from its first; null before n of
+    them and where there is none."""
+    return linear(df, out, *_ema(x, n, alpha)).withColumn(out, _from(n, x, out))
 
 
 def ewm_adjusted(df: DataFrame, out: str, x: str, span: int) -> DataFrame:
-    """Exponential mean whose weights add to 1 from the first bar on."""
+    """Exponential mean over a column's values, whose weights add to 1 from the first on."""
     a = 1 - 2 / (span + 1)
-    d = linear_many(df, {"__num": (F.col(x), a)})
+    d = linear(df, "__num", F.col(x), a)
     d = d.withColumn("__n", _nth(F.col(x)))
     return d.withColumn(out, F.col("__num") * (1 - a) / (1 - F.pow(F.lit(a), F.col("__n")))).drop("__num", "__n")
 
 
 def wilder(df: DataFrame, out: str, x: str, n: int) -> DataFrame:
-    return linear_many(df, {out: _wilder(x, n)})
+    return linear(df, out, *_wilder(x, n))
 
 
 def atr_steps(n: int):
@@ -166,14 +167,9 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def steps(d):
-        d = yield d, {"__fast": _ema("close", fast), "__slow": _ema("close", slow)}
-        d = d.withColumn("macd", _from(fast, "close", "__fast") - _from(slow, "close", "__slow"))
-        d = yield d, {"macd_signal": _ema("macd", signal)}
-        d = d.withColumn("macd_signal", _from(signal, "macd", "macd_signal"))
-        return d.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
-
-    return together(df, steps)
+    d = linear(linear(df, "__fast", *_ema("close", fast)), "__slow", *_ema("close", slow))
+    d = d.withColumn("macd", _from(fast, "close", "__fast") - _from(slow, "close", "__slow"))
+    return ema(d, "macd_signal", "macd", signal).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
 
 
 def directional_movement(df: DataFrame) -> DataFrame:

@@ -14,26 +14,71 @@ from tidemark.functions.frames import by_time
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
-def date_column(columns: list[str]) -> str | None:
-    """The first column whose name speaks of a date or a time."""
-    return next((c for c in columns if any(x in c.strip().lower() for x in ("date", "time", "timestamp"))), None)
-
-
-def close_column(columns: list[str], numeric: list[str]) -> str | None:
-    """The first column whose name has "close", else the first numeric one."""
-    return next((c for c in columns if "close" in c.strip().lower()), numeric[0] if numeric else None)
+#: Names that columns go by, first choices first: a date's name holds one of these,
+#: a close's is one of these or else holds one of the second list.
+DATES = ("date", "time", "timestamp", "datetime")
+NAMES = {"open": ("open",), "high": ("high",), "low": ("low",), "close": ("close", "last", "adj close", "price"), "volume": ("volume", "vol")}
+CLOSES = ("close", "adj close", "price", "last")
+
+
+def _named(names: Column, candidates, within: bool = False) -> Column:
+    """Place, from 1, of the first candidate that one of ``names`` is, or holds."""
+    at = lambda c: F.array_position(F.transform(names, lambda n: n.contains(c)) if within else names, F.lit(True) if within else c)
+    return F.coalesce(*[F.nullif(at(c), F.lit(0).cast("long")) for c in candidates])
+
+
+def csv_layouts(spark: SparkSession, path: str, date_col: str | None = None, close_col: str | None = None) -> DataFrame:
+    """A row per CSV file: its header's ``names`` (lower case) and the place, from 1, of
+    the date and of each OHLCV column; null where a file hasn't one.
+
+    The date is the column whose name speaks of one, else the first. Without a name that
+    tells of a close, it is the first column but the date that holds numbers alone."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value")
+    first = lines.where(F.col("start") == 0).where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    cells = F.split("header", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.transform(cells, lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), '^\ufeff?"?|"?$', ""))))
+    heads = first.select("file", names.alias("names"))
+    given = lambda name, found: F.coalesce(_named(F.col("names"), [name.strip().lower()]), found) if name else found
+    heads = heads.withColumn("date", given(date_col, F.coalesce(_named(F.col("names"), DATES, True), F.lit(1).cast("long"))))
+    places = {c: _named(F.col("names"), NAMES[c]) for c in OHLCV}
+    whole = F.lit(True)
+    for place in places.values():
+        whole = whole & place.isNotNull()
+    # A file with all five columns has its close by exact name, another by what names hold.
+    places["close"] = given(close_col, F.coalesce(F.when(whole, places["close"]), _named(F.col("names"), CLOSES, True)))
+    heads = heads.withColumns(places)
+    unnamed = heads.where("close is null").select("file", "date")
+    if unnamed.isEmpty():
+        return heads
+    cells = _csv_cells(spark, path, heads).join(unnamed, "file")
+    place = F.posexplode("cells").alias("k", "cell")
+    numbers = cells.select("file", "date", place).where(F.col("k") + 1 != F.col("date")).groupBy("file", "k").agg(F.count("cell").alias("n"), F.count(F.col("cell").try_cast("double")).alias("numbers"))
+    # The header's own cell is no number.
+    found = numbers.where((F.col("numbers") > 0) & (F.col("numbers") >= F.col("n") - 1)).groupBy("file").agg((F.min("k") + 1).cast("long").alias("numeric"))
+    return heads.join(found, "file", "left").withColumn("close", F.coalesce("close", "numeric")).drop("numeric")
+
+
+def _csv_cells(spark: SparkSession, path: str, heads: DataFrame) -> DataFrame:
+    """(file, cells) of all lines of CSV files, as wide as the widest header."""
+    width = heads.agg(F.max(F.size("names"))).first()[0] or 1
+    columns = [f"c{k}" for k in range(width)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*[F.trim(c) for c in columns]).alias("cells"))
 
 
 def read_bars_csv(spark: SparkSession, path: str, date_col: str | None = None, close_col: str | None = None) -> DataFrame:
-    """Bars of a folder of CSV files with one header; a file's stem is its symbol.
-    Columns are found by their names; missing OHLCV columns are null."""
-    raw = spark.read.option("header", True).csv(path)
-    date = date_col or date_column(raw.columns) or raw.columns[0]
-    own = {c.strip().lower(): c for c in raw.columns}
-    close = close_col or own.get("close") or close_column(raw.columns, [c for c in raw.columns if c != date])
-    number = lambda c: F.col(f"`{c}`").try_cast("double") if c else F.lit(None).cast("double")
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.csv(\.gz)?$", "")
-    return clean_bars(raw.select(stem.alias("symbol"), F.col(f"`{date}`").try_cast("timestamp").alias("ts"), *[number(close if c == "close" else own.get(c)).alias(c) for c in OHLCV]))
+    """Bars of a folder of CSV files, each read by its own header; a file's stem is its
+    symbol. Missing OHLCV columns are null, and so is what is no number; rows without a
+    time or close are dropped, header lines among them. A file in which no column can
+    be a close is an error."""
+    heads = csv_layouts(spark, path, date_col, close_col)
+    lost = [r.file for r in heads.where("close is null").select("file").limit(5).collect()]
+    if lost:
+        raise ValueError(f"no column can be a close in {', '.join(lost)}")
+    rows = _csv_cells(spark, path, heads).join(heads.drop("names"), "file")
+    cell = lambda c: F.element_at("cells", F.col(c).cast("int"))
+    stem = F.regexp_replace(F.url_decode(F.element_at(F.split("file", "/"), -1)), r"\.csv(\.gz)?$", "")
+    return clean_bars(rows.select(stem.alias("symbol"), cell("date").try_cast("timestamp").alias("ts"), *[cell(c).try_cast("double").alias(c) for c in OHLCV]))
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
