@@ -114,6 +114,18 @@ def groups_of(relation: DataFrame, *names: str) -> DataFrame:
     return relation.select("block", F.posexplode(F.arrays_zip(*names, "f")).alias("code", "g")).select("block", "code", *[f"g.{c}" for c in names], "g.f")
 
 
+def frequent_groups(spread: DataFrame, keys: list[str], support: int) -> DataFrame:
+    """The stored rows (block, code, id, head, *keys, a) of ``spread(block, code, *keys, f)``
+    whose groups occur ``support`` times in all blocks. A group's rows have one id, and
+    one of them, its head, has the keys and the count ``a``. One shuffle counts the groups
+    and keeps the frequent ones' places; a group has no more rows than there are blocks."""
+    group = Window.partitionBy(*keys)
+    d = spread.repartition(*keys).withColumn("row", F.monotonically_increasing_id())
+    d = d.withColumns({"a": F.sum("f").over(group), "id": F.min("row").over(group)}).where(F.col("a") >= support)
+    head = F.col("row") == F.col("id")
+    return save(d.select("block", "code", "id", head.alias("head"), *[F.when(head, F.col(c)).alias(c) for c in (*keys, "a")]), "groups")
+
+
 def best_cut(words: int) -> str:
     """SQL of the lowest-scoring cut (score, k, l, r) from the counts of a phrase's
     beginnings and endings, by number of words. Products are decimals of 38 digits,
@@ -133,7 +145,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, support: int = SUP
 
     Relations of one, two, ... words are stored in blocks of texts. A block's distinct
     groups are counted there and summed over blocks; those that occur ``support`` times
-    are joined back to the blocks, and only they are extended. So frequent words and
+    go back to the blocks, and only they are extended. So frequent words and
     pairs cost one row per block, and memory is that of a block, or of one text if that
     is longer. A phrase is left out if one that is a word longer occurs in at least
     ``share`` percent of its places; one that is longer still implies one of these.
@@ -142,23 +154,24 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, support: int = SUP
     """
     relation = occurrences(docs)
     spread = groups_of(relation, "lang", "word")
-    words = save(spread.groupBy("lang", "word").agg(F.sum("f").alias("a")), "words")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    words = words.where(F.col("a") >= support).withColumn("phrase", F.col("word"))
+    totals = spread.groupBy("lang").agg(F.sum("f").alias("n"))
+    places = frequent_groups(spread, ["lang", "word"], support)
     one = F.array("a")
-    level = save(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "phrase", "a", one.alias("pre"), one.alias("suf")), "groups")
-    keys, levels = ["lang", "word"], []
+    level, levels = places.where("head").select("id", "lang", "word", F.col("word").alias("phrase"), "a", one.alias("pre"), one.alias("suf")), []
     for length in range(2, max_words + 1):
-        frequent = spread.join(level.select("id", *keys), keys).select("block", "code", "id")
-        relation = extended(relation, frequent)
-        keys, spread = ["left", "right"], groups_of(relation, "left", "right")
-        counted = spread.groupBy(*keys).agg(F.sum("f").alias("a")).where(F.col("a") >= support)
+        relation = extended(relation, places.select("block", "code", "id"))
+        spread = groups_of(relation, "left", "right")
+        if length < max_words:
+            places = frequent_groups(spread, ["left", "right"], support)
+            counted = places.where("head").select("id", "left", "right", "a")
+        else:
+            counted = spread.groupBy("left", "right").agg(F.sum("f").alias("a")).where(F.col("a") >= support).withColumn("id", F.lit(None).cast("long"))
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("pre").alias("pre_l"))
         right = level.select(F.col("id").alias("right"), F.col("word"), F.col("suf").alias("suf_r"))
         named = counted.join(left, "left").join(right, "right")
         level = save(
-            named.select(F.monotonically_increasing_id().alias("id"), *keys, "lang", "word", F.concat_ws(" ", "first", "word").alias("phrase"), "a", F.concat("pre_l", F.array("a")).alias("pre"), F.concat("suf_r", F.array("a")).alias("suf")),
-            "groups",
+            named.select("id", "left", "right", "lang", "word", F.concat_ws(" ", "first", "word").alias("phrase"), "a", F.concat("pre_l", F.array("a")).alias("pre"), F.concat("suf_r", F.array("a")).alias("suf")),
+            "levels",
         )
         levels.append((length, level))
     found = []
