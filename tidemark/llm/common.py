@@ -38,22 +38,33 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     # No marker file: what is read back was written by this same call.
     write = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def packed(numbers) -> bytes:
-    """Bytes of an int32 array, compressed."""
+def discard(*saved: DataFrame) -> None:
+    """Delete tables of ``save`` that nothing is read from any more."""
+    for df in saved:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(numbers, kind="int32") -> bytes:
+    """Bytes of an array of one type, compressed."""
     import numpy as np
     import pyarrow as pa
 
-    return pa.compress(np.asarray(numbers, np.int32).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.asarray(numbers, kind).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, size: int):
+def unpacked(data: bytes, size: int, kind="int32"):
     import numpy as np
     import pyarrow as pa
 
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd"), np.int32)
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.decompress(data, decompressed_size=kind.itemsize * size, codec="zstd"), kind)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
