@@ -128,11 +128,11 @@ def brute(rows, threshold, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("broadcast", "small", "splits"), [(1_000_000, 16, 3), (0, 2, 2)])
-def test_against_all_pairs(spark, monkeypatch, broadcast, small, splits):
+@pytest.mark.parametrize(("broadcast", "small", "shrink"), [(1_000_000, 16, 0.75), (0, 2, 0.75), (0, 2, 0.0)])
+def test_against_all_pairs(spark, monkeypatch, broadcast, small, shrink):
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", broadcast)
     monkeypatch.setattr(common, "SMALL_BLOCK", small)
-    monkeypatch.setattr(common, "SPLITS", splits)
+    monkeypatch.setattr(common, "SHRINK", shrink)
     rnd = random.Random(9)
     alphabet = "abcdefgh éß"
     bases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(8, 60))) for _ in range(40)]

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> F.Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame) -> F.Column:
+    """All columns of ``df`` as one struct, so that no name clashes with another's."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the
     one set on the context. Only a session of one machine gets a folder of its own
@@ -120,17 +130,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 #: Blocks up to this size are paired as they are, larger ones are first split.
 SMALL_BLOCK = 16
-#: Larger blocks are split so many times; what is then still large is paired as it is.
-SPLITS = 3
+#: Splitting goes on while it leaves at most this share of the rows in large blocks.
+SHRINK = 0.75
 
 
-def references(large: DataFrame) -> DataFrame:
+def references(large: DataFrame, level: int = 0) -> DataFrame:
     """(key, node, ref): a node that the members of a block are all compared with, from
-    ``large(key, node)``. Of the least members of the blocks that a block's members
-    are in, it is the least, so that blocks of much the same members have the same."""
-    least = large.groupBy("key").agg(F.min("node").alias("lead"))
+    ``large(key, node)``. Of the first members of the blocks that a block's members are
+    in, it is the first, so that blocks of much the same members have the same. The
+    order is that of the nodes, and on later levels a shuffled one of the level's own."""
+    order = F.struct((F.xxhash64("node", F.lit(level)) if level else F.col("node")).alias("place"), "node")
+    least = large.groupBy("key").agg(F.min(order).alias("lead"))
     of_node = large.join(least, "key").groupBy("node").agg(F.min("lead").alias("lead"))
-    of_key = large.join(of_node, "node").groupBy("key").agg(F.min("lead").alias("ref"))
+    of_key = large.join(of_node, "node").groupBy("key").agg(F.min("lead")["node"].alias("ref"))
     return large.select("key", "node").join(of_key, "key")
 
 
@@ -143,39 +155,39 @@ def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes, fact
     links.
 
     Only pairs across components matter, so blocks of one component drop out. Small
-    blocks are paired. ``split(posted)`` gives for the large ones finer blocks
-    (key, node, tag) and links that it found: two nodes of one large block that link,
-    and that these links don't join, share a finer block in which
-    ``meets(tag, other's tag)`` holds. These are treated the same way again, so that a
-    group of near copies is not paired as a whole, and no link is missed.
+    blocks are paired. A large one gets a reference, a new one on each level, with which
+    its members are all compared. ``split(refs)`` takes (key, node, ref) and gives finer
+    blocks (key, node, tag), without the references, and the links to references: two
+    nodes of one large block that link, and that these links don't join, share a finer
+    block in which ``meets(tag, other's tag)`` holds. Members that link to a reference
+    are of its component from then on, and what is left is treated the same way again,
+    so that a group of near copies is not paired as a whole, and no link is missed.
+    Blocks that no longer get smaller are paired at last, across components only.
     """
-    comp, found = components(links), []
-    for level in range(SPLITS + 1):
+    comp, level, before = components(links), 0, None
+    while True:
         tag = ["tag"] if level else []
         named = posted.select("key", "node", *tag).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("parts"))
-        mixed = by.where("parts > 1").select("key", (F.col("size") > (SMALL_BLOCK if level < SPLITS else 1 << 62)).alias("large"))
-        left = save(named.join(mixed, "key"), "mixed-blocks")
-        left = save(left.join(attributes(left.select("node").distinct()), "node").select("key", "node", "component", "large", *tag, *facts), "mixed-blocks")
-        if level == SPLITS:  # no further split: each block's members meet its least one first
-            lead = left.groupBy("key").agg(F.min("node").alias("a"))
-            star = verified(left.join(lead, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
-            links = save(functools.reduce(DataFrame.unionAll, [*found, star], links), "links")
-            comp, found = components(links), []
-            left = left.drop("component").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("members"), F.count("*").alias("parts"))
+        mixed = save(named.join(by.where("parts > 1").select("key", "members"), "key"), "mixed-blocks")
+        rows = mixed.where(F.col("members") > SMALL_BLOCK).count()
+        last = not rows or before is not None and rows > SHRINK * before
+        left = save(mixed.join(attributes(mixed.select("node").distinct()), "node").select("key", "node", "component", (F.lit(not last) & (F.col("members") > SMALL_BLOCK)).alias("large"), *tag, *facts), "mixed-blocks")
         small = left.where("not large")
         other = small.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), *[F.col(c).alias("o_" + c) for c in [*tag, *facts]])
         apart = (F.col("node") < F.col("o")) & (F.col("component") != F.col("o_component")) & fits
         if level:
             apart = apart & meets(F.col("tag"), F.col("o_tag"))
         pairs = save(small.drop("large").join(other, "key").where(apart).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "apart")
-        if not pairs.isEmpty():
-            found.append(verified(pairs))
-        if left.where("large").isEmpty():
-            break
-        posted, more = split(left.where("large").select("key", "node"))
-        if more is not None:
+        found = [] if pairs.isEmpty() else [verified(pairs)]
+        if not last:
+            refs = save(references(left.where("large").select("key", "node"), level), "references")
+            posted, more = split(refs)
             found.append(more)
-    if not found:
-        return comp
-    return components(functools.reduce(DataFrame.unionAll, found, links))
+        discard(mixed, left, pairs)
+        if found:
+            known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = components(functools.reduce(DataFrame.unionAll, found, known))
+        if last:
+            return comp
+        before, level = rows, level + 1

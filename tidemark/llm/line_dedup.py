@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import merge_blocks, references, save, table
+from tidemark.llm.common import merge_blocks, quoted, save, table
 
 #: Lines within so many edits of each other are near copies.
 THRESHOLD = 2
@@ -230,10 +230,11 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     fits = (F.abs(F.col("size") - F.col("o_size")) <= threshold) & (moved("tally", "o_tally") <= 2 * threshold)
     attributes = lambda nodes: known.join(nodes, "node", "left_semi").select("node", "size", tally("line").alias("tally"))
 
-    def split(large: DataFrame):
-        refs = save(references(large).select("node", "ref").distinct(), "references")
-        both = refs.join(known.select("node", "line"), "node").join(known.select(F.col("node").alias("ref"), F.col("line").alias("ref_line")), "ref")
-        return save(edit_keys(both, threshold), "edit-keys"), None
+    def split(refs: DataFrame):
+        pairs = save(refs.where("node <> ref").select("node", "ref").distinct(), "references")
+        star = verified(pairs.select(F.least("node", "ref").alias("a"), F.greatest("node", "ref").alias("b")))
+        both = pairs.join(known.select("node", "line"), "node").join(known.select(F.col("node").alias("ref"), F.col("line").alias("ref_line")), "ref")
+        return save(edit_keys(both, threshold), "edit-keys"), star
 
     meets = lambda tag, o: (tag["e"] + o["e"] <= threshold) & F.arrays_overlap(tag["rear"], o["rear"])
     comp = merge_blocks(posted, links, verified, attributes, ("size", "tally"), fits, split, meets)
@@ -259,12 +260,13 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
 
     A null text stays null and has 0 lines; an empty one has 1 line and stays; rows
     with a null doc_id stay as they are; rows with equal doc_id and text are one
-    document. Columns called n_lines, n_exact or n_near are replaced.
+    document; a line may be as long as its text. Columns called n_lines, n_exact or n_near
+    are replaced, other names are free.
     """
     if min_chars <= 2 * threshold + 1:
         raise ValueError("min_chars must exceed 2 * threshold + 1")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    docs = docs.select(*keep)
+    docs = docs.select(*[quoted(c) for c in keep])
     lines = _occurrences(docs.select("doc_id", "text"), min_chars, min_chars if exact_chars is None else exact_chars)
     placed = lines.select(F.unhex(F.md5("line")).alias("digest"), F.struct("doc_id", "version", "no").alias("at"))
     first = save(placed.groupBy("digest").agg(F.min("at").alias("at"), F.count("*").alias("n")), "first-lines")
@@ -275,15 +277,16 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
     target = save(target.unionAll(plain).join(first.select("digest", F.col("at").alias("own")), "digest"), "kept-lines")
     dropped = placed.join(target, "digest").where("at <> keep").select("at.doc_id", "at.version", "at.no", (F.col("at") == F.col("own")).alias("near"))
     dropped = dropped.groupBy("doc_id", "version").agg(F.collect_set("no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near"))
-    dropped = dropped.toDF("doc_id", "__version", "__gone", "__near")
-    out = docs.withColumn("__version", F.xxhash64("text")).join(dropped, ["doc_id", "__version"], "left")
-    parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
-    out = out.withColumn("__lines", parts)
-    n_gone, n_near = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("__gone", "__near"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    made = {"text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long"), "n_exact": F.greatest(n_gone, F.lit(0)) - F.greatest(n_near, F.lit(0)), "n_near": F.greatest(n_near, F.lit(0))}
-    return out.select(*[made["text"].alias("text") if c == "text" else F.col(c) for c in keep], *[made[c].alias(c) for c in ("n_lines", "n_exact", "n_near")])
+    dropped = dropped.toDF("of_doc", "of_version", "gone", "near")
+    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("row"))
+    own = {c: F.col("row").getField(c) for c in keep}
+    out = rows.join(dropped, (own["doc_id"] == F.col("of_doc")) & (F.xxhash64(own["text"]) == F.col("of_version")), "left")
+    out = out.select("row", "gone", "near", F.split(own["text"], "\n").alias("lines"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get(F.col("lines"), i))
+    n_gone, n_near = (F.greatest(F.coalesce(F.size(c), F.lit(0)).cast("long"), F.lit(0)) for c in ("gone", "near"))
+    own["text"] = F.when(F.col("gone").isNull(), own["text"]).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    return out.select(*[c.alias(name) for name, c in own.items()], n_lines.alias("n_lines"), (n_gone - n_near).alias("n_exact"), n_near.alias("n_near"))
 
 
 def op9_segment_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, table
+from tidemark.llm.common import quoted, save, table
 
 BITS = 18
 #: Learning takes at most so many labelled documents, those of the smallest hash of
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_docs: int =
 
 def score(docs: DataFrame, weights, bits: int = BITS) -> DataFrame:
     """Add ``score`` (0 to 1, higher: better) to ``docs``, which needs ``text``.
-    A null or empty text has the bias alone. Memory is that of a batch of rows."""
+    A null or empty text has the bias alone. Memory is that of a batch of rows, and of
+    the features of one text however long. A column called score is replaced."""
     import numpy as np
 
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -146,7 +147,7 @@ def score(docs: DataFrame, weights, bits: int = BITS) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([docs.schema[c] for c in names]).add("score", DoubleType())
-    return docs.select(*names).mapInArrow(dots, schema)
+    return docs.select(*[quoted(c) for c in names]).mapInArrow(dots, schema)
 
 
 def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
