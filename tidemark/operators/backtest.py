@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tidemark.tables import save
 
 #: A run of a strategy is a symbol, or a symbol and a configuration.
 SYMBOL = ("symbol",)
@@ -23,53 +24,124 @@ def positions(labels: DataFrame, min_train: int = 252) -> DataFrame:
     return labels.withColumn("position", F.when(F.col("ret_index") >= min_train, F.col("regime") - 1).otherwise(0))
 
 
-def filtered_positions(labels: DataFrame, min_train: int = 252, dwell_bars: int = 0, hysteresis: float = 0.0, keys=SYMBOL) -> DataFrame:
+#: Bars of a run that the filters fold at a time.
+FOLD = 256
+
+
+def filtered_positions(labels: DataFrame, min_train: int = 252, dwell_bars: int = 0, hysteresis: float = 0.0, keys=SYMBOL, fold: int = FOLD) -> DataFrame:
     """Positions that change only after ``dwell_bars`` bars off the held regime and, if
     labels have a ``posterior`` array, if the new regime's posterior exceeds the held
     one's, as stored at the last switch, by more than ``hysteresis``.
 
     The counter counts any bar that differs from the held regime. With both at 0
-    this is ``positions``, in windows alone; else a symbol is folded in order."""
+    this is ``positions``. Else a run is cut into blocks of ``fold`` bars. With a dwell
+    alone there are few states, held regime and counter: each block maps every state to
+    the one it ends in, the maps are composed by doubling over blocks, and each block is
+    replayed from its start. With a posterior the state holds numbers: blocks are folded
+    from the states that the blocks before ended in, until none changes; one that
+    switches forgets how it began, so few rounds do."""
     if dwell_bars <= 0 and hysteresis <= 0:
         return positions(labels, min_train)
-    has = "posterior" in labels.columns
-    names = [f.name for f in labels.schema]
-
-    def fold(frame):
-        frame = frame.sort_values("ret_index")
-        held, count, stored, out = 1, 0, None, []
-        post = frame["posterior"] if has else [None] * len(frame)
-        for t, regime, p in zip(frame["ret_index"], frame["regime"], post, strict=True):
-            if t < min_train:
-                out.append(0)
-                continue
-            if regime == held:
-                count = 0
-            else:
-                count += 1
-                sure = hysteresis <= 0 or p is None or stored is None or p[regime] - stored[held] > hysteresis
-                if (dwell_bars <= 0 or count >= dwell_bars) and sure:
-                    held, count, stored = regime, 0, p
-            out.append(held - 1)
-        return frame.assign(position=out)[[*names, "position"]]
-
-    schema = StructType([*labels.schema, StructField("position", IntegerType())])
-    return labels.groupBy(*keys).applyInPandas(fold, schema)
+    keys = list(keys)
+    names = labels.columns
+    sure = hysteresis > 0 and "posterior" in names
+    bars = labels.where(F.col("ret_index") >= min_train).withColumn("block", F.floor((F.col("ret_index") - min_train) / fold))
+    bar = F.struct("ret_index", F.col("regime").cast("int").alias("regime"), (F.col("posterior") if sure else F.lit(None).cast("array<double>")).alias("p"))
+    blocks = bars.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    order = Window.partitionBy(*keys).orderBy("block")
+    if sure:
+        starts = _settled(blocks, order, keys, dwell_bars, hysteresis)
+    else:
+        starts = _composed(blocks, order, keys, dwell_bars)
+    replayed = F.aggregate("bars", F.struct(F.col("start").alias("s"), F.array().cast("array<int>").alias("out")), lambda acc, b: _replay(acc, b, dwell_bars, hysteresis), lambda acc: acc["out"])
+    held = starts.withColumn("held", replayed)
+    each = held.select(*keys, F.explode(F.arrays_zip(F.col("bars.ret_index").alias("t"), F.col("held").alias("h"))).alias("z")).select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("z.t").alias("t"), F.col("z.h").alias("h"))
+    same = F.col("ret_index") == F.col("t")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return labels.join(each, same, "left").select(*names, F.coalesce(F.col("h") - 1, F.lit(0)).cast("int").alias("position"))
+
+
+def _step(s, b, dwell: int, hysteresis: float):
+    """The state (held, count, stored) after a bar."""
+    off = b["regime"] != s["held"]
+    count = F.when(off, s["count"] + 1).otherwise(0)
+    lead = F.get(b["p"], b["regime"]) - F.get(s["stored"], s["held"])
+    sure = F.lit(True) if hysteresis <= 0 else b["p"].isNull() | s["stored"].isNull() | F.coalesce(lead > hysteresis, F.lit(False))
+    turn = off & (count >= dwell) & sure
+    return F.struct(F.when(turn, b["regime"]).otherwise(s["held"]).alias("held"), F.when(turn, 0).otherwise(count).alias("count"), F.when(turn, b["p"]).otherwise(s["stored"]).alias("stored"))
+
+
+def _replay(acc, b, dwell: int, hysteresis: float):
+    after = _step(acc["s"], b, dwell, hysteresis)
+    return F.struct(after.alias("s"), F.concat(acc["out"], F.array(after["held"])).alias("out"))
+
+
+#: Before the first bar sideways is held.
+START = "named_struct('held', 1, 'count', 0, 'stored', cast(null as array<double>))"
+
+
+def _composed(blocks: DataFrame, order, keys: list[str], dwell: int) -> DataFrame:
+    """``blocks`` with the state each starts in. A state is held * dwell + count; the
+    counter stays below ``dwell``, as at that many a switch is due."""
+    state = lambda i: F.struct(F.floor(i / dwell).cast("int").alias("held"), (i % dwell).cast("int").alias("count"), F.lit(None).cast("array<double>").alias("stored"))
+    number = lambda s: s["held"] * dwell + s["count"]
+    end = lambda i: F.aggregate("bars", state(i), lambda s, b: _step(s, b, dwell, 0.0), number)
+    maps = save(blocks.select(*keys, "block", F.transform(F.sequence(F.lit(0), F.lit(3 * dwell - 1)), end).alias("to")), "filter-maps")
+    most = (maps.agg(F.max("block")).first()[0] or 0) + 1
+    step = 1
+    while step < most:
+        # The composition over 2 * step blocks is that over the later ones after the earlier.
+        maps = maps.withColumn("before", F.lag("to", step).over(order)).withColumn("to", F.when(F.col("before").isNull(), F.col("to")).otherwise(F.transform("before", lambda i: F.get("to", i)))).drop("before")
+        step *= 2
+    began = F.coalesce(F.lag(F.get("to", F.lit(dwell))).over(order), F.lit(dwell))
+    starts = maps.withColumn("began", began).select(*keys, "block", state(F.col("began")).alias("start"))
+    return blocks.join(starts, [*keys, "block"])
+
+
+def _settled(blocks: DataFrame, order, keys: list[str], dwell: int, hysteresis: float) -> DataFrame:
+    """``blocks`` with the state each starts in, by rounds."""
+    ended = F.aggregate("bars", F.col("start"), lambda s, b: _step(s, b, dwell, hysteresis))
+    blocks = save(blocks, "filter-blocks")
+    folded = save(blocks.select(*keys, "block", F.expr(START).alias("start")).join(blocks, [*keys, "block"]).select(*keys, "block", "start", ended.alias("end")), "filter-ends")
+    while True:
+        due = F.coalesce(F.lag("end").over(order), F.expr(START))
+        asked = folded.withColumn("due", due).withColumn("wrong", ~F.col("start").eqNullSafe(F.col("due")))
+        if asked.where("wrong").isEmpty():
+            return blocks.join(folded.select(*keys, "block", "start"), [*keys, "block"])
+        right = asked.where("not wrong").select(*keys, "block", "start", "end")
+        again = asked.where("wrong").select(*keys, "block", F.col("due").alias("start")).join(blocks, [*keys, "block"]).select(*keys, "block", "start", ended.alias("end"))
+        folded = save(right.unionAll(again), "filter-ends")
+
+
+def pnl(keys=SYMBOL):
+    """The position held over a bar times its return."""
+    return F.coalesce(F.lag("position").over(_w(keys)) * F.col("ret"), F.lit(0.0))
+
+
+FACTORS = ("logs", "negative", "zeros")
+
+
+def factors() -> dict:
+    """Parts of the factor 1 + pnl whose running totals make the running product."""
+    factor = 1 + F.col("pnl")
+    return {"logs": F.ln(F.when(factor != 0, F.abs(factor))), "negative": (factor < 0).cast("int"), "zeros": (factor == 0).cast("int")}
+
+
+def product():
+    """The running product of the factors, from the totals ``FACTORS``."""
+    sign = F.when(F.round("negative").cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    return F.when(F.col("zeros") > 0, 0.0).otherwise(F.coalesce(F.exp("logs"), F.lit(1.0)) * sign)
 
 
 def equity(rows: DataFrame, min_train: int = 252, keys=SYMBOL) -> DataFrame:
     """Add pnl (the position held over the bar times its return) and equity, the
     running product of 1 + pnl, null before ``min_train``. Factors may be zero or
     negative: their logs are summed and signs counted."""
-    w = _w(keys)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = rows.withColumn("pnl", F.coalesce(F.lag("position").over(w) * F.col("ret"), F.lit(0.0)))
-    factor = 1 + F.col("pnl")
-    size = F.exp(F.sum(F.ln(F.when(factor != 0, F.abs(factor)))).over(run))
-    sign = F.when(F.sum((factor < 0).cast("int")).over(run) % 2 == 0, 1.0).otherwise(-1.0)
-    gone = F.max((factor == 0).cast("int")).over(run) == 1
-    value = F.when(gone, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign)
-    return d.withColumn("equity", F.when(F.col("ret_index") >= min_train, value))
+    run = _w(keys).rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("pnl", pnl(keys))
+    d = d.withColumns({name: F.sum(c).over(run) for name, c in factors().items()})
+    return d.withColumn("equity", F.when(F.col("ret_index") >= min_train, product())).drop(*FACTORS)
 
 
 def _bars_a_year(gap: str):

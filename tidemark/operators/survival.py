@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import gamma
+from tidemark.tables import discard, save
 
 MIN_SPELLS = 3
 BISECTIONS, NODES = 60, 400
@@ -17,10 +18,14 @@ def weibull_fit(runs: DataFrame) -> DataFrame:
     """(symbol, regime, n, shape, scale): maximum likelihood over the completed spells
     of each regime; null with fewer than three; equal durations give shape 1 and
     their mean. The shape is the root of the profile likelihood's slope, which rises
-    with it, by bisection of its logarithm; the scale follows in closed form."""
-    done = runs.where("not censored").groupBy("symbol", "regime").agg(F.collect_list(F.col("duration").cast("double")).alias("d"))
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    done = done.withColumns({"n": F.size("d"), "top": F.array_max("d")}).withColumn("mean_log", total(F.col("d"), lambda x: F.ln(x / F.col("top"))) / F.col("n"))
+    with it, by bisection of its logarithm; the scale follows in closed form.
+
+    Spells are counted by duration first. A regime's distinct durations add up to no more
+    than its bars, so of n bars there are below the root of 2 n of them."""
+    done = runs.where("not censored").groupBy("symbol", "regime", "duration").agg(F.count("*").alias("m"))
+    done = done.groupBy("symbol", "regime").agg(F.collect_list(F.struct(F.col("duration").cast("double").alias("d"), F.col("m"))).alias("d"), F.sum("m").cast("int").alias("n"), F.max("duration").cast("double").alias("top"), (F.min("duration") == F.max("duration")).alias("flat"))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["m"] * f(x["d"]))
+    done = done.withColumn("mean_log", total(F.col("d"), lambda x: F.ln(x / F.col("top"))) / F.col("n"))
 
     def halve(s, _):
         k = F.exp((s["lo"] + s["hi"]) / 2)
@@ -30,7 +35,7 @@ def weibull_fit(runs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(math.log(1e-3)).alias("lo"), F.lit(math.log(1e3)).alias("hi"))
     root = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve)
-    done = done.withColumn("flat", F.array_min("d") == F.col("top")).withColumn("root", root)
+    done = done.withColumn("root", root)
     k = F.exp((F.col("root.lo") + F.col("root.hi")) / 2)
     done = done.withColumn("shape", F.when(F.col("n") < MIN_SPELLS, None).when(F.col("flat"), 1.0).otherwise(k))
     scale = F.col("top") * F.pow(total(F.col("d"), lambda x: F.pow(x / F.col("top"), F.col("shape"))) / F.col("n"), 1 / F.col("shape"))
@@ -91,32 +96,35 @@ def cox_fit(covariates: DataFrame, rounds: int = 20) -> DataFrame:
     """(symbol, regime, n, beta_volatility, beta_return, concordance): proportional
     hazards on completed spells of each symbol's regime, ties as Breslow.
 
-    Covariates are standardised. A Newton step needs, at each event, sums over the
-    spells that last as long or longer: running sums over durations, then totals per
-    group and a 2 x 2 solve on one row each. All groups step together; betas are a
-    small table of one row per group, joined back by equality."""
+    Covariates are standardised. A Newton step needs, at each duration, sums over the
+    spells that last as long or longer: sums per distinct duration, running totals of
+    those, then totals per group and a 2 x 2 solve on one row each. All groups step
+    together; their betas are a stored table, and only whether any still moves comes to
+    the driver."""
     keys = ["symbol", "regime"]
     whole = Window.partitionBy(*keys)
     rows = covariates.where("event").withColumn("n", F.count("*").over(whole)).where(F.col("n") >= MIN_SPELLS)
     z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole)), F.lit(0.0))
-    rows = rows.select(*keys, "duration", "n", z("volatility").alias("x"), z("total_log_return").alias("y")).persist()
+    rows = save(rows.select(*keys, "duration", "n", z("volatility").alias("x"), z("total_log_return").alias("y")), "spells")
     beta = rows.select(*keys).distinct().withColumns({"bx": F.lit(0.0), "by": F.lit(0.0)})
-    risk = Window.partitionBy(*keys).orderBy(F.desc("duration")).rangeBetween(Window.unboundedPreceding, 0)
-    spark = covariates.sparkSession
+    risk = Window.partitionBy(*keys).orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
+    used, stored = [], None
     for _ in range(rounds):
-        d = rows.join(beta, keys).withColumn("e", F.exp(F.col("bx") * F.col("x") + F.col("by") * F.col("y")))
-        s = lambda c: F.sum(c).over(risk)
         e, x, y = F.col("e"), F.col("x"), F.col("y")
-        d = d.select(*keys, "bx", "by", "x", "y", s("e").alias("s"), s(e * x).alias("sx"), s(e * y).alias("sy"), s(e * x * x).alias("sxx"), s(e * x * y).alias("sxy"), s(e * y * y).alias("syy"))
+        d = rows.join(beta, keys).withColumn("e", F.exp(F.col("bx") * x + F.col("by") * y))
+        sums = {"s": e, "sx": e * x, "sy": e * y, "sxx": e * x * x, "sxy": e * x * y, "syy": e * y * y}
+        d = d.groupBy(*keys, "bx", "by", "duration").agg(F.count("*").alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"), *[F.sum(c).alias(name) for name, c in sums.items()])
+        d = d.withColumns({name: F.sum(name).over(risk) for name in sums})
         q = lambda c: F.col(c) / F.col("s")
-        t = d.groupBy(*keys, "bx", "by").agg(F.sum(F.col("x") - q("sx")).alias("gx"), F.sum(F.col("y") - q("sy")).alias("gy"), (F.sum(q("sxx") - q("sx") * q("sx")) + 1e-6).alias("a"), F.sum(q("sxy") - q("sx") * q("sy")).alias("b"), (F.sum(q("syy") - q("sy") * q("sy")) + 1e-6).alias("c"))
+        m = F.col("m")
+        t = d.groupBy(*keys, "bx", "by").agg(F.sum(x - m * q("sx")).alias("gx"), F.sum(y - m * q("sy")).alias("gy"), (F.sum(m * (q("sxx") - q("sx") * q("sx"))) + 1e-6).alias("a"), F.sum(m * (q("sxy") - q("sx") * q("sy"))).alias("b"), (F.sum(m * (q("syy") - q("sy") * q("sy"))) + 1e-6).alias("c"))
         det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
-        clip = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+        clip = lambda v: F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)), F.lit(0.0))
         step = t.select(*keys, "bx", "by", clip(F.try_divide(F.col("c") * F.col("gx") - F.col("b") * F.col("gy"), det)).alias("dx"), clip(F.try_divide(F.col("a") * F.col("gy") - F.col("b") * F.col("gx"), det)).alias("dy"))
-        # One small row per group: made local so that the plan doesn't grow by rounds.
-        found = step.select(*keys, (F.col("bx") + F.coalesce("dx", F.lit(0.0))).alias("bx"), (F.col("by") + F.coalesce("dy", F.lit(0.0))).alias("by"), F.greatest(F.abs("dx"), F.abs("dy")).alias("moved")).toArrow()
-        beta = spark.createDataFrame(found).select(*keys, "bx", "by")
-        if not found.num_rows or max(v or 0.0 for v in found.column("moved").to_pylist()) < 1e-9:
+        stored = save(step.select(*keys, (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"), F.greatest(F.abs("dx"), F.abs("dy")).alias("moved")), "betas")
+        discard(*used)
+        used, beta = [stored], stored.select(*keys, "bx", "by")
+        if stored.where("moved >= 1e-9").isEmpty():
             break
     scored = rows.join(beta, keys).withColumn("r", F.col("bx") * F.col("x") + F.col("by") * F.col("y"))
     conc = concordance(scored, keys)
