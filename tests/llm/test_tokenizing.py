@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import binary_lengths, pack, write_buckets
-from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.packing import binary_lengths, op8_power_of_two_packing, pack, write_buckets
+from tidemark.llm.token_counts import count_tokens, op5_token_counts
 from tidemark.llm.tokenizing import BytePieces, WordEncoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,9 @@ ALPHABET = list("aAbBzÉéßÀñİıǅª²½ .,!'’“\n\t\r\x0b\x0c\x85\xa0\x1
 def texts():
     rnd = random.Random(5)
     made = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    # Every kind of white space and control character, alone and together.
+    blank = [*map(chr, range(0x21)), "\x7f", "\x85", "\xa0", "\u2028", "\u2029", "\u3000"]
+    made += ["".join(rnd.choice(blank) for _ in range(rnd.randint(1, 6))) for _ in range(3000)] + blank
     return [*made, "", " ", "\n", "   x", "x   ", "a" * 50_000, "word " * 20_000]
 
 
@@ -103,3 +106,27 @@ def test_long_repeats_are_summed(spark):
     got = {r.doc_id: r.n_tokens for r in count_tokens(docs, BYTE).collect()}
     library = Tokenizer.from_file(BYTE)
     assert got == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
+def test_query_op5_on_the_given_table(spark):
+    lib, sf = Tokenizer.from_file(BYTE), "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text or ""
+        n = len(lib.encode(text, add_special_tokens=False).ids)
+        want[r.doc_id] = (len(text.encode()), n, n > 512)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op5_token_counts(spark, sf).collect()} == want
+
+
+def test_query_op8_on_the_given_table(spark):
+    lib, sf = Tokenizer.from_file(WORD), "/root/testdata/sf0.001"
+    ids = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 2] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op8_power_of_two_packing(spark, sf).collect()
+    covered: dict = {}
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in piece)) and r.doc_tokens == len(ids[r.doc_id])
+        assert r.offset == 0 and r.length & (r.length - 1) == 0 and len(piece) == r.length <= 4096
+        covered.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    assert {d: sorted(c) for d, c in covered.items()} == {d: list(range(len(i))) for d, i in ids.items()}
+    assert len({r.sequence_id for r in rows}) == len(rows)

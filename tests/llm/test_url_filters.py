@@ -103,3 +103,52 @@ def test_least_rows_and_hot_token_sets(spark, monkeypatch):
     assert few == hot and len(few) == pages.count()
     blocked = lambda found: {p.split("/")[1] for _, p, v in found if v == "block"}
     assert blocked(few) == {"bad", "rare"} and blocked(strict) == {"bad"}
+
+
+def enumerated(held, least, margin=uf.MARGIN):
+    """(tokens, verdict) -> confidence of the rules for both verdicts, by counting; rules
+    that a part of theirs is as sure as are left out before the margin is asked for."""
+    out = {}
+    for verdict in ("block", "allow"):
+        rows = [(t, b == (verdict == "block")) for t, b in held]
+        base, sure = sum(b for _, b in rows) / len(rows), {}
+        level = [frozenset()]
+        while level:
+            wider = set()
+            for part in level:
+                for t in {t for s, b in rows if b and s >= part for t in s - part}:
+                    own = [b for s, b in rows if s >= part | {t}]
+                    if sum(own) >= least:
+                        wider.add(part | {t})
+                        if sum(own) >= 0.5 * len(own):
+                            sure[part | {t}] = (sum(own) / len(own), len(own))
+            level = wider
+        for k, (c, n) in sure.items():
+            if not any(o < k and sure[o][0] >= c for o in sure) and c - margin * (c * (1 - c) / n) ** 0.5 > base:
+                out[k, verdict] = (round(c, 9), round(c / base, 9))
+    return out
+
+
+def test_query_mines_rules_of_both_verdicts(spark):
+    """The registered query on the given tables: its rules by enumeration, its rows by a
+    plain version with those rules."""
+    sf = "/root/testdata/sf0.01"
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
+    quality = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect():
+        quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    tokens = {r.page_id: frozenset(r.tokens) for r in frame.select("page_id", uf.url_tokens(F.col("url")).alias("tokens")).collect()}
+    held = [(tokens[p], quality[p] == 0) for p, _ in pages if p in quality and tokens[p]]
+    rules = enumerated(held, max(uf.MIN_ROWS, uf.MIN_SUPPORT * len(held)))
+    assert rules
+    labelled = spark.createDataFrame([(sorted(t), b) for t, b in held], "tokens array<string>, block boolean")
+    mined = {(frozenset(r.tokens), r.verdict): (round(r.confidence, 9), round(r.lift, 9)) for r in uf.mine_both(labelled, min_rows=uf.MIN_ROWS).collect()}
+    assert mined == rules
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.mined) for r in uf.op10_association_url_filter(spark, sf).collect()}
+    assert len(got) == len(pages)
+    for page, url in pages:
+        host, path, rule, verdict = plain(url)
+        best = max(((lift, c, sorted(k), v) for (k, v), (c, lift) in rules.items() if k <= tokens[page]), default=None)
+        assert got[page] == (host, path, rule, verdict or (best[3] if best else "allow"), verdict is None and best is not None)
+    assert any(r[4] for r in got.values())

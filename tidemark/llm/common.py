@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import functools
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.tables import discard, save, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,42 +24,6 @@ def as_row(df: DataFrame) -> F.Column:
     return F.struct(*[quoted(c) for c in df.columns])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    one set on the context. Only a session of one machine gets a folder of its own
-    where neither is set; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back. This cuts the
-    lineage, so a lost executor costs a re-read and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # No marker file: what is read back was written by this same call.
-    write = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    write.partitionBy(*partition_by).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def discard(*saved: DataFrame) -> None:
-    """Delete tables of ``save`` that nothing is read from any more."""
-    for df in saved:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def packed(numbers, kind="int32") -> bytes:
     """Bytes of an array of one type, compressed."""
     import numpy as np

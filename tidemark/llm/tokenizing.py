@@ -107,8 +107,6 @@ class BytePieces:
                 total.update(self.frequencies(part))
             return total
         if self.ODD.search(text):
-            if text.isspace() or not text:
-                return Counter([text] if text else [])
             return Counter(text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
             return Counter(self.cut(text))

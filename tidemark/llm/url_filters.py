@@ -14,6 +14,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: A rule of the registered query rests on so many labelled rows at least.
 MIN_ROWS = 20
+#: Where rules for both verdicts are mined, a rule's confidence less so many of its
+#: standard deviations must exceed its verdict's share of all labelled rows.
+MARGIN = 1.0
 #: Token sets in more than one of so many pages are judged by a broadcast table, which
 #: so has fewer rows than that; the others are dealt out by token set.
 HOT_SHARE = 1000
@@ -100,26 +103,45 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return save(out.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "rules")
 
 
+def mine_both(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = 0.5, min_rows: int = 1, margin: float = MARGIN) -> DataFrame:
+    """Rows (rule_id, tokens, confidence, support, verdict, lift): what ``mine`` finds for
+    blocking and for allowing, if it is surer than the verdict's share of the labelled
+    rows by ``margin`` standard deviations of a share of as many rows as hold the rule's
+    tokens. The lift is the confidence over that share."""
+    held = save(labelled.where("block is not null and size(tokens) > 0").select("tokens", "block"), "labelled")
+    n, blocked = held.agg(F.count("*"), F.count_if("block")).first()
+    found = []
+    for verdict, own in (("block", blocked), ("allow", n - blocked)):
+        base = own / n if n else 0.0
+        rules = mine(held.withColumn("block", F.col("block") == F.lit(verdict == "block")), min_support, min_confidence, min_rows)
+        rows = F.col("support") * n / F.col("confidence")
+        spread = F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / rows)
+        rules = rules.where(F.col("confidence") - margin * spread > base)
+        found.append(rules.withColumns({"verdict": F.lit(verdict), "lift": F.try_divide(F.col("confidence"), F.lit(base)), "rule_id": F.xxhash64("tokens", F.lit(verdict))}))
+    return save(found[0].unionByName(found[1]), "rules")
+
+
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The surest rule for each of ``sets(tokens)`` that holds all its tokens:
-    (tokens, rule_tokens, confidence). Rules are indexed under their rarest token
+    (tokens, rule_tokens, confidence, verdict), by lift and then confidence. Rules are indexed under their rarest token
     (fewest rules); a set probes the index with its tokens."""
     spread = rules.select("rule_id", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count("*").alias("n"))
-    index = spread.join(common, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token")).join(rules, "rule_id").select("token", F.col("tokens").alias("rule_tokens"), "confidence")
+    index = spread.join(common, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token")).join(rules, "rule_id").select("token", F.col("tokens").alias("rule_tokens"), "confidence", "verdict", "lift")
     index = save(index, "rule-index")
     if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    return hits.groupBy("tokens").agg(F.max_by(F.struct("rule_tokens", "confidence"), F.struct("confidence", "rule_tokens")).alias("best")).select("tokens", "best.*")
+    return hits.groupBy("tokens").agg(F.max_by(F.struct("rule_tokens", "confidence", "verdict"), F.struct("lift", "confidence", "rule_tokens")).alias("best")).select("tokens", "best.*")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1, both: bool = False) -> DataFrame:
     """One row per row of ``pages(page_id, url)``: page_id, host, path, rule,
     verdict, mined (whether a mined rule gave the verdict).
 
     The longest fixed rule decides; else a url that holds all tokens of a rule
-    mined from ``labelled(url, block)`` is blocked; any other is allowed. Urls are
+    mined from ``labelled(url, block)`` is blocked, with ``both`` it gets the verdict of
+    the surest such rule of ``mine_both``; any other is allowed. Urls are
     reduced to distinct token sets before mining's rules are matched. A null url,
     or one without ``://``, has empty host and path and no tokens: allowed.
     Repeated rows are judged alike; columns other than the named are ignored;
@@ -128,21 +150,26 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens"))
-    mined = mine(labelled.select(url_tokens(F.col("url").cast("string")).alias("tokens"), "block"), min_support, min_confidence, min_rows)
+    learned = labelled.select(url_tokens(F.col("url").cast("string")).alias("tokens"), "block")
+    if both:
+        mined = mine_both(learned, min_support, min_confidence, min_rows)
+    else:
+        mined = mine(learned, min_support, min_confidence, min_rows).withColumns({"verdict": F.lit("block"), "lift": F.col("confidence")})
     sets = save(rows.groupBy("tokens").agg(F.count("*").alias("n")), "token-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    verdicts = save(match(sets.select("tokens"), mined).select("tokens", F.lit(True).alias("mined")), "verdicts")
-    hot = sets.where(F.col("n") * HOT_SHARE > total).join(verdicts, "tokens", "left").select("tokens", F.coalesce("mined", F.lit(False)).alias("hot"))
+    verdicts = save(match(sets.select("tokens"), mined).select("tokens", F.col("verdict").alias("mined")), "verdicts")
+    hot = sets.where(F.col("n") * HOT_SHARE > total).join(verdicts, "tokens", "left").select("tokens", F.struct("mined").alias("hot"))
     marked = rows.join(F.broadcast(hot), "tokens", "left")
     rest = marked.where("hot is null").join(verdicts, "tokens", "left")
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    found = marked.where("hot is not null").withColumn("mined", F.col("hot")).unionByName(rest).withColumns({"rule": rule, "fixed": verdict})
-    return found.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), (F.col("fixed").isNull() & F.coalesce("mined", F.lit(False))).alias("mined"))
+    found = marked.where("hot is not null").withColumn("mined", F.col("hot.mined")).unionByName(rest).withColumns({"rule": rule, "fixed": verdict})
+    return found.select("page_id", "host", "path", "rule", F.coalesce("fixed", "mined", F.lit("allow")).alias("verdict"), (F.col("fixed").isNull() & F.col("mined").isNotNull()).alias("mined"))
 
 
 def op10_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: a page is to be blocked if the document of its number has quality 0."""
+    """Labels: a page is to be blocked if the document of its number has quality 0. Rules
+    for blocking and allowing rest on ``MIN_ROWS`` labelled rows and half of them."""
     pages = table(spark, sf_dir, "pages")
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", (F.col("quality") == 0).alias("block"))
-    return judge(pages, labelled, min_rows=MIN_ROWS)
+    return judge(pages, labelled, min_confidence=0.5, min_rows=MIN_ROWS, both=True)
