@@ -46,8 +46,9 @@ def select_features(df: DataFrame, drop=KEYS) -> list[str]:
 
 def backfill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls take the next value of the symbol."""
-    ahead = by_time().rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(ahead) for c in columns})
+    # From the last bar down, so that a frame grows by a row at a time.
+    back = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in columns})
 
 
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:

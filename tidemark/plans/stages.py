@@ -11,8 +11,11 @@ from tidemark.operators import diagnostics as diag
 from tidemark.operators import evaluation as ev
 from tidemark.operators import features as feat
 from tidemark.operators import hmm
+from tidemark.operators import models as md
+from tidemark.operators import ranges as rng
 from tidemark.operators import regimes as rg
 from tidemark.operators import survival as sv
+from tidemark.operators import whitening as wh
 from tidemark.plans import checks as ck
 from tidemark.plans import queries as qs
 from tidemark.plans.checks import BARS_SQL, LABELS, MATRIX, NOW, RETS, SPELLS, WEIBULL, labelled, query, r
@@ -117,6 +120,35 @@ def fitted_audit(s, d):
     return hmm.recovery_audit(lab, made)
 
 
+SCORED = ["ret", "spread"]
+
+
+def scored_columns(s, d):
+    """What the stored models are scored on: returns and spreads of bars."""
+    p = panel(s, d).select("symbol", (F.col("bar_index") - 1).cast("int").alias("ret_index"), ((F.col("high") - F.col("low")) / F.col("close")).alias("spread"), F.ln("volume").alias("log_volume"))
+    return rets(s, d).select("symbol", "ret_index", "ret").join(p, ["symbol", "ret_index"])
+
+
+def stored_models(s, d):
+    return md.models_of_labels(labels(s, d), scored_columns(s, d), SCORED, hmm.refit_schedule(rets(s, d)))
+
+
+def posteriors(df):
+    return df.select("symbol", "ret_index", "refit", *[F.get("posterior", F.lit(k)).alias(f"p_{k}") for k in range(3)])
+
+
+def moments(s, d):
+    sums = wh.refit_sums(scored_columns(s, d), [*SCORED, "log_volume"], hmm.refit_schedule(rets(s, d)))
+    return wh.covariances(sums, [*SCORED, "log_volume"]).withColumn("covariance", F.col("covariance") * 1e4)
+
+
+def whitened(s, d):
+    """The generic features' components at each of the plain engine's refits."""
+    rows, features, columns = qs.hmm_inputs(s, d)
+    filled = feat.backfill(features.withColumn("ts", F.col("ret_index")), columns)
+    return wh.whitening(wh.refit_sums(filled, columns, hmm.refit_schedule(rows)), columns).drop("weights")
+
+
 def flat_record(s, d):
     f = qs.assembled(s, d)
     cols = ["source", "engine", F.col("dates.start").alias("start"), F.col("dates.end").alias("end"), F.col("current_regime.name").alias("regime"), F.col("current_regime.index").alias("regime_index"), "signal"]
@@ -185,6 +217,12 @@ QUERIES = {
     "over_robust_fitted": q(fitted_over_robust, 6),
     "recovery_audit_fitted": q(fitted_audit),
     "snapshot_classify": q(lambda s, d: snapshot(s, d), 6),
+    "model_scores": q(lambda s, d: posteriors(md.score_bars(scored_columns(s, d), stored_models(s, d), SCORED)), 5),
+    "model_filtered": q(lambda s, d: posteriors(md.filter_bars(scored_columns(s, d), stored_models(s, d), SCORED)), 5),
+    "refit_moments": q(moments, 6),
+    "pca_refits": q(whitened, 5),
+    "features_generic_ranges": lambda s, d: each_rounded(rng.generic(panel(s, d), 1024, 600), GENERIC_DIGITS),
+    "equity_ranges": q(lambda s, d: rng.equity(bt.positions(labels(s, d), MIN_TRAIN), MIN_TRAIN, 1024).select("symbol", "ts", "ret_index", "pnl", "equity"), 8),
 }
 
 
@@ -236,6 +274,33 @@ def carried_sql(reverse: bool = False) -> str:
     return labelled(f"SELECT l.symbol, l.ts, l.ret_index, CAST(coalesce({seen('regime')}, 1) AS BIGINT) AS regime, {cols} FROM labels l LEFT JOIN scored s ON s.symbol = l.symbol AND s.refit = l.ret_index", *models_sql(reverse))
 
 
+OBSERVED = "obs AS (SELECT l.symbol, l.ret_index, l.regime, l.ret AS x0, (b.high - b.low) / b.close AS x1, ln(b.volume) AS x2 FROM labels l JOIN bars b ON b.symbol = l.symbol AND b.bar_index = l.ret_index + 1)"
+
+
+def scored_sql() -> str:
+    """Models from all bars before a refit, and each later bar's states by the latest."""
+    both = lambda text: ", ".join(text.format(d=d) for d in (0, 1))
+    past = "FROM sched s JOIN obs o ON o.symbol = s.symbol AND o.ret_index < s.refit"
+    return labelled(
+        "SELECT symbol, ret_index, refit, " + ", ".join(f"round(max(p) FILTER (state = {k}), 5) + 0.0 AS p_{k}" for k in range(3)) + " FROM shares GROUP BY symbol, ret_index, refit",
+        AHEAD,
+        OBSERVED,
+        f"tot AS (SELECT s.symbol, s.refit, count(*) AS n, {both('avg(x{d}) AS c{d}, sqrt(greatest(avg(x{d} * x{d}) - avg(x{d}) * avg(x{d}), 0)) + 1e-8 AS s{d}')} {past} GROUP BY ALL)",
+        f"st AS (SELECT s.symbol, s.refit, k AS state, count(*) FILTER (regime = k) AS bars, {both('avg(x{d}) FILTER (regime = k) AS a{d}, avg(x{d} * x{d}) FILTER (regime = k) AS q{d}')} {past}, range(3) AS t(k) GROUP BY ALL)",
+        f"par AS (SELECT st.symbol, st.refit, state, bars / n AS start, {both('c{d}, s{d}, (coalesce(a{d}, c{d}) - c{d}) / s{d} AS m{d}, CASE WHEN bars > 0 THEN greatest((q{d} - a{d} * a{d}) / (s{d} * s{d}), 1e-6) ELSE 1.0 END AS v{d}')} FROM st JOIN tot USING (symbol, refit))",
+        "look AS (SELECT o.symbol, o.ret_index, x0, x1, max(s.refit) AS refit FROM obs o JOIN sched s ON s.symbol = o.symbol AND s.refit <= o.ret_index GROUP BY ALL)",
+        "dens AS (SELECT l.symbol, l.ret_index, l.refit, state, ln(start + 1e-300) - 0.5 * (" + " + ".join(f"ln(2 * pi() * v{d}) + pow((x{d} - c{d}) / s{d} - m{d}, 2) / v{d}" for d in (0, 1)) + ") AS lp FROM look l JOIN par USING (symbol, refit))",
+        "tops2 AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY symbol, ret_index)) AS e FROM dens)",
+        "shares AS (SELECT *, e / sum(e) OVER (PARTITION BY symbol, ret_index) AS p FROM tops2)",
+    )
+
+
+MOMENTS_SQL = labelled(
+    " UNION ALL ".join(f"SELECT s.symbol, s.refit, count(*) AS n, CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, round(covar_pop(x{i}, x{j}) * 1e4, 6) + 0.0 AS covariance FROM sched s JOIN obs o ON o.symbol = s.symbol AND o.ret_index < s.refit GROUP BY s.symbol, s.refit" for i in range(3) for j in range(i, 3)),
+    AHEAD,
+    OBSERVED,
+)
+
 LATE = ck.backtest_sql("labels").replace("ret_index >= 252", "ret_index >= 2440")
 ENOUGH = lambda c: f"CASE WHEN n_equity >= 2 THEN round({c}, 6) + 0.0 END AS {c}"
 METRIC_NAMES = ("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor")
@@ -335,4 +400,8 @@ SELECT symbol, ts, p AS open, p AS high, p AS low, p AS close, v AS volume, row_
         recursive=True),
     "select_features": query(BARS_SQL, f"pl AS (SELECT {', '.join(f'{x} AS {n}' for n, x in ck.LEVELS.items())} FROM bars)", select=" UNION ALL ".join(f"SELECT '{n}' AS feature FROM pl HAVING count({n}) > 0" for n in ck.LEVELS)),
     "features_generic": joined(MADE, [("moving_averages", MOVING), ("channels", CHANNELS), ("price_levels", tuple(ck.LEVELS)), ("momentum", MOMENTUM), ("volume_features", (*VOLUME, "adl", "vpt", "eom_14", "volume_roc_10")), (TIMES_SQL, CALENDAR), ("ema", ("ema_20",)), ("atr_wilder", ("atr_14",)), ("rsi", ("rsi_14",)), ("adx_wilder", ADX_COLUMNS)], "b.*"),
-}
+    "model_scores": scored_sql(),
+    "refit_moments": MOMENTS_SQL,
+}
+ORACLES["features_generic_ranges"] = ORACLES["features_generic"]
+ORACLES["equity_ranges"] = ck.ORACLES["equity"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import by_time
+from tidemark.tables import discard, save
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -167,5 +168,30 @@ def skip_done(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    results.write.mode("append").parquet(path)
+def append_results(results: DataFrame, path: str, keys: list[str] | None = None) -> int | None:
+    """Without ``keys``, a plain append. Else add to the Parquet table at ``path``
+    those of ``results`` whose ``keys`` it doesn't hold yet, and return how many that
+    were. So a run that is repeated, whole or in
+    part, adds nothing twice; of repeated keys in ``results`` one row is added.
+
+    Rows go to a folder whose name is made of their keys: two runs at once that add the
+    same rows write the same folder, and readers take one row per key (``read_results``)."""
+    if keys is None:
+        return results.write.mode("append").parquet(path)
+    spark = results.sparkSession
+    fresh = results.dropDuplicates(keys)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(files):
+        fresh = fresh.join(spark.read.option("recursiveFileLookup", True).parquet(path).select(*keys).distinct(), keys, "left_anti")
+    fresh = save(fresh, "fresh-results")
+    n, mark = fresh.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*keys).cast("decimal(20, 0)")), F.lit(0))).first()
+    if n:
+        fresh.write.mode("overwrite").parquet(f"{path}/commit-{n}-{mark}")
+    discard(fresh)
+    return n
+
+
+def read_results(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that ``append_results`` has made, one row per key."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path).dropDuplicates(keys)
