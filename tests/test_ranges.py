@@ -1,5 +1,6 @@
 """One symbol over many tasks: ranges, filters by blocks, fits by counted durations."""
 
+import datetime
 import math
 import random
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tests.test_operators import DAY0, column, labels
 from tidemark.functions.frames import by_time
 from tidemark.operators import backtest as bt
+from tidemark.operators import evaluation as ev
 from tidemark.operators import features as feat
 from tidemark.operators import ranges as rng
+from tidemark.operators import regimes as rg
 from tidemark.operators import survival as sv
 from tidemark.sources import bars as src
 
@@ -147,3 +150,22 @@ def test_weibull_state_is_distinct_durations(spark):
     d = np.array([1 + k % 7 for k in range(500)], float)
     k = plan.first().shape
     assert abs((d**k * np.log(d)).sum() / (d**k).sum() - 1 / k - np.log(d).mean()) < 1e-8 and math.isclose(plan.first().scale, (d**k).mean() ** (1 / k), rel_tol=1e-9)
+
+
+def test_sweep_with_filter_columns(spark):
+    rnd = random.Random(8)
+    rows = [(s, DAY0 + datetime.timedelta(days=i), i, rnd.gauss(0.0005, 0.02)) for s in "AB" for i in range(330)]
+    rets = spark.createDataFrame(rows, "symbol string, ts timestamp, ret_index int, ret double").repartition(3).cache()
+    parameters = {"window": [5, 20], "threshold": [0.05], "dwell": [0, 3], "lead": [0.0, 0.12]}
+    grid = ev.factorial_grid(spark, parameters, {"window": 20, "threshold": 0.05, "dwell": 0, "lead": 0.0})
+    got = {(r.symbol, r.window, r.dwell, r.lead): r for r in ev.sweep_filters(rets, grid, 40).collect()}
+    assert len(got) == 16 and sum(r.is_default for r in got.values()) == 2
+    last = by_time().rowsBetween(-19, 0)
+    for window in (5, 20):
+        lab = rg.classify_threshold(rets, window, 0.05)
+        lab = lab.withColumn("posterior", F.array(*[F.count_if(F.col("regime") == k).over(last) / 20 for k in range(3)])).cache()
+        for dwell, lead in ((0, 0.0), (3, 0.0), (0, 0.12), (3, 0.12)):
+            for want in bt.metrics(bt.equity(bt.filtered_positions(lab, 40, dwell, lead), 40)).collect():
+                r = got[want.symbol, window, dwell, lead]
+                for c in ("total_return", "sharpe", "max_drawdown", "n_trades", "win_rate", "profit_factor"):
+                    assert (r[c] is None and want[c] is None) or math.isclose(r[c], want[c], rel_tol=1e-9, abs_tol=1e-12), (c, dwell, lead)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import save
@@ -62,12 +62,13 @@ def filtered_positions(labels: DataFrame, min_train: int = 252, dwell_bars: int
     return labels.join(each, same, "left").select(*names, F.coalesce(F.col("h") - 1, F.lit(0)).cast("int").alias("position"))
 
 
-def _step(s, b, dwell: int, hysteresis: float):
-    """The state (held, count, stored) after a bar."""
+def _step(s, b, dwell, hysteresis):
+    """The state (held, count, stored) after a bar; the filter's two numbers may be columns."""
     off = b["regime"] != s["held"]
     count = F.when(off, s["count"] + 1).otherwise(0)
     lead = F.get(b["p"], b["regime"]) - F.get(s["stored"], s["held"])
-    sure = F.lit(True) if hysteresis <= 0 else b["p"].isNull() | s["stored"].isNull() | F.coalesce(lead > hysteresis, F.lit(False))
+    unasked = hysteresis <= 0 if isinstance(hysteresis, Column) else F.lit(hysteresis <= 0)
+    sure = unasked | b["p"].isNull() | s["stored"].isNull() | F.coalesce(lead > hysteresis, F.lit(False))
     turn = off & (count >= dwell) & sure
     return F.struct(F.when(turn, b["regime"]).otherwise(s["held"]).alias("held"), F.when(turn, 0).otherwise(count).alias("count"), F.when(turn, b["p"]).otherwise(s["stored"]).alias("stored"))
 
@@ -101,11 +102,15 @@ def _composed(blocks: DataFrame, order, keys: list[str], dwell: int) -> DataFram
 
 def _settled(blocks: DataFrame, order, keys: list[str], dwell: int, hysteresis: float) -> DataFrame:
     """``blocks`` with the state each starts in, by rounds."""
-    ended = F.aggregate("bars", F.col("start"), lambda s, b: _step(s, b, dwell, hysteresis))
+    return _by_rounds(blocks, order, keys, F.expr(START), lambda s, b: _step(s, b, dwell, hysteresis))
+
+
+def _by_rounds(blocks: DataFrame, order, keys: list[str], first: Column, step) -> DataFrame:
+    ended = F.aggregate("bars", F.col("start"), step)
     blocks = save(blocks, "filter-blocks")
-    folded = save(blocks.select(*keys, "block", F.expr(START).alias("start")).join(blocks, [*keys, "block"]).select(*keys, "block", "start", ended.alias("end")), "filter-ends")
+    folded = save(blocks.select(*keys, "block", first.alias("start")).join(blocks, [*keys, "block"]).select(*keys, "block", "start", ended.alias("end")), "filter-ends")
     while True:
-        due = F.coalesce(F.lag("end").over(order), F.expr(START))
+        due = F.coalesce(F.lag("end").over(order), first)
         asked = folded.withColumn("due", due).withColumn("wrong", ~F.col("start").eqNullSafe(F.col("due")))
         if asked.where("wrong").isEmpty():
             return blocks.join(folded.select(*keys, "block", "start"), [*keys, "block"])
@@ -114,6 +119,29 @@ def _settled(blocks: DataFrame, order, keys: list[str], dwell: int, hysteresis:
         folded = save(right.unionAll(again), "filter-ends")
 
 
+def filtered_many(labels: DataFrame, filters: list[tuple[int, float]], min_train: int = 252, keys=SYMBOL, fold: int = FOLD) -> DataFrame:
+    """``labels`` with ``positions``, an array with a position for each of ``filters``
+    (bars to dwell, least lead of the posterior), as ``filtered_positions`` has them. The
+    bars are grouped and folded once, with an array of states, one per filter."""
+    keys, names = list(keys), labels.columns
+    bars = labels.where(F.col("ret_index") >= min_train).withColumn("block", F.floor((F.col("ret_index") - min_train) / fold))
+    bar = F.struct("ret_index", F.col("regime").cast("int").alias("regime"), (F.col("posterior") if "posterior" in names else F.lit(None)).cast("array<double>").alias("p"), F.struct(*names).alias("row"))
+    blocks = bars.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    given = F.array(*[F.struct(F.lit(int(d)).alias("dwell"), F.lit(float(h)).alias("lead")) for d, h in filters])
+    step = lambda ss, b: F.zip_with(ss, given, lambda s, f: _step(s, b, f["dwell"], f["lead"]))
+    starts = _by_rounds(blocks, Window.partitionBy(*keys).orderBy("block"), keys, F.array_repeat(F.expr(START), len(filters)), step)
+
+    def replay(acc, b):
+        after = F.transform(F.array(step(acc["s"], b)), lambda s: s)[0]
+        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(F.transform(after, lambda s: s["held"]))).alias("out"))
+
+    held = F.aggregate("bars", F.struct(F.col("start").alias("s"), F.array().cast("array<array<int>>").alias("out")), replay, lambda acc: acc["out"])
+    each = starts.withColumn("held", held).select(F.explode(F.arrays_zip(F.col("bars.row").alias("row"), F.col("held").alias("h"))).alias("z"))
+    late = each.select(*[F.col("z.row").getField(c).alias(c) for c in names], F.transform("z.h", lambda h: h - 1).alias("positions"))
+    early = labels.where(F.col("ret_index") < min_train).withColumn("positions", F.array_repeat(F.lit(0), len(filters)))
+    return early.unionByName(late)
+
+
 def pnl(keys=SYMBOL):
     """The position held over a bar times its return."""
     return F.coalesce(F.lag("position").over(_w(keys)) * F.col("ret"), F.lit(0.0))

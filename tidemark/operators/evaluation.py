@@ -55,6 +55,41 @@ def sweep_threshold(rets: DataFrame, grid: DataFrame, min_train: int = 252) -> D
     return found.join(F.broadcast(grid), "config_id").drop("n_equity")
 
 
+#: Labels that a share among the last ones is taken over, where an engine has no posterior.
+SHARE_BARS = 20
+
+
+def sweep_filters(rets: DataFrame, grid: DataFrame, min_train: int = 252) -> DataFrame:
+    """Results of threshold regimes for each symbol and (window, threshold, dwell, lead) of
+    the grid. Bars are labelled once per (window, threshold) and dealt out by symbol and
+    label; what is dealt doesn't grow with the filters. These are folded side by side,
+    and a bar is only taken apart into its filters' positions where it lies. The
+    posterior that a lead is measured on is a regime's share of the last 20 labels."""
+    rows = grid.select("window", "threshold", "dwell", "lead", "config_id").collect()
+    filters = sorted({(r.dwell, r.lead) for r in rows})
+    kinds = sorted({(r.window, r.threshold) for r in rows})
+    order = Window.partitionBy("symbol").orderBy("ts")
+    sums = {n: F.round(F.sum("ret").over(order.rowsBetween(-(n - 1), 0)), 10) for n in {w for w, _ in kinds}}
+    full = lambda n: F.count("ret").over(order.rowsBetween(-(n - 1), 0)) >= n
+    wide = rets.select("symbol", "ts", "ret_index", "ret", *[F.when(full(n), c).alias(f"sum_{n}") for n, c in sums.items()])
+    regime = lambda n, t: F.when(F.col(f"sum_{n}") > t, 2).when(F.col(f"sum_{n}") < -t, 0).otherwise(1)
+    wide = wide.withColumns({f"regime_{k}": regime(n, t) for k, (n, t) in enumerate(kinds)})
+    last = order.rowsBetween(-(SHARE_BARS - 1), 0)
+    share = lambda k: F.array(*[F.count_if(F.col(f"regime_{k}") == r).over(last) / SHARE_BARS for r in range(3)])
+    wide = wide.withColumns({f"share_{k}": share(k) for k in range(len(kinds))})
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(f"regime_{k}").alias("regime"), F.col(f"share_{k}").alias("posterior")) for k in range(len(kinds))]))
+    labels = wide.select("symbol", "ts", "ret_index", "ret", each.alias("l")).select("symbol", "ts", "ret_index", "ret", "l.*")
+    by_label = ("symbol", "label")
+    held = backtest.filtered_many(labels, filters, min_train, by_label).drop("posterior").repartition(*by_label)
+    keys = (*by_label, "filter")
+    apart = held.select("symbol", "label", "ts", "ret_index", "ret", F.posexplode("positions").alias("filter", "position"))
+    found = backtest.metrics(backtest.equity(apart, min_train, keys), keys)
+    place = {(*kinds[k], *filters[f]): (k, f) for k in range(len(kinds)) for f in range(len(filters))}
+    spark = rets.sparkSession
+    named = spark.createDataFrame([(r.config_id, *place[r.window, r.threshold, r.dwell, r.lead]) for r in rows], "config_id int, label int, filter int")
+    return found.join(F.broadcast(named), ["label", "filter"]).join(F.broadcast(grid), "config_id").drop("label", "filter", "n_equity")
+
+
 def evaluate(engines: dict[str, DataFrame], min_train: int = 252, filters: dict[str, tuple[int, float]] | None = None) -> DataFrame:
     """Symbols x engines in one table: current regime, counts of regimes and the
     metrics of each engine's ``labels(symbol, ts, ret_index, ret, regime)``, its

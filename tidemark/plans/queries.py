@@ -19,6 +19,9 @@ from tidemark.sources import bars as src
 GRID = {"window": [10, 20, 40], "threshold": [0.02, 0.05, 0.08]}
 DEFAULT = {"window": 20, "threshold": 0.05}
 MIN_TRAIN = 252
+#: Label and filter settings of the large sweep: 5 x 3 x 4 x 4.
+FILTER_GRID = {"window": [10, 15, 20, 30, 40], "threshold": [0.02, 0.05, 0.08], "dwell": [0, 2, 3, 5], "lead": [0.0, 0.05, 0.12, 0.2]}
+FILTER_DEFAULT = {"window": 20, "threshold": 0.05, "dwell": 0, "lead": 0.0}
 
 
 #: Means of prices of 6 digits often lie just between two rounded values; so small a
@@ -240,6 +243,7 @@ QUERIES = {
     "validate_results": validation,
     "assemble_result": records,
     "sweep_grid": q(results, 6),
+    "sweep_filters": q(lambda s, d: ev.sweep_filters(rets(s, d), ev.factorial_grid(s, FILTER_GRID, FILTER_DEFAULT), MIN_TRAIN), 6),
     "best_config": q(lambda s, d: ev.best_configs(results(s, d)), 6),
     "extremes": q(lambda s, d: ev.extremes(results(s, d)), 6),
     "composite_score": q(lambda s, d: ev.composite_score(results(s, d)), 5),
