@@ -77,3 +77,48 @@ def test_index_holds_every_posting(spark, tables):
         base += len(words(text)) + 3
     got = {r.term: np.cumsum(np.frombuffer(r.positions, np.int32)).tolist() for r in index if r.term is not None}
     assert got == want and all(r.n == len(want[r.term]) for r in index if r.term is not None)
+
+
+def brute_near(docs, items, window, slop):
+    """Near items by place: around each place of a window's rarest word all its words."""
+    from collections import Counter
+
+    bodies = [(d, words(t)) for d, t in docs]
+    freq = Counter(w for _, b in bodies for w in b)
+    out = []
+    for doc_id, body in bodies:
+        ids = set()
+        for item, text in items:
+            b = words(text)
+            for at in range(max(1, len(b) - window + 1)) if b and item is not None else ():
+                run = b[at : at + window]
+                if not all(freq[t] for t in run):
+                    continue
+                k = min(range(len(run)), key=lambda i: (freq[run[i]], i))  # noqa: B023
+                for p in (p for p, w in enumerate(body) if w == run[k]):
+                    base = p - k
+                    if all(any(0 <= q < len(body) and body[q] == t for q in range(base + i - slop, base + i + slop + 1)) for i, t in enumerate(run)):
+                        ids.add(str(item))
+        out.append((doc_id, sorted(ids)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("shard", "slop"), [(8192, 2), (5, 1)])
+def test_near_matches(spark, tables, monkeypatch, shard, slop):
+    monkeypatch.setattr(decontamination, "SHARD_DOCS", shard)
+    docs, items = tables
+    docs = [r for r in docs if r[0] != 97]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = find_items(d, b, 5, slop).collect()
+    assert sorted(((r.doc_id, r.near_item_ids) for r in rows), key=repr) == brute_near(docs, items, 5, slop)
+    assert sum(len(r.near_item_ids) for r in rows) > sum(len(r.item_ids) for r in rows)
+
+
+def test_query_returns_near_items(spark, tmp_path):
+    passage = [f"w{k}" for k in range(14)]
+    changed = " ".join([*passage[:3], "new", *passage[3:]])
+    spark.createDataFrame([(1, " ".join(passage)), (2, changed), (3, "other words"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(8, " ".join(passage))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_items, r.n_near_items, r.contaminated) for r in decontamination.op1_positional_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, True), 3: (0, 0, False), None: (0, 0, False)}

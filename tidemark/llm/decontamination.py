@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import save, table
 
 WINDOW = 10
+#: Words of a near match may stand so many places off.
+SLOP = 2
 #: A shard of the index ends at so many documents or words.
 SHARD_DOCS, SHARD_WORDS = 8192, 2_000_000
 
@@ -188,7 +190,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
 
 
 def op1_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -196,10 +198,14 @@ def op1_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_item_ids").cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", "near_item_ids"), 256).alias("near_items_sha256"),
     )
 
 
-#: Plain form: every document window is joined to the item windows by its words.
+#: Plain form: every document window is joined to the item windows by its words. Near
+#: items: around each place of a window's rarest word, by its count in the documents and
+#: then its place, every word of the window stands within two places of its own.
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
@@ -219,9 +225,21 @@ dw AS (
 hits AS (SELECT rid, i, dw.n, item_id FROM dw JOIN win ON dw.k = win.k AND dw.n = win.n),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(p) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-          FROM (SELECT DISTINCT rid, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+          FROM (SELECT DISTINCT rid, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY rid),
+runs AS (SELECT row_number() OVER () AS wid, item_id, n, string_split(k, ' ') AS terms FROM win),
+terms AS (SELECT wid, item_id, n, unnest(range(n)) AS place, unnest(terms) AS term FROM runs),
+occ AS (SELECT * FROM (SELECT rid, unnest(range(len(w))) AS p, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM terms)),
+freq AS (SELECT term, count(*) AS f FROM occ GROUP BY term),
+rarest AS (SELECT wid, item_id, n, arg_min({'place': place, 'term': term}, {'f': f, 'place': place}) AS r
+           FROM terms JOIN freq USING (term) GROUP BY wid, item_id, n HAVING count(*) = n),
+starts AS (SELECT wid, item_id, n, rid, p - r.place AS base FROM rarest JOIN occ ON occ.term = r.term),
+close AS (SELECT s.item_id, s.rid FROM starts s JOIN terms t ON t.wid = s.wid
+          JOIN occ o ON o.rid = s.rid AND o.term = t.term AND o.p BETWEEN s.base + t.place - 2 AND s.base + t.place + 2
+          GROUP BY s.item_id, s.wid, s.n, s.rid, s.base HAVING count(DISTINCT t.place) = s.n),
+nears AS (SELECT rid, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT rid, item_id FROM close WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, sha256(coalesce(nears.ids, '')) AS near_items_sha256
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid) LEFT JOIN nears USING (rid)
 """
