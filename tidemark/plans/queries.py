@@ -15,6 +15,7 @@ from tidemark.operators import hmm
 from tidemark.operators import regimes as rg
 from tidemark.operators import survival as sv
 from tidemark.sources import bars as src
+from tidemark.tables import save
 
 GRID = {"window": [10, 20, 40], "threshold": [0.02, 0.05, 0.08]}
 DEFAULT = {"window": 20, "threshold": 0.05}
@@ -68,13 +69,16 @@ def only(df: DataFrame, *drop: str) -> DataFrame:
 
 
 def nexts(s, d):
-    lab = labels(s, d)
+    return nexts_of(labels(s, d))
+
+
+def nexts_of(lab: DataFrame) -> DataFrame:
     return rg.next_probabilities(rg.matrix_row(rg.transition_matrix(lab)), rg.current(lab))
 
 
 def verdicts(s, d):
-    lab = labels(s, d)
-    n = nexts(s, d)
+    lab = save(labels(s, d), "labels")  # worked out once for all that follows
+    n = nexts_of(lab)
     far = rg.forecast(n).where("step = 20").select("symbol", "f_bear", "f_bull")
     life = sv.duration_forecast(rg.spells(lab)).select("symbol", "days_in_regime", "weibull_shape", "weibull_scale")
     stats = n.select("symbol", "regime").join(rg.signal(n), "symbol").join(far, "symbol").join(life, "symbol")
@@ -93,8 +97,9 @@ def bars_problems(s, d):
 
 
 def assembled(s, d):
-    lab = labels(s, d)
-    return diag.assemble(rg.markov_stats(lab), bt.metrics(held(s, d)), rg.forecast(nexts(s, d)), "threshold")
+    lab = save(labels(s, d), "labels")
+    run = bt.equity(bt.positions(lab, MIN_TRAIN), MIN_TRAIN)
+    return diag.assemble(rg.markov_stats(lab), bt.metrics(run), rg.forecast(nexts_of(lab)), "threshold")
 
 
 def records(s, d):
@@ -108,8 +113,9 @@ FEATURE_SETS = {"messina": (feat.curated, feat.CURATED)}
 
 def hmm_inputs(s, d, engine="hmm"):
     make, names = FEATURE_SETS.get(engine, (feat.generic, feat.GENERIC))
-    f = make(panel(s, d)).select("symbol", (F.col("bar_index") - 1).cast("int").alias("ret_index"), *names)
-    return rets(s, d), f.where("ret_index >= 0"), list(names)
+    p = save(panel(s, d), "panel")  # read by the schedule, the features and the labels
+    f = make(p).select("symbol", (F.col("bar_index") - 1).cast("int").alias("ret_index"), *names)
+    return rg.returns(p), f.where("ret_index >= 0"), list(names)
 
 
 def hmm_labels(s, d, engine="hmm"):
