@@ -203,7 +203,7 @@ def repair_conversations(turns: DataFrame, ids: DataFrame) -> DataFrame:
         if key is not None:
             yield table_of([*rows, done()])
 
-    sorted_rows = placed.sortWithinPartitions("conv_id", "row", *ORDER).select("conv_id", "turn", "row", "again", "blank", "cut", "initial")
+    sorted_rows = placed.sortWithinPartitions("conv_id", "row", *ORDER, "again").select("conv_id", "turn", "row", "again", "blank", "cut", "initial")
     plans = save(sorted_rows.mapInArrow(plan, out), "repairs")
 
     def digests(batches):
@@ -274,3 +274,63 @@ def damaged(turns: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_conversations(damaged(rows), rows)
+
+
+#: Plain form: after each row the best edits for each state are kept.
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+         lambda h, b: list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copies(i) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS place,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending
+  FROM damaged),
+repeats AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again FROM placed),
+faults AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM repeats),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+-- What a conversation has so far: '' nothing, s an opening, u a question, a an answer.
+follow(state, initial, next) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserts(state, next, paid, edits, lines) AS (VALUES
+  ('', '', 0, '', []::VARCHAR[]), ('', 'u', 2, 'I', ['user:']), ('', 'a', 4, 'II', ['user:', 'assistant:']),
+  ('s', 's', 0, '', []::VARCHAR[]), ('s', 'u', 2, 'I', ['user:']), ('s', 'a', 4, 'II', ['user:', 'assistant:']),
+  ('u', 'u', 0, '', []::VARCHAR[]), ('u', 'a', 2, 'I', ['assistant:']),
+  ('a', 'a', 0, '', []::VARCHAR[]), ('a', 'u', 2, 'I', ['user:'])),
+names(initial, role) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+edits AS (
+  SELECT f.conv_id, f.place, w.state, w.next, CAST(f.fault = 'truncated' AS INTEGER) AS paid, 'K' AS edit, [f.role || ':' || f.text] AS lines
+  FROM faults f JOIN follow w ON w.initial = f.initial WHERE f.fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT f.conv_id, f.place, w.state, w.next, 2 + CAST(f.fault = 'truncated' AS INTEGER), 'R', [m.role || ':' || f.text]
+  FROM faults f, follow w JOIN names m ON m.initial = w.initial WHERE f.fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT f.conv_id, f.place, s.state, s.state, 3, 'D', []::VARCHAR[] FROM faults f, (SELECT DISTINCT state FROM inserts) s),
+paths AS (
+  SELECT conv_id, n, 0 AS place, '' AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM facts
+  UNION ALL
+  SELECT conv_id, n, place, state, cost, audit, said FROM (
+    SELECT p.conv_id, p.n, p.place + 1 AS place, e.next AS state, p.cost + i.paid + e.paid AS cost, p.audit || i.edits || e.edit AS audit, p.said || i.lines || e.lines AS said
+    FROM paths p JOIN inserts i ON i.state = p.state JOIN edits e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.place = p.place + 1 AND e.state = i.next)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+ends AS (
+  SELECT p.conv_id, p.cost + i.paid AS cost, p.audit || i.edits AS audit, p.said || i.lines AS said
+  FROM paths p JOIN inserts i ON i.state = p.state AND i.next IN ('', 'a') WHERE p.place = p.n
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + i.paid, p.audit || i.edits) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

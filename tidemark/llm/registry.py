@@ -24,5 +24,6 @@ ORACLES = {
     "op2_warc_normaliser": warc.OP2_SQL,
     "op4_multi_order_jaccard": ngram_join.OP4_SQL,
     "op9_segment_edit_line_dedup": line_dedup.OP9_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
     "op13_setm_collocations": collocations.OP13_SQL,
 }
