@@ -93,7 +93,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 #: Blocks up to this size are paired as they are, larger ones are first split.
 SMALL_BLOCK = 16
-#: Splitting goes on while it leaves at most this share of the rows in large blocks.
+#: Splitting goes on while it leaves at most this share of the pairs in large blocks.
 SHRINK = 0.75
 
 
@@ -117,40 +117,52 @@ def merge_blocks(posted: DataFrame, links: DataFrame, verified, attributes, fact
     those of the other node with o_ before their names, that holds for every pair that
     links.
 
-    Only pairs across components matter, so blocks of one component drop out. Small
-    blocks are paired. A large one gets a reference, a new one on each level, with which
-    its members are all compared. ``split(refs)`` takes (key, node, ref) and gives finer
-    blocks (key, node, tag), without the references, and the links to references: two
-    nodes of one large block that link, and that these links don't join, share a finer
-    block in which ``meets(tag, other's tag)`` holds. Members that link to a reference
-    are of its component from then on, and what is left is treated the same way again,
-    so that a group of near copies is not paired as a whole, and no link is missed.
-    Blocks that no longer get smaller are paired at last, across components only.
+    Only pairs across components matter, so blocks of one component drop out. Members of
+    large blocks first meet one of them, a new one in each round, as long as the links
+    found there make the blocks that are left smaller: so a group of near copies becomes
+    one component without being paired. Then small blocks are paired and large ones are
+    split against a reference with which their members are all compared. ``split(refs)``
+    takes (key, node, ref) and gives finer blocks (key, node, tag), without the
+    references, and the links to references: two nodes of one large block that link, and
+    that these links don't join, share a finer block in which ``meets(tag, other's tag)``
+    holds. What is left is treated the same way again, and no link is missed. Blocks
+    that no longer get smaller are paired at last, across components only.
     """
-    comp, level, before = components(links), 0, None
+    comp, level, turn, before, at_split = components(links), 0, 0, None, None
     while True:
         tag = ["tag"] if level else []
         named = posted.select("key", "node", *tag).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by = named.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("members"), F.count("*").alias("parts"))
         mixed = save(named.join(by.where("parts > 1").select("key", "members"), "key"), "mixed-blocks")
-        rows = mixed.where(F.col("members") > SMALL_BLOCK).count()
-        last = not rows or before is not None and rows > SHRINK * before
-        left = save(mixed.join(attributes(mixed.select("node").distinct()), "node").select("key", "node", "component", (F.lit(not last) & (F.col("members") > SMALL_BLOCK)).alias("large"), *tag, *facts), "mixed-blocks")
-        small = left.where("not large")
-        other = small.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), *[F.col(c).alias("o_" + c) for c in [*tag, *facts]])
-        apart = (F.col("node") < F.col("o")) & (F.col("component") != F.col("o_component")) & fits
-        if level:
-            apart = apart & meets(F.col("tag"), F.col("o_tag"))
-        pairs = save(small.drop("large").join(other, "key").where(apart).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "apart")
-        found = [] if pairs.isEmpty() else [verified(pairs)]
-        if not last:
-            refs = save(references(left.where("large").select("key", "node"), level), "references")
-            posted, more = split(refs)
-            found.append(more)
-        discard(mixed, left, pairs)
+        large = mixed.where(F.col("members") > SMALL_BLOCK).select("key", "node", "component")
+        volume = mixed.where(F.col("members") > SMALL_BLOCK).agg(F.sum("members")).first()[0] or 0
+        turn += 1
+        last = False
+        if volume and (before is None or volume <= SHRINK * before):
+            refs = references(large.select("key", "node"), turn)
+            of = large.select("key", F.col("node").alias("ref"), F.col("component").alias("of"))
+            met = refs.join(large, ["key", "node"]).join(of, ["key", "ref"]).where("component <> of")
+            pairs = save(met.select(F.least("node", "ref").alias("a"), F.greatest("node", "ref").alias("b")).distinct(), "stars")
+            found, before = [verified(pairs)], volume
+            discard(mixed)
+        else:
+            last = not volume or at_split is not None and volume > SHRINK * at_split
+            left = save(mixed.join(attributes(mixed.select("node").distinct()), "node").select("key", "node", "component", (F.lit(not last) & (F.col("members") > SMALL_BLOCK)).alias("large"), *tag, *facts), "mixed-blocks")
+            small = left.where("not large")
+            other = small.select("key", F.col("node").alias("o"), F.col("component").alias("o_component"), *[F.col(c).alias("o_" + c) for c in [*tag, *facts]])
+            apart = (F.col("node") < F.col("o")) & (F.col("component") != F.col("o_component")) & fits
+            if level:
+                apart = apart & meets(F.col("tag"), F.col("o_tag"))
+            pairs = save(small.drop("large").join(other, "key").where(apart).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "apart")
+            found = [] if pairs.isEmpty() else [verified(pairs)]
+            if not last:
+                refs = save(references(left.where("large").select("key", "node"), turn), "references")
+                posted, more = split(refs)
+                found.append(more)
+                level, at_split, before = level + 1, volume, None
+            discard(mixed, left, pairs)
         if found:
             known = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp = components(functools.reduce(DataFrame.unionAll, found, known))
         if last:
             return comp
-        before, level = rows, level + 1
