@@ -16,6 +16,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import hmm
 from tidemark.operators import regimes as rg
 from tidemark.operators import survival as sv
+from tidemark.plans import queries
 from tidemark.sources import bars as src
 
 DAY0 = datetime.datetime(2020, 1, 1)
@@ -357,3 +358,27 @@ def test_result_files(spark, tmp_path):
     for _ in range(2):
         src.append_results(rows, f"{tmp_path}/all")
     assert spark.read.parquet(f"{tmp_path}/all").count() == 2
+
+
+def test_drawdown_query_equals_sql_where_a_symbol_never_falls(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng, rows = np.random.RandomState(3), []
+    for flag, n in (("A", 400), ("B", 400), ("C", 20)):
+        for day in range(n):
+            # A's revenue swings, B's hardly ever moves: B holds no position and never falls.
+            price = float(rng.randint(100, 9000)) if flag == "A" else 1000.0 + day % 2
+            rows.append((day, 1.0, price, 0.0, flag, "O", DAY0 + datetime.timedelta(days=day)))
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = con.execute(entry.oracle_sql()["drawdown"])
+    names = [c[0] for c in found.description]
+    want = found.fetchall()
+    got = entry.queries()["drawdown"](spark, str(tmp_path)).select(*names).collect()
+    assert [r[0] for r in sorted(want)] == ["AO"] and sorted(map(tuple, got)) == sorted(want)
+    every = bt.drawdown(queries.held(spark, str(tmp_path))).collect()
+    assert {r.symbol: r.max_duration > 0 for r in every} == {"AO": True, "BO": False}

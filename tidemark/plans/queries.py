@@ -236,7 +236,8 @@ QUERIES = {
     "filtered_positions": q(lambda s, d: bt.filtered_positions(labels(s, d), MIN_TRAIN, 3).select("symbol", "ts", "ret_index", "position")),
     "equity": q(lambda s, d: held(s, d).select("symbol", "ts", "ret_index", "pnl", "equity"), 8),
     "trades": q(lambda s, d: bt.trades(held(s, d)), 7),
-    "drawdown": q(lambda s, d: bt.drawdown(held(s, d)), 7),
+    # As its SQL, only runs that were below a peak; the operator has the others with zeros.
+    "drawdown": q(lambda s, d: bt.drawdown(held(s, d)).where("max_duration > 0"), 7),
     "ann_factor": q(lambda s, d: bt.ann_factor(rets(s, d))),
     "backtest": q(lambda s, d: bt.metrics(held(s, d)), 6),
     "weibull_fit": q(lambda s, d: sv.weibull_fit(rg.spells(labels(s, d))), 5),
