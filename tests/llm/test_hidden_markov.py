@@ -142,3 +142,18 @@ def test_nothing_to_learn(spark):
     alone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = hm.score_texts(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, round(row.score, 9)) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_start_counts_all_training_documents(spark, monkeypatch):
+    # A start from a part of the documents would give words it lacks no shares of the states.
+    assert not hasattr(hm, "START_DOCS")
+    seeds = np.array([1, 2, -(2**63), 2**63 - 1])
+    shares = hm.start_weights(seeds, 6)
+    assert np.allclose(shares.sum(1), 1) and (shares > 0).all() and len({tuple(r) for r in shares.round(9)}) == 4
+    assert np.array_equal(shares[[2]], hm.start_weights(seeds[[2]], 6))
+    # However the documents are dealt, counts of all of them make the same model.
+    monkeypatch.setattr(hm, "BLOCK_BYTES", 1 << 40)
+    rows = [(i, f"w{i % 7} v{i % 5} " * (1 + i % 4)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, many = ({r.doc_id: r.score for r in hm.score_texts(d, start_rounds=1).collect()} for d in (docs.coalesce(1), docs))
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)

@@ -13,15 +13,15 @@ PASSES = 2
 #: Words that occur up to so often share their states' counts with those that occur as
 #: often, each word getting an equal part.
 RARE = 5
-#: Starting values come from so many training documents, whole, those of the smallest
-#: hash of their id, in so many rounds in one task. The passes then count everything.
-START_DOCS, START_ROUNDS = 1024, 12
+#: In the first pass each block makes so many rounds over all its training documents, from
+#: emissions that differ by a hash of the word and so are the same in all blocks.
+START_ROUNDS = 4
 #: Counting cuts documents into sequences of at most so many tokens; scoring does not.
 CUT_TOKENS = 512
 #: Share of the corpus's own distribution in each state's.
 SHARED = 0.05
 #: A block takes texts until they have so many bytes; its recursions take so many tokens.
-BLOCK_BYTES, BATCH_TOKENS = 24 << 20, 400_000
+BLOCK_BYTES, BATCH_TOKENS = 12 << 20, 250_000
 #: No word holds a space.
 END = b" "
 
@@ -172,22 +172,17 @@ class Model:
         return emit
 
 
-def start_values(codes, length, states: int, rounds: int):
-    """Counts (codes x states, moves, beginnings) after so many rounds from uneven
-    emissions, for one array of texts."""
+def start_weights(seeds, states: int):
+    """A row per word of uneven shares of the states, from the hash of the word."""
     import numpy as np
 
-    rnd = np.random.RandomState(11)
-    c = np.bincount(codes)
-    own = c[:, None] * rnd.dirichlet(np.full(states, 2.0), len(c))
-    moved, begun = np.full((states, states), 1.0) + np.eye(states) * 20 * states, np.ones(states)
-    start, size, opens = cut(length)
-    sizes = np.bincount(c, minlength=RARE + 1)[1 : RARE + 1]
-    for _ in range(rounds):
-        often = np.flatnonzero(c > RARE)
-        model = Model(own[often].sum(0), by_count(own, c), sizes, moved, begun, int(c.sum()))
-        own, moved, begun = expected(codes, start, size, opens, model.emissions(c, often, own[often]), model.moves, model.first, model.within)
-    return own, moved, begun
+    k = np.arange(2 * states, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = np.asarray(seeds).astype(np.int64).view(np.uint64)[:, None] + k
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    drawn = -np.log(((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 1e-12)
+    drawn = drawn[:, :states] + drawn[:, states:]
+    return drawn / drawn.sum(1, keepdims=True)
 
 
 def by_count(own, c):
@@ -236,28 +231,6 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return save(texts.mapInArrow(made, fields), "blocks")
 
 
-def started(docs: DataFrame, states: int, rounds: int) -> DataFrame:
-    """Rows (word, own) of starting counts by state; rows without a word hold the counts of
-    moves (``line`` 0 and up) and of beginnings (line -1)."""
-    import numpy as np
-
-    def counted(batches):
-        import pyarrow as pa
-
-        number, found = Numbers(), []
-        for batch in batches:
-            found += [number.codes(cell.as_py()) for cell in batch.column(0)]
-        if not found:
-            return
-        own, moved, begun = start_values(np.concatenate(found), np.array([len(f) for f in found]), states, rounds)
-        rows = [*own, *moved, begun]
-        words, lines = [*number, *[None] * (states + 1)], [*[None] * len(own), *range(states), -1]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(lines, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["word", "line", "own"])
-
-    sample = docs.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(START_DOCS)
-    return sample.select(F.coalesce("text", F.lit("")).cast("string").cast("binary").alias("text")).repartition(1).mapInArrow(counted, "word binary, line int, own array<double>")
-
-
 def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, start_rounds: int = START_ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per
     row of ``docs(doc_id, text)``.
@@ -281,7 +254,7 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
     coded = spread.repartition("word").withColumn("row", F.monotonically_increasing_id())
     coded = coded.withColumns({"c": F.sum("here").over(word), "id": F.min("row").over(word)})
     often, head = F.col("c") > RARE, F.col("row") == F.col("id")
-    coded = save(coded.select("block", "code", "c", F.when(often, F.col("id")).alias("id"), head.alias("head"), F.when(head & often, F.col("word")).alias("word")), "coded")
+    coded = save(coded.select("block", "code", "c", F.when(often, F.col("id")).alias("id"), head.alias("head"), F.when(head & often, F.xxhash64("word")).alias("seed")), "coded")
     found = {r.c: (r.n, r.tokens) for r in coded.where("head and c > 0").groupBy(F.least("c", F.lit(RARE + 1)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).collect()}
     n_words, n_train = (sum(f[k] for f in found.values()) for k in (0, 1))
     sizes = [found.get(n, (0, 0))[0] for n in range(1, RARE + 1)]
@@ -293,13 +266,21 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
         c[own.column("code").to_numpy()] = own.column("c").to_numpy()
         return block.append_column("c", pa.array([packed(c, np.int64)], pa.binary())).append_column("n_codes", pa.array([len(c)], pa.int64()))
 
+    def weighed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column("c").to_numpy()[:, None] * start_weights(batch.column("seed").to_numpy(), states)
+            lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * states, pa.array(own.ravel().astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "own"])
+
     kept = raw.select("block", "size", "codes", "length", "doc_id", "held_out")
     both = kept.groupBy("block").cogroup(coded.select(F.col("block").alias("of"), "code", "c").groupBy("of"))
     blocks = save(both.applyInArrow(with_counts, "block long, size long, codes binary, length array<int>, doc_id array<long>, held_out array<boolean>, c binary, n_codes long"), "blocks")
-    begun = save(started(docs, states, start_rounds), "start")
-    known = save(coded.where("word is not null").select("id", "word").join(begun.where("word is not null").select("word", "own"), "word").select("id", F.col("own").cast("array<float>").alias("own")), "counts")
+    known = save(coded.where("seed is not null").select("id", "c", "seed").mapInArrow(weighed, "id long, own array<float>"), "counts")
     discard(raw)
-    lines = {r.line: r.own for r in begun.where("word is null").select("line", "own").collect()}
+    # At the start, states are held for some words and begin texts alike.
+    lines = dict(enumerate(np.full((states, states), 1.0) + np.eye(states) * 20 * states)) | {-1: np.ones(states)}
 
     def model_of(known, lines):
         used = np.array([x or 0.0 for x in known.agg(*[F.sum(F.col("own")[k].cast("double")) for k in range(states)]).first()])
@@ -324,14 +305,20 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
         by_state = own.column("own").combine_chunks().values.to_numpy().reshape(rows, states) if rows else np.empty((0, states))
         return unpacked(cell("codes"), cell("size")), block.column("length")[0].values.to_numpy(), c, code, model.emissions(c, code, by_state)
 
-    def counting(model):
+    def counting(model, rounds):
         def count(block, own):
             import pyarrow as pa
 
             codes, length, c, code, emit = opened(block, own, model)
             learned = ~block.column("held_out")[0].values.to_numpy(zero_copy_only=False)
             codes, length = codes[np.repeat(learned, length)], length[learned]
-            counts, moved, begun = expected(codes, *cut(length), emit, model.moves, model.first, model.within)
+            # Rounds before the last go on from the block's own counts.
+            now, pieces = model, cut(length)
+            for k in range(rounds):
+                counts, moved, begun = expected(codes, *pieces, emit, now.moves, now.first, now.within)
+                if k + 1 < rounds and len(codes):
+                    now = Model(counts[code].sum(0), by_count(counts, c), np.bincount(np.minimum(c, RARE + 1), minlength=RARE + 2)[1 : RARE + 1], moved, begun, n_train)
+                    emit = now.emissions(c, code, counts[code])
             rows = np.concatenate([counts[code], moved, begun[None], by_count(counts, c)]).astype(np.float32)
             special = [*range(states), -1, *range(-2, -2 - RARE, -1)]
             ids = pa.array([*(own.column("id").to_pylist() if own.num_rows else []), *[None] * len(special)], pa.int64())
@@ -339,8 +326,8 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
 
         return count
 
-    for _ in range(passes if n_train else 0):
-        made = joined(known).applyInArrow(counting(model_of(known, lines)), "id long, line int, " + ", ".join(f"own{k} float" for k in range(states)))
+    for turn in range(passes if n_train else 0):
+        made = joined(known).applyInArrow(counting(model_of(known, lines), 1 if turn else max(1, start_rounds)), "id long, line int, " + ", ".join(f"own{k} float" for k in range(states)))
         sums = save(made.groupBy("id", "line").agg(F.array(*[F.sum(f"own{k}").cast("float") for k in range(states)]).alias("own")), "counts")
         discard(known)
         lines = {r.line: np.array(r.own, float) for r in sums.where("id is null").collect()}
