@@ -152,3 +152,19 @@ def test_query_mines_rules_of_both_verdicts(spark):
         best = max(((lift, c, sorted(k), v) for (k, v), (c, lift) in rules.items() if k <= tokens[page]), default=None)
         assert got[page] == (host, path, rule, verdict or (best[3] if best else "allow"), verdict is None and best is not None)
     assert any(r[4] for r in got.values())
+
+
+def test_surest_rules_equal_every_pair_of_rules(spark):
+    rnd = random.Random(8)
+    rows = [({t for t in range(7) if rnd.random() < 0.6}, rnd.random() < 0.5) for _ in range(120)]
+    sets = [frozenset(c) for k in range(1, 8) for c in combinations(range(7), k)]
+    n = {s: sum(s <= r for r, _ in rows) for s in sets}
+    both = {s: sum(s <= r and b for r, b in rows) for s in sets}
+    found = [(sorted(s), n[s]) for s in sets if n[s] >= 5] + [([uf.BLOCK, *sorted(s)], both[s]) for s in sets if both[s] >= 5]
+    found.append(([uf.BLOCK], sum(b for _, b in rows)))
+    sure = {s: both[s] / n[s] for s in sets if both[s] >= 5 and both[s] / n[s] >= 0.5}
+    want = {tuple(sorted(s)): c for s, c in sure.items() if not any(p < s and q >= c for p, q in sure.items())}
+    got = uf.surest(spark.createDataFrame(found, "items array<long>, freq long"), len(rows), 0.5).collect()
+    assert len(got) == len(want) > 5 and {tuple(r["items"]): r.confidence for r in got} == want
+    none = spark.createDataFrame([], "items array<long>, freq long")
+    assert uf.surest(none, 1, 0.5).collect() == []

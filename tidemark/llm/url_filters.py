@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ MARGIN = 1.0
 HOT_SHARE = 1000
 #: Up to so many mined rules are broadcast; beyond, the join shuffles them.
 BROADCAST_RULES = 10_000
-BLOCK = "label:block"
+#: The item of what is to be blocked; those of tokens are 0 and up.
+BLOCK = -1
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -61,6 +63,32 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, every).otherwise(F.array().cast("array<string>"))
 
 
+def surest(found: DataFrame, n: int, min_confidence: float) -> DataFrame:
+    """Rows (items, confidence, support) of the rules of ``found(items, freq)``, the
+    frequent sorted sets of ``n`` rows, that no shorter rule with part of their items
+    equals in confidence.
+
+    What is left of a frequent set without one of its items is frequent too. So sets are
+    taken by size, each learns the highest confidence of its parts from those one item
+    shorter, and what is joined and stored is in proportion to the sets."""
+    whole = found.where(~F.array_contains("items", BLOCK)).withColumnRenamed("freq", "n")
+    blocked = found.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), "freq")
+    known = save(blocked.join(whole, "items").select("items", F.size("items").alias("width"), (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support")), "confidences")
+    longest = known.agg(F.max("width")).first()[0] or 0
+    shorter, rules = None, []
+    for width in range(1, longest + 1):
+        own = known.where(F.col("width") == width).select("items", "confidence", "support")
+        if shorter is None:
+            own = own.withColumn("part", F.lit(None).cast("double"))
+        else:
+            parts = own.select("items", F.explode("items").alias("item")).select("items", F.array_remove("items", F.col("item")).alias("less"))
+            parts = parts.join(shorter.select(F.col("items").alias("less"), F.greatest("confidence", "part").alias("sure")), "less").groupBy("items").agg(F.max("sure").alias("part"))
+            own = own.join(parts, "items", "left")
+        shorter = save(own, "widths")
+        rules.append(shorter.where(F.col("confidence") >= min_confidence).where("part is null or part < confidence").select("items", "confidence", "support"))
+    return functools.reduce(DataFrame.unionAll, rules) if rules else known.select("items", "confidence", "support")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = 1) -> DataFrame:
     """Rows (rule_id, tokens, confidence, support): token combinations of
     ``labelled(tokens, block)`` after which ``block`` is likely, by FP-growth.
@@ -86,18 +114,15 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     where = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     counts = spread.groupBy("token").agg(F.count("*").alias("n"), F.count_if("block").alias("n_block"), *where).where(F.col("n_block") >= least)
     alike = save(counts.groupBy("n", "h0", "h1").agg(F.min("token").alias("token"), F.collect_list("token").alias("members")).select("token", "members"), "alike-tokens")
-    named = spread.join(F.broadcast(alike.select("token", F.col("token").alias("known"))), "token", "left")
-    sets = named.groupBy("row", "block").agg(F.collect_list("known").alias("known"))
+    alike = save(alike.withColumn("item", F.monotonically_increasing_id()), "alike-tokens")
+    named = spread.join(F.broadcast(alike.select("token", "item")), "token", "left")
+    sets = named.groupBy("row", "block").agg(F.collect_list("item").alias("known"))
     items = save(sets.select(F.when(F.col("block"), F.concat("known", F.array(F.lit(BLOCK)))).otherwise(F.col("known")).alias("items")), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
-    rules = save(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
-    wider = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.explode("tokens").alias("t")).alias("w")
-    longer = rules.select(F.col("tokens").alias("whole"), "confidence", F.explode("tokens").alias("t")).alias("l")
-    beaten = wider.join(longer, "t").where("size(part) < size(whole) and sure >= confidence").groupBy("whole", "part").count().where("count = size(part)").select(F.col("whole").alias("tokens")).distinct()
-    sure = rules.join(beaten, "tokens", "left_anti").withColumn("rule", F.monotonically_increasing_id())
+    found = save(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "frequent-sets")
+    sure = surest(found, n, min_confidence).withColumn("rule", F.monotonically_increasing_id())
     sure = save(sure, "sure-rules")
-    parts = sure.select("rule", "confidence", "support", F.explode("tokens").alias("token")).join(F.broadcast(alike), "token").groupBy("rule", "confidence", "support").agg(F.collect_list("members").alias("parts"))
+    parts = sure.select("rule", "confidence", "support", F.explode("items").alias("item")).join(F.broadcast(alike), "item").groupBy("rule", "confidence", "support").agg(F.collect_list("members").alias("parts"))
     choices = F.aggregate("parts", F.array(F.array().cast("array<string>")), lambda acc, p: F.flatten(F.transform(acc, lambda a: F.transform(p, lambda t: F.concat(a, F.array(t))))))
     out = parts.select(F.explode(choices).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
     return save(out.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "rules")
