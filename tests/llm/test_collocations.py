@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import collocations as co
@@ -66,3 +67,23 @@ def test_no_rows_and_no_phrases(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert co.collocations(empty).collect() == []
     assert co.collocations(spark.createDataFrame([("a b", "en"), (None, None)], "text string, lang string")).collect() == []
+
+
+def test_packed_groups_equal_counts(spark):
+    rnd = random.Random(4)
+    blocks = [(b, sorted({(rnd.choice([3, 2**34, 2**40 + 1]), rnd.randint(0, 30)) for _ in range(40)})) for b in (0, 1, 2**32)]
+    rows = [(b, [p[0] for p in pairs], [p[1] for p in pairs], [rnd.randint(1, 300) for _ in pairs]) for b, pairs in blocks]
+    total, where = Counter(), Counter()
+    for b, left, right, f in rows:
+        for code, (x, y, n) in enumerate(zip(left, right, f, strict=True)):
+            total[x, y] += n
+            where[x, y, b, code] += 1
+    heads, places = co.frequent_extended(spark.createDataFrame([*rows, (7, [], [], [])], "block long, left array<long>, right array<long>, f array<long>"), 250)
+    found = {r.id: (r.left, r.right, r.a) for r in heads.collect()}
+    assert sorted(found.values()) == sorted((*p, a) for p, a in total.items() if a >= 250)
+    got = Counter()
+    for r in places.collect():
+        code = np.cumsum(co.unpacked(r.codes, r.n))
+        for c, i in zip(code.tolist(), co.planes_read(r.ids, r.n).tolist(), strict=True):
+            got[(*found[i][:2], r.block, c)] += 1
+    assert got == Counter({k: 1 for k in where if total[k[:2]] >= 250})

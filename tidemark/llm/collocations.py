@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     """The stored relation one word longer. ``relation(block, size, place, code)`` keeps what is
-    in ``frequent(block, code, id)``; it is merged with itself where one place follows
+    in ``frequent``, rows of (block, code, id) or, packed, (block, n, codes, ids); it is merged with itself where one place follows
     the other. A row per block: place and code as before, and for each code the ids of
     its groups without the last word (``left``) and without the first (``right``)."""
     import numpy as np
@@ -94,9 +94,15 @@ def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
         if not size:
             return out.empty_table()
         place, code = np.cumsum(unpacked(own.column("place")[0].as_py(), size), dtype=np.int32), unpacked(own.column("code")[0].as_py(), size)
-        ids = kept.column("id").to_numpy()
-        local = np.full(max(int(code.max()), int(kept.column("code").to_numpy().max())) + 1, -1, np.int64)
-        local[kept.column("code").to_numpy()] = np.arange(len(ids))
+        if "ids" in kept.column_names:
+            cells = list(zip(*(kept.column(c).to_pylist() for c in ("n", "codes", "ids")), strict=True))
+            codes, ids = np.concatenate([np.cumsum(unpacked(c, n), dtype=np.int64) for n, c, _ in cells]), np.concatenate([planes_read(i, n) for n, _, i in cells])
+        else:
+            codes, ids = kept.column("code").to_numpy(), kept.column("id").to_numpy()
+        order = np.argsort(ids)
+        codes, ids = codes[order], ids[order]
+        local = np.full(max(int(code.max()), int(codes.max())) + 1, -1, np.int64)
+        local[codes] = np.arange(len(ids))
         group = local[code]
         stays = group >= 0
         place, group = place[stays], group[stays]
@@ -126,6 +132,84 @@ def frequent_groups(spread: DataFrame, keys: list[str], support: int) -> DataFra
     return save(d.select("block", "code", "id", head.alias("head"), *[F.when(head, F.col(c)).alias(c) for c in (*keys, "a")]), "groups")
 
 
+def planes(numbers) -> bytes:
+    """Longs by byte, all lowest bytes first, compressed."""
+    import numpy as np
+
+    return packed(np.ascontiguousarray(np.asarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T), np.uint8)
+
+
+def planes_read(data: bytes, size: int):
+    import numpy as np
+
+    return np.ascontiguousarray(unpacked(data, 8 * size, np.uint8).reshape(8, size).T).view(np.int64).ravel()
+
+
+def frequent_extended(relation: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``relation(block, left, right, f)`` that occur ``support`` times in all
+    blocks: (id, left, right, a) of the groups, and (block, n, codes, ids), packed, of
+    their places. A block's groups are dealt in packed form by a hash of (left, right),
+    a row per block and share; a share's task counts its groups. Blocks keep groups in
+    the order of left and right, so a packed row holds small steps."""
+    import numpy as np
+
+    shares = 1 << (2 * int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+    def deal(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        names = ["share", "block", "n", "codes", "lefts", "rights", "fs"]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right, f = (batch.column(c)[k].values.to_numpy() for c in (1, 2, 3))
+                h = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                share = ((h ^ (h >> np.uint64(29))) % np.uint64(shares)).astype(np.int32)
+                order = np.argsort(share, kind="stable")
+                cuts = np.searchsorted(share[order], np.arange(shares + 1))
+                rows = []
+                for i in range(shares):
+                    at = order[cuts[i] : cuts[i + 1]]
+                    if at.size:
+                        rows.append((i, batch.column(0)[k].as_py(), at.size, packed(np.diff(at, prepend=0)), planes(np.diff(left[at], prepend=0)), planes(right[at]), planes(f[at])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def count(dealt):
+        import pyarrow as pa
+
+        out = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary()), ("id", pa.list_(pa.int64())), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("a", pa.list_(pa.int64()))])
+        size = dealt.column("n").to_numpy()
+        lefts, rights, fs = (dealt.column(c).to_pylist() for c in ("lefts", "rights", "fs"))
+        left = np.concatenate([np.cumsum(planes_read(x, n)) for x, n in zip(lefts, size, strict=True)])
+        right, f = (np.concatenate([planes_read(x, n) for x, n in zip(cells, size, strict=True)]) for cells in (rights, fs))
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(f[order], first)
+        stays = total >= support
+        number = np.where(stays, (dealt.column("share")[0].as_py() << 40) + np.cumsum(stays) - 1, -1)
+        ids = np.empty(len(order), np.int64)
+        ids[order] = number[np.cumsum(new) - 1]
+        rows, end = [], np.cumsum(size)
+        for block, codes, n, e in zip(dealt.column("block").to_pylist(), dealt.column("codes").to_pylist(), size, end, strict=True):
+            own = ids[e - n : e]
+            kept = own >= 0
+            if kept.any():
+                code = np.cumsum(unpacked(codes, n), dtype=np.int64)[kept]
+                rows.append((block, int(kept.sum()), packed(np.diff(code, prepend=0)), planes(own[kept]), None, None, None, None))
+        if stays.any():
+            rows.append((None, None, None, None, number[stays], left[first][stays], right[first][stays], total[stays]))
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+
+    dealt = relation.select("block", "left", "right", "f").mapInArrow(deal, "share int, block long, n long, codes binary, lefts binary, rights binary, fs binary")
+    found = save(dealt.groupBy("share").applyInArrow(count, "block long, n long, codes binary, ids binary, id array<long>, left array<long>, right array<long>, a array<long>"), "groups")
+    heads = found.where("block is null").select(F.explode(F.arrays_zip("id", "left", "right", "a")).alias("g")).select("g.*")
+    return heads, found.where("block is not null").select("block", "n", "codes", "ids")
+
+
 def best_cut(words: int) -> str:
     """SQL of the lowest-scoring cut (score, k, l, r) from the counts of a phrase's
     beginnings and endings, by number of words. Products are decimals of 38 digits,
@@ -158,13 +242,13 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, support: int = SUP
     places = frequent_groups(spread, ["lang", "word"], support)
     one = F.array("a")
     level, levels = places.where("head").select("id", "lang", "word", F.col("word").alias("phrase"), "a", one.alias("pre"), one.alias("suf")), []
+    places = places.select("block", "code", "id")
     for length in range(2, max_words + 1):
-        relation = extended(relation, places.select("block", "code", "id"))
-        spread = groups_of(relation, "left", "right")
+        relation = extended(relation, places)
         if length < max_words:
-            places = frequent_groups(spread, ["left", "right"], support)
-            counted = places.where("head").select("id", "left", "right", "a")
+            counted, places = frequent_extended(relation, support)
         else:
+            spread = groups_of(relation, "left", "right")
             counted = spread.groupBy("left", "right").agg(F.sum("f").alias("a")).where(F.col("a") >= support).withColumn("id", F.lit(None).cast("long"))
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("pre").alias("pre_l"))
         right = level.select(F.col("id").alias("right"), F.col("word"), F.col("suf").alias("suf_r"))
