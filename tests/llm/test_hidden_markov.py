@@ -157,3 +157,29 @@ def test_start_counts_all_training_documents(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     one, many = ({r.doc_id: r.score for r in hm.score_texts(d, start_rounds=1).collect()} for d in (docs.coalesce(1), docs))
     assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)
+
+
+def test_words_travel_in_packed_rows(spark, monkeypatch):
+    # A row for each word of each block, as it was before, is what most of the time went to.
+    stored, saved = [], hm.save
+    monkeypatch.setattr(hm, "save", lambda df, name: stored.append((out := saved(df, name)).count()) or out)
+    rnd = random.Random(7)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.5)) % 5000}" for _ in range(30))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    equal({r.doc_id: r for r in hm.score_texts(docs).collect()}, plain(rows))
+    assert max(stored) < len({w for _, text in rows for w in text.split()}) / 2
+
+
+def test_shares_make_no_difference(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 99) * rnd.randint(0, 9)}" for _ in range(rnd.randint(0, 30)))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(hm, "BLOCK_BYTES", 20_000)
+    scores = []
+    for words, least in ((1 << 40, 1), (10, 1), (400_000, 64)):
+        monkeypatch.setattr(hm, "SHARE_WORDS", words)
+        monkeypatch.setattr(hm, "LEAST_SHARES", least)
+        found = hm.score_texts(docs).collect()
+        equal({r.doc_id: r for r in found}, plain(rows))
+        scores.append({r.doc_id: r.score for r in found})
+    assert all(s.keys() == scores[0].keys() and all(math.isclose(s[i], scores[0][i], rel_tol=1e-6) for i in s) for s in scores)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, packed, save, table, unpacked
@@ -22,6 +24,9 @@ CUT_TOKENS = 512
 SHARED = 0.05
 #: A block takes texts until they have so many bytes; its recursions take so many tokens.
 BLOCK_BYTES, BATCH_TOKENS = 12 << 20, 250_000
+#: Words are dealt to shares by their hash; a share takes about so many words of blocks,
+#: and there are at least so many shares.
+SHARE_WORDS, LEAST_SHARES = 400_000, 64
 #: No word holds a space.
 END = b" "
 
@@ -78,51 +83,50 @@ def expected(codes, start, length, opens, emit, moves, first, within):
     has a row per code; ``first`` and ``within`` are what the two kinds begin with."""
     import numpy as np
 
-    states = len(moves)
-    counts, moved, begun = np.zeros((len(emit), states)), np.zeros_like(moves), np.zeros(states)
+    # Tables inside have a row per state, so that numpy's loops run along the tokens.
+    states, by_state, back = len(moves), np.ascontiguousarray(emit.T), np.ascontiguousarray(moves.T)
+    counts, moved, begun = np.zeros((states, len(emit))), np.zeros_like(moves), np.zeros(states)
     for some in batches_of(length):
         token, offset = side_by_side(codes, start[some], length[some])
-        e = emit[token]
-        alpha, scale = np.empty_like(e), np.empty(len(e))
-        a = np.where(opens[some][:, None], first, within) * e[: offset[1]]
+        offset, e = offset.tolist(), by_state.take(token, axis=1)
+        alpha, scale = np.empty_like(e), np.empty(len(token))
+        a = np.where(opens[some], first[:, None], within[:, None])
         for t in range(len(offset) - 1):
             lo, hi = offset[t], offset[t + 1]
-            if t:
-                a = (a[: hi - lo] @ moves) * e[lo:hi]
-            s = a.sum(1)
-            a /= s[:, None]
-            alpha[lo:hi], scale[lo:hi] = a, s
-        beta = np.ones((offset[-1] - offset[-2], states))
+            a = np.multiply(back @ a[:, : hi - lo] if t else a, e[:, lo:hi], out=alpha[:, lo:hi])
+            a /= a.sum(0, out=scale[lo:hi])
+        e /= scale
+        beta = np.ones((states, offset[-1] - offset[-2]))
         for t in range(len(offset) - 2, 0, -1):
             lo, hi, before = offset[t], offset[t + 1], offset[t - 1]
-            ahead = e[lo:hi] * beta / scale[lo:hi, None]
-            alpha_before = alpha[before : before + hi - lo]
-            moved += alpha_before.T @ ahead
-            alpha[lo:hi] *= beta
-            beta = np.ones((lo - before, states))
-            beta[: hi - lo] = ahead @ moves.T
-        alpha[: offset[1]] *= beta
-        begun += alpha[: offset[1]][opens[some]].sum(0)
+            ahead = np.multiply(e[:, lo:hi], beta, out=e[:, lo:hi])
+            moved += alpha[:, before : before + hi - lo] @ ahead.T
+            alpha[:, lo:hi] *= beta
+            beta = np.ones((states, lo - before))
+            beta[:, : hi - lo] = moves @ ahead
+        alpha[:, : offset[1]] *= beta
+        begun += alpha[:, : offset[1]][:, opens[some]].sum(1)
         for k in range(states):
-            counts[:, k] += np.bincount(token, weights=alpha[:, k], minlength=len(emit))
-    return counts, moved * moves, begun
+            counts[k] += np.bincount(token, weights=alpha[k], minlength=len(emit))
+    return counts.T, moved * moves, begun
 
 
 def log_likelihoods(codes, start, length, emit, moves, first):
     """log10 probability of each sequence, by the scaled forward recursion."""
     import numpy as np
 
-    out = np.zeros(len(start))
-    for some in batches_of(length):
-        token, offset = side_by_side(codes, start[some], length[some])
-        total = np.zeros(len(some))
-        for t in range(len(offset) - 1):
-            lo, hi = offset[t], offset[t + 1]
-            a = (a[: hi - lo] @ moves if t else first) * emit[token[lo:hi]]
-            s = a.sum(1)
-            a /= s[:, None]
-            total[: hi - lo] += np.log10(s)
-        out[some] = total
+    order = np.argsort(-length, kind="stable")
+    at, total = np.asarray(start)[order], np.zeros(len(start))
+    by_state, back = np.ascontiguousarray(emit.T), np.ascontiguousarray(moves.T)
+    # A step takes one token of each sequence that has so many.
+    running = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
+    for t, n in enumerate(running):
+        a = (back @ a[:, :n] if t else first[:, None]) * by_state.take(codes[at[:n] + t], axis=1)
+        s = a.sum(0)
+        a /= s
+        total[:n] += np.log10(s)
+    out = np.empty(len(start))
+    out[order] = total
     return out
 
 
@@ -192,12 +196,30 @@ def by_count(own, c):
     return np.stack([own[c == n].sum(0) for n in range(1, RARE + 1)])
 
 
+def hashes(words):
+    """Numbers of 32 bits by word, which deal words to shares and start them."""
+    import numpy as np
+
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def cells_of(table, name: str, kind, sizes=None):
+    """Arrays of the binary cells of a column, unpacked where their ``sizes`` are given."""
+    import numpy as np
+
+    cells = [x.as_buffer() for x in table.column(name)]
+    if sizes is None:
+        return [np.frombuffer(x, kind) for x in cells]
+    return [unpacked(x, n, kind) for x, n in zip(cells, sizes, strict=True)]
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Stored blocks of ``docs(doc_id, text)``: the ``size`` codes of their tokens, packed,
-    lengths, ids and which are held out, and the block's words with training counts."""
+    lengths, ids and which are held out, and the block's ``n_words`` words with training
+    counts (``here``), packed, in order of their codes, which is that of their hashes."""
     import numpy as np
 
-    fields = "block long, size long, codes binary, length array<int>, doc_id array<long>, held_out array<boolean>, word array<binary>, c array<long>"
+    fields = "block long, size long, codes binary, length array<int>, doc_id array<long>, held_out array<boolean>, n_words long, n_bytes long, words binary, here binary"
 
     def made(batches):
         import pyarrow as pa
@@ -206,10 +228,16 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         task, seq = TaskContext.get().partitionId(), 0
 
         def flush():
-            codes, length = np.concatenate(found), np.array([len(f) for f in found], np.int32)
-            c = np.bincount(codes[~np.repeat(held, length)], minlength=len(number))
-            cells = [(task << 32) + seq, len(codes), packed(codes), length, ids, held, list(number), c]
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            words, length = list(number), np.array([len(f) for f in found], np.int32)
+            order = np.argsort(hashes(words), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            codes = rank[np.concatenate(found)]
+            here = np.bincount(codes[~np.repeat(held, length)], minlength=len(number))
+            # No word holds a line feed, and the end is none.
+            joined = b"\n".join([words[i] for i in order])
+            cells = [(task << 32) + seq, len(codes), packed(codes), length, ids, held, len(words), len(joined), packed(np.frombuffer(joined, np.uint8), np.uint8), packed(here, np.int64)]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
         number, found, ids, held, size = Numbers(), [], [], [], 0
@@ -231,16 +259,81 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return save(texts.mapInArrow(made, fields), "blocks")
 
 
+#: What goes between a block and a share: of the ``n`` words of the block that are in the
+#: share their training counts, packed, and for the frequent ones their ids in the share
+#: and a hash or, later, counts by state. ``sums`` are added up over all rows.
+DEALT = "block long, share int, n long, c binary, often long, id binary, {own} binary, sums array<double>"
+
+
+def dealt(rows: list[tuple], own: str):
+    import pyarrow as pa
+
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in DEALT.format(own=own).split(", ")])
+
+
+def numbered_words(raw: DataFrame, states: int) -> DataFrame:
+    """Stored rows of ``DEALT`` with hashes: the words of all blocks, counted over them
+    and numbered by share. The sums are how many words occur 1 to ``RARE`` times and
+    more often, how many tokens they make, and the frequent words' first counts by state."""
+    import numpy as np
+
+    shares = max(LEAST_SHARES, -(-(raw.agg(F.sum("n_words")).first()[0] or 0) // SHARE_WORDS))
+
+    def split(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, n, size, words, here = (batch.column(k)[row].as_py() for k in range(5))
+                words, here = pa.decompress(words, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n"), unpacked(here, n, np.int64)
+                ends = np.searchsorted((hashes(words) * shares) >> 32, np.arange(shares + 1)).tolist()
+                some = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b"\n".join(words[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([here[lo:hi].tobytes() for _, lo, hi in some], pa.binary())],
+                    names=["share", "block", "words", "here"],
+                )
+
+    def numbered(table):
+        share, number = table.column("share")[0].as_py(), {}
+        ids = []
+        for cell in table.column("words"):
+            words = cell.as_py().split(b"\n")
+            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        total, seed = np.zeros(len(number), np.int64), hashes(number)
+        for i, here in zip(ids, cells_of(table, "here", np.int64), strict=True):
+            total[i] += here
+        kind = np.minimum(total, RARE + 1)
+        first = (total[kind > RARE][:, None] * start_weights(seed[kind > RARE], states)).sum(0)
+        sums = [np.bincount(kind, minlength=RARE + 2)[1:], np.bincount(kind, weights=total, minlength=RARE + 2)[1:], first]
+        rows = [(None, share, 0, None, 0, None, None, np.concatenate(sums))]
+        for block, i in zip(table.column("block").to_pylist(), ids, strict=True):
+            often = i[total[i] > RARE]
+            rows.append((block, share, len(i), packed(total[i], np.int64), len(often), packed(often), seed[often].astype(np.uint32).tobytes(), None))
+        return dealt(rows, "seed")
+
+    words = raw.select("block", "n_words", "n_bytes", "words", "here").mapInArrow(split, "share int, block long, words binary, here binary")
+    return save(words.groupBy("share").applyInArrow(numbered, DEALT.format(own="seed")), "numbered")
+
+
+def added(rows: DataFrame) -> dict[int, float]:
+    """The sums of all rows, by place."""
+    return {r.pos: r.total for r in rows.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).collect()}
+
+
 def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, start_rounds: int = START_ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per
     row of ``docs(doc_id, text)``.
 
     Texts are numbered in blocks, each with its own words. Words are counted over all
-    training blocks; each pass joins the words' counts by state to the blocks that hold
-    them, runs forward and backward there and sums what comes out by word. A frequent
-    word is thus one row per block, and no table of words has to fit in memory; what
-    all words share is a few numbers. Scores are exact log10 probabilities of whole
-    texts. The model, like the base, treats all words that training lacks as one outcome.
+    training blocks; each pass brings the words' counts by state to the blocks that hold
+    them, runs forward and backward there and sums what comes out by word. Words are
+    dealt to shares by their hash, and a block and a share exchange one row, with the
+    words that both have. A frequent word is thus once in each block, and no table of
+    words has to fit in memory; what all words share is a few numbers. Scores are exact
+    log10 probabilities of whole texts. The model, like the base, treats all words that
+    training lacks as one outcome.
 
     A null or empty text is its end alone, a null doc_id is learned from and stays null,
     repeated rows count each, a long text is a block of its own. Without training
@@ -249,67 +342,36 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
     import numpy as np
 
     raw = blocks_of(docs)
-    spread = raw.select("block", F.posexplode(F.arrays_zip("word", "c")).alias("code", "w")).select("block", "code", "w.word", F.col("w.c").alias("here"))
-    word = Window.partitionBy("word")
-    coded = spread.repartition("word").withColumn("row", F.monotonically_increasing_id())
-    coded = coded.withColumns({"c": F.sum("here").over(word), "id": F.min("row").over(word)})
-    often, head = F.col("c") > RARE, F.col("row") == F.col("id")
-    coded = save(coded.select("block", "code", "c", F.when(often, F.col("id")).alias("id"), head.alias("head"), F.when(head & often, F.xxhash64("word")).alias("seed")), "coded")
-    found = {r.c: (r.n, r.tokens) for r in coded.where("head and c > 0").groupBy(F.least("c", F.lit(RARE + 1)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).collect()}
-    n_words, n_train = (sum(f[k] for f in found.values()) for k in (0, 1))
-    sizes = [found.get(n, (0, 0))[0] for n in range(1, RARE + 1)]
-
-    def with_counts(key, block, own):
-        import pyarrow as pa
-
-        c = np.zeros(own.num_rows, np.int64)
-        c[own.column("code").to_numpy()] = own.column("c").to_numpy()
-        return block.append_column("c", pa.array([packed(c, np.int64)], pa.binary())).append_column("n_codes", pa.array([len(c)], pa.int64()))
-
-    def weighed(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            own = batch.column("c").to_numpy()[:, None] * start_weights(batch.column("seed").to_numpy(), states)
-            lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * states, pa.array(own.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "own"])
-
-    kept = raw.select("block", "size", "codes", "length", "doc_id", "held_out")
-    both = kept.groupBy("block").cogroup(coded.select(F.col("block").alias("of"), "code", "c").groupBy("of"))
-    blocks = save(both.applyInArrow(with_counts, "block long, size long, codes binary, length array<int>, doc_id array<long>, held_out array<boolean>, c binary, n_codes long"), "blocks")
-    known = save(coded.where("seed is not null").select("id", "c", "seed").mapInArrow(weighed, "id long, own array<float>"), "counts")
-    discard(raw)
-    # At the start, states are held for some words and begin texts alike.
-    lines = dict(enumerate(np.full((states, states), 1.0) + np.eye(states) * 20 * states)) | {-1: np.ones(states)}
-
-    def model_of(known, lines):
-        used = np.array([x or 0.0 for x in known.agg(*[F.sum(F.col("own")[k].cast("double")) for k in range(states)]).first()])
-        none = np.zeros(states)
-        rare = np.stack([lines.get(-1 - n, none) for n in range(1, RARE + 1)])
-        if n_train and not rare.any():
-            # At the start, rare words are as frequent in every state as in the corpus.
-            tokens = np.arange(1, RARE + 1) * np.array(sizes, float)
-            share = used / used.sum() if used.any() else np.full(states, 1 / states)
-            rare = np.outer(tokens, share) * (used.sum() / max(1, n_train - tokens.sum()) if used.any() else 1.0)
-        return Model(used, rare, sizes, [lines.get(k, none) for k in range(states)], lines.get(-1, none), n_train)
+    known = numbered_words(raw, states)
+    found = added(known)
+    found = np.array([found.get(k, 0.0) for k in range(2 * (RARE + 1) + states)])
+    n_words, n_train = (int(found[k : k + RARE + 1].sum()) for k in (0, RARE + 1))
+    sizes, tokens, used = found[:RARE], found[RARE + 1 : 2 * RARE + 1], found[2 * (RARE + 1) :]
+    # At the start, states are held for some words and begin texts alike, and rare words
+    # are as frequent in every state as in the corpus.
+    share = used / used.sum() if used.any() else np.full(states, 1 / states)
+    rare = np.outer(tokens, share) * (used.sum() / max(1, n_train - tokens.sum()) if used.any() else 1.0)
+    model = Model(used, rare, sizes, np.full((states, states), 1.0) + np.eye(states) * 20 * states, np.ones(states), n_train)
 
     def joined(known, *columns):
-        own = coded.where("id is not null").select(F.col("block").alias("of"), "id", "code").join(known, "id")
-        return blocks.select("block", "size", "codes", "length", "held_out", "c", "n_codes", *columns).groupBy("block").cogroup(own.select("of", "id", "code", "own").groupBy("of"))
-
-    def opened(block, own, model):
-        cell = lambda name: block.column(name)[0].as_py()
-        c = unpacked(cell("c"), cell("n_codes"), np.int64)
-        rows = own.num_rows
-        code = own.column("code").to_numpy() if rows else np.empty(0, np.int64)
-        by_state = own.column("own").combine_chunks().values.to_numpy().reshape(rows, states) if rows else np.empty((0, states))
-        return unpacked(cell("codes"), cell("size")), block.column("length")[0].values.to_numpy(), c, code, model.emissions(c, code, by_state)
+        words = known.where("block is not null").drop("sums").withColumnRenamed("block", "of")
+        return raw.select("block", "size", "codes", "length", "held_out", *columns).groupBy("block").cogroup(words.groupBy("of"))
+
+    def opened(block, words, model):
+        words = words.sort_by("share")
+        sizes, often = (words.column(k).to_pylist() for k in ("n", "often"))
+        c = np.concatenate(cells_of(words, "c", np.int64, sizes))
+        code = np.flatnonzero(c > RARE)
+        if "seed" in words.column_names:
+            own = c[code][:, None] * start_weights(np.concatenate(cells_of(words, "seed", np.uint32)), states)
+        else:
+            own = np.concatenate(cells_of(words, "own", np.float32)).reshape(-1, states)
+        codes = unpacked(block.column("codes")[0].as_buffer(), block.column("size")[0].as_py())
+        return words, codes, block.column("length")[0].values.to_numpy(), c, code, model.emissions(c, code, own)
 
     def counting(model, rounds):
-        def count(block, own):
-            import pyarrow as pa
-
-            codes, length, c, code, emit = opened(block, own, model)
+        def count(block, words):
+            words, codes, length, c, code, emit = opened(block, words, model)
             learned = ~block.column("held_out")[0].values.to_numpy(zero_copy_only=False)
             codes, length = codes[np.repeat(learned, length)], length[learned]
             # Rounds before the last go on from the block's own counts.
@@ -319,27 +381,40 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
                 if k + 1 < rounds and len(codes):
                     now = Model(counts[code].sum(0), by_count(counts, c), np.bincount(np.minimum(c, RARE + 1), minlength=RARE + 2)[1 : RARE + 1], moved, begun, n_train)
                     emit = now.emissions(c, code, counts[code])
-            rows = np.concatenate([counts[code], moved, begun[None], by_count(counts, c)]).astype(np.float32)
-            special = [*range(states), -1, *range(-2, -2 - RARE, -1)]
-            ids = pa.array([*(own.column("id").to_pylist() if own.num_rows else []), *[None] * len(special)], pa.int64())
-            return pa.table([ids, pa.array([*[None] * len(code), *special], pa.int32()), *[pa.array(rows[:, k]) for k in range(states)]], names=["id", "line", *[f"own{k}" for k in range(states)]])
+            own, sums = counts[code].astype(np.float32), np.concatenate([moved.ravel(), begun, by_count(counts, c).ravel()])
+            ends, rows = np.cumsum(words.column("often").to_numpy()), []
+            for row in words.select(["of", "share", "n", "c", "often", "id"]).to_pylist():
+                hi = ends[len(rows)]
+                rows.append((*row.values(), own[hi - row["often"] : hi].tobytes(), None if rows else sums))
+            return dealt(rows, "own")
 
         return count
 
+    def summed(table):
+        share, often = table.column("share")[0].as_py(), table.column("often").to_pylist()
+        ids = cells_of(table, "id", np.int32, often)
+        of, own = np.concatenate(ids), np.concatenate(cells_of(table, "own", np.float32)).reshape(-1, states)
+        total = np.stack([np.bincount(of, weights=own[:, k]) for k in range(states)], axis=1)
+        sums = sum((np.array(x) for x in table.column("sums").to_pylist() if x is not None), np.zeros((states + 1 + RARE) * states))
+        rows = [(None, share, 0, None, 0, None, None, np.concatenate([sums, total.sum(0)]))]
+        total = total.astype(np.float32)
+        for row, i in zip(table.select(["block", "share", "n", "c", "often", "id"]).to_pylist(), ids, strict=True):
+            rows.append((*row.values(), total[i].tobytes(), None))
+        return dealt(rows, "own")
+
     for turn in range(passes if n_train else 0):
-        made = joined(known).applyInArrow(counting(model_of(known, lines), 1 if turn else max(1, start_rounds)), "id long, line int, " + ", ".join(f"own{k} float" for k in range(states)))
-        sums = save(made.groupBy("id", "line").agg(F.array(*[F.sum(f"own{k}").cast("float") for k in range(states)]).alias("own")), "counts")
+        made = joined(known).applyInArrow(counting(model, 1 if turn else max(1, start_rounds)), DEALT.format(own="own"))
+        sums = save(made.groupBy("share").applyInArrow(summed, DEALT.format(own="own")), "counts")
         discard(known)
-        lines = {r.line: np.array(r.own, float) for r in sums.where("id is null").collect()}
-        known = sums.where("id is not null").select("id", "own")
-        known.saved_at = sums.saved_at
-    model = model_of(known, lines)
+        known, found = sums, added(sums)
+        moved, begun, rare, used = np.split(np.array([found[k] for k in range((states + 2 + RARE) * states)]).reshape(-1, states), [states, states + 1, states + 1 + RARE])
+        model = Model(used[0], rare, sizes, moved, begun[0], n_train)
     base_unit = n_train + 0.1 * (n_words + 1)
 
-    def scored(block, own):
+    def scored(block, words):
         import pyarrow as pa
 
-        codes, length, c, _, emit = opened(block, own, model)
+        _, codes, length, c, _, emit = opened(block, words, model)
         start = np.cumsum(length) - length
         base = np.add.reduceat(np.log10((c + 0.1) / base_unit)[codes], start)
         known = np.add.reduceat((c > 0).astype(np.int64)[codes], start)
