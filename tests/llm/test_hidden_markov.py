@@ -183,3 +183,15 @@ def test_shares_make_no_difference(spark, monkeypatch):
         equal({r.doc_id: r for r in found}, plain(rows))
         scores.append({r.doc_id: r.score for r in found})
     assert all(s.keys() == scores[0].keys() and all(math.isclose(s[i], scores[0][i], rel_tol=1e-6) for i in s) for s in scores)
+
+
+def test_shuffled_files_go_with_their_table(spark, monkeypatch):
+    key, seen, saved = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], hm.save
+    monkeypatch.setattr(hm, "save", lambda df, name: seen.append(spark.conf.get(key)) or saved(df, name))
+    before = spark.conf.get(key)
+    hm.score_texts(spark.createDataFrame([(i, "a b c") for i in range(20)], "doc_id long, text string"))
+    assert seen and set(seen) == {"true"} and spark.conf.get(key) == before
+    for kind in (np.int32, np.int64, np.uint32, np.float32):
+        for n in (0, 1, 1000):
+            x = (np.random.RandomState(n).random_sample(n) * 1e6).astype(kind)
+            assert np.array_equal(hm.unpressed(hm.pressed(x, kind), n, kind), x)

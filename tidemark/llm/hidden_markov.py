@@ -196,6 +196,22 @@ def by_count(own, c):
     return np.stack([own[c == n].sum(0) for n in range(1, RARE + 1)])
 
 
+def pressed(numbers, kind) -> bytes:
+    """Bytes of numbers, packed plane by plane: all first bytes, all second ones, ...,
+    as the higher bytes of codes and of counts are much alike."""
+    import numpy as np
+
+    numbers = np.ascontiguousarray(numbers, kind).ravel()
+    return packed(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T), np.uint8)
+
+
+def unpressed(data, size: int, kind):
+    import numpy as np
+
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(unpacked(data, size * kind.itemsize, np.uint8).reshape(kind.itemsize, size).T).view(kind).ravel()
+
+
 def hashes(words):
     """Numbers of 32 bits by word, which deal words to shares and start them."""
     import numpy as np
@@ -203,14 +219,21 @@ def hashes(words):
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
 
-def cells_of(table, name: str, kind, sizes=None):
-    """Arrays of the binary cells of a column, unpacked where their ``sizes`` are given."""
-    import numpy as np
+def cells_of(table, name: str, kind, sizes):
+    """Arrays of the binary cells of a column, of so many numbers each."""
+    return [unpressed(x.as_buffer(), n, kind) for x, n in zip(table.column(name), sizes, strict=True)]
+
 
-    cells = [x.as_buffer() for x in table.column(name)]
-    if sizes is None:
-        return [np.frombuffer(x, kind) for x in cells]
-    return [unpacked(x, n, kind) for x, n in zip(cells, sizes, strict=True)]
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``save``, but files shuffled for it go when it is written, and not when the
+    driver's memory is next swept."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return save(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -236,7 +259,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             here = np.bincount(codes[~np.repeat(held, length)], minlength=len(number))
             # No word holds a line feed, and the end is none.
             joined = b"\n".join([words[i] for i in order])
-            cells = [(task << 32) + seq, len(codes), packed(codes), length, ids, held, len(words), len(joined), packed(np.frombuffer(joined, np.uint8), np.uint8), packed(here, np.int64)]
+            cells = [(task << 32) + seq, len(codes), pressed(codes, np.int32), length, ids, held, len(words), len(joined), packed(np.frombuffer(joined, np.uint8), np.uint8), pressed(here, np.int64)]
             types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
@@ -256,12 +279,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             yield flush()
 
     texts = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("string").cast("binary").alias("text"))
-    return save(texts.mapInArrow(made, fields), "blocks")
+    return stored(texts.mapInArrow(made, fields), "blocks")
 
 
 #: What goes between a block and a share: of the ``n`` words of the block that are in the
 #: share their training counts, packed, and for the frequent ones their ids in the share
-#: and a hash or, later, counts by state. ``sums`` are added up over all rows.
+#: and a hash or, later, counts by state but the last, as all of them make the word's
+#: count. ``sums`` are added up over all rows.
 DEALT = "block long, share int, n long, c binary, often long, id binary, {own} binary, sums array<double>"
 
 
@@ -287,11 +311,11 @@ def numbered_words(raw: DataFrame, states: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 block, n, size, words, here = (batch.column(k)[row].as_py() for k in range(5))
-                words, here = pa.decompress(words, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n"), unpacked(here, n, np.int64)
+                words, here = pa.decompress(words, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n"), unpressed(here, n, np.int64)
                 ends = np.searchsorted((hashes(words) * shares) >> 32, np.arange(shares + 1)).tolist()
                 some = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b"\n".join(words[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([here[lo:hi].tobytes() for _, lo, hi in some], pa.binary())],
+                    [pa.array([k for k, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b"\n".join(words[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([pressed(here[lo:hi], np.int64) for _, lo, hi in some], pa.binary())],
                     names=["share", "block", "words", "here"],
                 )
 
@@ -302,7 +326,7 @@ def numbered_words(raw: DataFrame, states: int) -> DataFrame:
             words = cell.as_py().split(b"\n")
             ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         total, seed = np.zeros(len(number), np.int64), hashes(number)
-        for i, here in zip(ids, cells_of(table, "here", np.int64), strict=True):
+        for i, here in zip(ids, cells_of(table, "here", np.int64, map(len, ids)), strict=True):
             total[i] += here
         kind = np.minimum(total, RARE + 1)
         first = (total[kind > RARE][:, None] * start_weights(seed[kind > RARE], states)).sum(0)
@@ -310,11 +334,11 @@ def numbered_words(raw: DataFrame, states: int) -> DataFrame:
         rows = [(None, share, 0, None, 0, None, None, np.concatenate(sums))]
         for block, i in zip(table.column("block").to_pylist(), ids, strict=True):
             often = i[total[i] > RARE]
-            rows.append((block, share, len(i), packed(total[i], np.int64), len(often), packed(often), seed[often].astype(np.uint32).tobytes(), None))
+            rows.append((block, share, len(i), pressed(total[i], np.int64), len(often), pressed(often, np.int32), pressed(seed[often], np.uint32), None))
         return dealt(rows, "seed")
 
     words = raw.select("block", "n_words", "n_bytes", "words", "here").mapInArrow(split, "share int, block long, words binary, here binary")
-    return save(words.groupBy("share").applyInArrow(numbered, DEALT.format(own="seed")), "numbered")
+    return stored(words.groupBy("share").applyInArrow(numbered, DEALT.format(own="seed")), "numbered")
 
 
 def added(rows: DataFrame) -> dict[int, float]:
@@ -346,7 +370,7 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
     found = added(known)
     found = np.array([found.get(k, 0.0) for k in range(2 * (RARE + 1) + states)])
     n_words, n_train = (int(found[k : k + RARE + 1].sum()) for k in (0, RARE + 1))
-    sizes, tokens, used = found[:RARE], found[RARE + 1 : 2 * RARE + 1], found[2 * (RARE + 1) :]
+    sizes, tokens, often, used = found[:RARE], found[RARE + 1 : 2 * RARE + 1], found[2 * RARE + 1], found[2 * (RARE + 1) :]
     # At the start, states are held for some words and begin texts alike, and rare words
     # are as frequent in every state as in the corpus.
     share = used / used.sum() if used.any() else np.full(states, 1 / states)
@@ -363,10 +387,11 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
         c = np.concatenate(cells_of(words, "c", np.int64, sizes))
         code = np.flatnonzero(c > RARE)
         if "seed" in words.column_names:
-            own = c[code][:, None] * start_weights(np.concatenate(cells_of(words, "seed", np.uint32)), states)
+            own = c[code][:, None] * start_weights(np.concatenate(cells_of(words, "seed", np.uint32, often)), states)
         else:
-            own = np.concatenate(cells_of(words, "own", np.float32)).reshape(-1, states)
-        codes = unpacked(block.column("codes")[0].as_buffer(), block.column("size")[0].as_py())
+            own = np.concatenate(cells_of(words, "own", np.float32, [n * (states - 1) for n in often])).reshape(len(code), states - 1)
+            own = np.column_stack([own, np.maximum(0.0, c[code] - own.sum(1, dtype=float))])
+        codes = unpressed(block.column("codes")[0].as_buffer(), block.column("size")[0].as_py(), np.int32)
         return words, codes, block.column("length")[0].values.to_numpy(), c, code, model.emissions(c, code, own)
 
     def counting(model, rounds):
@@ -381,11 +406,11 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
                 if k + 1 < rounds and len(codes):
                     now = Model(counts[code].sum(0), by_count(counts, c), np.bincount(np.minimum(c, RARE + 1), minlength=RARE + 2)[1 : RARE + 1], moved, begun, n_train)
                     emit = now.emissions(c, code, counts[code])
-            own, sums = counts[code].astype(np.float32), np.concatenate([moved.ravel(), begun, by_count(counts, c).ravel()])
+            own, sums = counts[code, :-1].astype(np.float32), np.concatenate([moved.ravel(), begun, by_count(counts, c).ravel()])
             ends, rows = np.cumsum(words.column("often").to_numpy()), []
             for row in words.select(["of", "share", "n", "c", "often", "id"]).to_pylist():
                 hi = ends[len(rows)]
-                rows.append((*row.values(), own[hi - row["often"] : hi].tobytes(), None if rows else sums))
+                rows.append((*row.values(), pressed(own[hi - row["often"] : hi], np.float32), None if rows else sums))
             return dealt(rows, "own")
 
         return count
@@ -393,22 +418,27 @@ def score_texts(docs: DataFrame, states: int = STATES, passes: int = PASSES, sta
     def summed(table):
         share, often = table.column("share")[0].as_py(), table.column("often").to_pylist()
         ids = cells_of(table, "id", np.int32, often)
-        of, own = np.concatenate(ids), np.concatenate(cells_of(table, "own", np.float32)).reshape(-1, states)
-        total = np.stack([np.bincount(of, weights=own[:, k]) for k in range(states)], axis=1)
+        of = np.concatenate(ids)
+        own = np.concatenate(cells_of(table, "own", np.float32, [n * (states - 1) for n in often])).reshape(len(of), states - 1)
+        total = np.zeros((of.max(initial=-1) + 1, states - 1))
+        for k in range(states - 1):
+            total[:, k] = np.bincount(of, weights=own[:, k])
         sums = sum((np.array(x) for x in table.column("sums").to_pylist() if x is not None), np.zeros((states + 1 + RARE) * states))
         rows = [(None, share, 0, None, 0, None, None, np.concatenate([sums, total.sum(0)]))]
         total = total.astype(np.float32)
         for row, i in zip(table.select(["block", "share", "n", "c", "often", "id"]).to_pylist(), ids, strict=True):
-            rows.append((*row.values(), total[i].tobytes(), None))
+            rows.append((*row.values(), pressed(total[i], np.float32), None))
         return dealt(rows, "own")
 
     for turn in range(passes if n_train else 0):
-        made = joined(known).applyInArrow(counting(model, 1 if turn else max(1, start_rounds)), DEALT.format(own="own"))
-        sums = save(made.groupBy("share").applyInArrow(summed, DEALT.format(own="own")), "counts")
+        made = stored(joined(known).applyInArrow(counting(model, 1 if turn else max(1, start_rounds)), DEALT.format(own="own")), "returned")
         discard(known)
-        known, found = sums, added(sums)
-        moved, begun, rare, used = np.split(np.array([found[k] for k in range((states + 2 + RARE) * states)]).reshape(-1, states), [states, states + 1, states + 1 + RARE])
-        model = Model(used[0], rare, sizes, moved, begun[0], n_train)
+        known = stored(made.groupBy("share").applyInArrow(summed, DEALT.format(own="own")), "counts")
+        discard(made)
+        sums = added(known)
+        sums = np.array([sums[k] for k in range((states + 2 + RARE) * states - 1)])
+        lines, used = sums[: 1 - states or None].reshape(-1, states), sums[len(sums) + 1 - states :]
+        model = Model(np.append(used, max(0.0, often - used.sum())), lines[states + 1 :], sizes, lines[:states], lines[states], n_train)
     base_unit = n_train + 0.1 * (n_words + 1)
 
     def scored(block, words):
