@@ -382,3 +382,46 @@ def test_drawdown_query_equals_sql_where_a_symbol_never_falls(spark, tmp_path):
     assert [r[0] for r in sorted(want)] == ["AO"] and sorted(map(tuple, got)) == sorted(want)
     every = bt.drawdown(queries.held(spark, str(tmp_path))).collect()
     assert {r.symbol: r.max_duration > 0 for r in every} == {"AO": True, "BO": False}
+
+
+def test_drawdown_query_keeps_the_symbol_of_null_flags(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_returnflag", F.expr("nullif(l_returnflag, 'R')")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = con.execute(entry.oracle_sql()["drawdown"])
+    names, want = [c[0] for c in found.description], found.fetchall()
+    got = entry.queries()["drawdown"](spark, str(tmp_path)).select(*names).collect()
+    assert [r[0] for r in want].count(None) == 1
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_drawdown_has_no_episode_where_no_position_is_held(spark):
+    """Bars without a position leave the equity as it is, to the last digit, however many."""
+    from fractions import Fraction
+
+    rng, rows, want = np.random.RandomState(8), [], {}
+    for s in range(40):
+        total, peak, run, runs, held = Fraction(0), Fraction(0), 0, [], 0
+        for k in range(700):
+            if k % 50 == 0:
+                held = rng.choice([-1, 0, 0, 1])
+            ret = round(float(rng.normal(0, 0.02)), 6)
+            rows.append((f"s{s}", DAY0 + datetime.timedelta(days=k), k, ret, int(held)))
+            pnl = rows[-2][4] * ret if k else 0.0
+            total += Fraction(math.log(1 + pnl))
+            if total >= peak:
+                runs, run, peak = runs + [run], 0, total
+            else:
+                run += 1
+        runs.append(run)
+        want[f"s{s}"] = (max(runs), sum(runs))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, ret_index int, ret double, position int")
+    eq = bt.equity(bars, 0)
+    got = {r.symbol: r for r in bt.drawdown(eq).collect()}
+    assert {s: r.max_duration for s, r in got.items()} == {s: w[0] for s, w in want.items()}
+    under = eq.withColumn("peak", F.expr("max(equity) over (partition by symbol order by ret_index)")).where("equity < peak")
+    assert {r.symbol: r["count"] for r in under.groupBy("symbol").count().collect()} == {s: w[1] for s, w in want.items() if w[1]}

@@ -193,10 +193,12 @@ def drawdown(rows: DataFrame, keys=SYMBOL) -> DataFrame:
     d = d.withColumn("dd", F.try_divide(F.col("equity") - F.col("peak"), F.col("peak"))).withColumn("under", F.col("dd") < 0)
     d = d.withColumn("episode", F.sum((~F.col("under")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("ends", F.lead("under").over(w) == F.lit(False))
-    runs = d.where("under").groupBy(*keys, "episode").agg(F.count("*").alias("bars"), F.min("dd").alias("deepest"), F.sum("dd").alias("total"), F.max("ends").alias("ended"))
-    found = runs.groupBy(*keys).agg(F.min("deepest").alias("max_drawdown"), (F.sum("total") / F.sum("bars")).alias("avg_drawdown"), F.max("bars").alias("max_duration"), F.avg(F.when(F.col("ended"), F.col("bars"))).alias("avg_recovery"))
-    every = rows.where("equity is not null").select(*keys).distinct()
-    return every.join(found, list(keys), "left").select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("max_drawdown", "avg_drawdown")], F.coalesce("max_duration", F.lit(0)).alias("max_duration"), F.coalesce("avg_recovery", F.lit(0.0)).alias("avg_recovery"))
+    # An episode also holds the bar at the peak that it begins with, so every run of a
+    # strategy has one, that of a null key and one never below its peak too.
+    under = lambda c: F.when(F.col("under"), F.col(c))
+    runs = d.groupBy(*keys, "episode").agg(F.count_if("under").alias("bars"), F.min(under("dd")).alias("deepest"), F.sum(under("dd")).alias("total"), F.max(under("ends")).alias("ended"))
+    found = runs.groupBy(*keys).agg(F.min("deepest").alias("max_drawdown"), F.try_divide(F.sum("total"), F.sum("bars")).alias("avg_drawdown"), F.max("bars").alias("max_duration"), F.avg(F.when(F.col("ended"), F.col("bars"))).alias("avg_recovery"))
+    return found.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("max_drawdown", "avg_drawdown")], "max_duration", F.coalesce("avg_recovery", F.lit(0.0)).alias("avg_recovery"))
 
 
 def trades(rows: DataFrame, keys=SYMBOL) -> DataFrame:
