@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import merge_blocks, quoted, save, table
+from tidemark.llm.common import merge_blocks, quoted, references, save, table
 
 #: Lines within so many edits of each other are near copies.
 THRESHOLD = 2
@@ -237,7 +237,7 @@ def _near_lines(lines: DataFrame, threshold: int) -> DataFrame:
         return save(edit_keys(both, threshold), "edit-keys"), star
 
     meets = lambda tag, o: (tag["e"] + o["e"] <= threshold) & F.arrays_overlap(tag["rear"], o["rear"])
-    comp = merge_blocks(posted, links, verified, attributes, ("size", "tally"), fits, split, meets)
+    comp = merge_blocks(posted, links, verified, attributes, ("size", "tally"), fits, references, split, meets)
     return comp.join(known.select("node", "digest"), "node").select("digest", "component")
 
 
